@@ -2,14 +2,35 @@
 
 from __future__ import annotations
 
+import os
+import sys
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Give executors this package unless PYTHONPATH does so already."""
+    root = Path(__file__).resolve().parents[2]
+    sc = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(":") or getattr(sc, "_shipped", False):
+        return
+    made = Path(tempfile.mkdtemp(prefix="spark-package-")) / "corpus_operators.zip"
+    with zipfile.ZipFile(made, "w") as z:
+        for f in sorted((root / "stratalens").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    here = list(sys.path)
+    sc.addPyFile(str(made))
+    sys.path[:] = here
+    sc._shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
