@@ -1,8 +1,11 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import hilbert_shards
+from . import hilbert_shards, packing, quality, simhash
 
 QUERIES = {
     "op1_hilbert_shards": hilbert_shards.query,
+    "op3_preference_quality": quality.query,
+    "op4_simhash": simhash.query,
+    "op10_cutting_stock": packing.query,
 }
 ORACLES: dict[str, str] = {}
