@@ -1,11 +1,14 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import hilbert_shards, packing, quality, simhash
+from . import hilbert_shards, packing, phrase_index, quality, simhash, suffix_repeats, warc
 
 QUERIES = {
     "op1_hilbert_shards": hilbert_shards.query,
     "op3_preference_quality": quality.query,
     "op4_simhash": simhash.query,
+    "op7_suffix_repeats": suffix_repeats.query,
+    "op8_phrase_index": phrase_index.query,
+    "op9_zip_warc": warc.query,
     "op10_cutting_stock": packing.query,
 }
 ORACLES: dict[str, str] = {}
