@@ -1,9 +1,10 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import hilbert_shards, packing, phrase_index, quality, simhash, suffix_repeats, warc
+from . import hilbert_shards, ngram_join, packing, phrase_index, quality, simhash, suffix_repeats, warc
 
 QUERIES = {
     "op1_hilbert_shards": hilbert_shards.query,
+    "op2_ngram_join": ngram_join.query,
     "op3_preference_quality": quality.query,
     "op4_simhash": simhash.query,
     "op7_suffix_repeats": suffix_repeats.query,
