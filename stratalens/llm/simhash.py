@@ -21,7 +21,7 @@ BITS = 128
 MAX_WEIGHT = 24
 #: Documents in one run of the ordered corpus, about.
 RUN_ROWS = 400
-MAX_RUNS = 20_000
+MAX_RUNS = 4096
 
 _SIGNS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64) * 2 - 1
 
@@ -106,8 +106,8 @@ def run_bounds(docs: DataFrame) -> np.ndarray:
     if not n:
         return np.zeros(0, np.int64)
     runs = int(min(MAX_RUNS, max(1, n // RUN_ROWS)))
-    points = F.array(*[F.lit((i + 1) / runs) for i in range(runs)]) if runs <= 64 else F.transform(F.sequence(F.lit(1), F.lit(runs)), lambda i: i / F.lit(float(runs)))
-    got = docs.agg(F.percentile_approx("doc_id", points, F.lit(max(10_000, 4 * runs))).alias("p"), F.max("doc_id").alias("m")).first()
+    points = ", ".join(f"{(i + 1) / runs!r}D" for i in range(runs))
+    got = docs.selectExpr(f"percentile_approx(doc_id, array({points}), {max(10_000, 4 * runs)}) AS p", "max(doc_id) AS m").first()
     return np.unique(np.array([*got["p"], got["m"]], np.int64))
 
 
