@@ -1,12 +1,14 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import hilbert_shards, ngram_join, packing, phrase_index, quality, simhash, suffix_repeats, warc
+from . import edit_counts, hilbert_shards, language_id, ngram_join, packing, phrase_index, quality, simhash, suffix_repeats, warc
 
 QUERIES = {
     "op1_hilbert_shards": hilbert_shards.query,
     "op2_ngram_join": ngram_join.query,
     "op3_preference_quality": quality.query,
     "op4_simhash": simhash.query,
+    "op5_edit_counts": edit_counts.query,
+    "op6_language_evidence": language_id.query,
     "op7_suffix_repeats": suffix_repeats.query,
     "op8_phrase_index": phrase_index.query,
     "op9_zip_warc": warc.query,
