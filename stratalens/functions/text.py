@@ -67,12 +67,20 @@ def count_terms(lowered: Column, terms) -> Column:
     return out
 
 
+def flat(x: Column) -> Column:
+    """One line: white space collapsed, ends stripped, null as ''."""
+    return strip(collapse(F.coalesce(x, F.lit(""))))
+
+
+def snippet_of(line: Column, lowered: Column, keywords, size: int = 550, before: int = 140) -> Column:
+    """Part of a ``flat`` line around the earliest keyword, or its beginning."""
+    places = F.array(*[F.nullif(F.instr(lowered, k.lower()), F.lit(0)) for k in keywords])
+    return F.substring(line, F.greatest(F.coalesce(F.array_min(places), F.lit(1)) - before, F.lit(1)), F.lit(size))
+
+
 def snippet(x: Column, keywords, size: int = 550, before: int = 140) -> Column:
     """Text around the earliest keyword, or the beginning."""
-    text = strip(collapse(F.coalesce(x, F.lit(""))))
-    places = F.array(*[F.nullif(F.instr(F.lower(text), k.lower()), F.lit(0)) for k in keywords])
-    first = F.coalesce(F.array_min(places), F.lit(1))
-    return F.substring(text, F.greatest(first - before, F.lit(1)), F.lit(size))
+    return snippet_of(flat(x), F.lower(flat(x)), keywords, size, before)
 
 
 def unescape(x: Column) -> Column:

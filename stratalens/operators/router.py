@@ -9,9 +9,8 @@ from ..functions import labels
 from ..rules import router as R
 
 
-def route(question: Column) -> dict[str, Column]:
-    """The fields of a route, as columns."""
-    low = F.lower(F.coalesce(question, F.lit("")))
+def route(low: Column) -> dict[str, Column]:
+    """The fields of a route, as columns, from a question in lower case."""
     intent = labels.first_match(low, R.INTENTS, R.DEFAULT_INTENT)
     return {
         "intent": intent,
@@ -26,7 +25,8 @@ def route(question: Column) -> dict[str, Column]:
 
 
 def route_questions(questions: DataFrame, column: str = "question") -> DataFrame:
-    return questions.withColumns(route(F.col(column)))
+    lowered = questions.withColumn("_low", F.lower(F.coalesce(column, F.lit(""))))
+    return lowered.withColumns(route(F.col("_low"))).drop("_low")
 
 
 def augmented(question: Column, topic: Column, area: Column) -> Column:

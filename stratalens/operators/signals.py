@@ -41,12 +41,14 @@ def detect(docs: DataFrame, pack: Pack, as_of: str) -> DataFrame:
     rows = rows.withColumns(
         {
             "low": F.lower("whole"),
+            "line": text.flat(F.col("whole")),
             "topic": F.coalesce("topic", F.lit(pack.default_topic)),
             "source_type": F.coalesce("source_type", F.lit("unknown")),
             "trust": scores.trust_or_default(F.col("trust_score")),
             "recent": scores.recency(F.col("published"), F.lit(as_of).cast("timestamp")),
         }
     )
+    rows = rows.withColumn("line_low", F.lower("line"))  # prepared once, read by every rule
     matches = []
     for ord_, rule in enumerate(pack.signals):
         hit = F.col("topic").isin(list(rule.topics)) | text.contains_any(F.col("low"), rule.keywords)
@@ -55,7 +57,7 @@ def detect(docs: DataFrame, pack: Pack, as_of: str) -> DataFrame:
             F.lit(rule.kind).alias("signal_type"),
             F.lit(rule.title).alias("title"),
             scores.dec(rule.strength).alias("strength"),
-            text.snippet(F.col("whole"), rule.keywords).alias("evidence_text"),
+            text.snippet_of(F.col("line"), F.col("line_low"), rule.keywords).alias("evidence_text"),
         )
         matches.append(F.when(hit, found))
     rows = rows.withColumn("m", F.explode(F.array_compact(F.array(*matches))))

@@ -29,7 +29,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("id"), F.lit("").alias("title"), cleaned.alias("clean_text"), F.col("source").alias("source_name"), F.col("lang").alias("source_type"),
         F.concat(F.lit("https://x.example/"), F.pmod("n_chars", F.lit(701)).cast("string")).alias("url"), "trust_score", "published",
     )
-    return docs.withColumn("topic", labels.first_match(F.lower("clean_text"), PACK.topics, PACK.default_topic))
+    docs = docs.withColumn("_low", F.lower("clean_text"))
+    return docs.withColumn("topic", labels.first_match(F.col("_low"), PACK.topics, PACK.default_topic)).drop("_low")
 
 
 def found_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +57,8 @@ def q_dedup_either(spark, d):
 
 def q_topic_counts(spark, d):
     rows = table(spark, d, "documents").select("doc_id", text.clean(F.col("text")).alias("clean_text"), text.content_hash(F.col("text")).alias("content_hash"))
-    rows = rows.withColumn("topic", labels.first_match(F.lower("clean_text"), PACK.topics, PACK.default_topic)).drop("clean_text")
+    rows = rows.withColumn("_low", F.lower("clean_text"))
+    rows = rows.withColumn("topic", labels.first_match(F.col("_low"), PACK.topics, PACK.default_topic)).drop("clean_text", "_low")
     return dedup.first_by(rows, "content_hash", "doc_id").groupBy("topic").agg(F.count("*").alias("documents")).orderBy(F.desc("documents"), "topic").limit(10)
 
 
@@ -265,7 +267,7 @@ def q_route(spark, d):
 
 def q_intents(spark, d):
     asked = table(spark, d, "conversations").filter("role = 'user'")
-    return asked.withColumns({"intent": router.route(F.col("text"))["intent"]}).groupBy("intent").agg(F.count("*").alias("questions"))
+    return router.route_questions(asked, "text").groupBy("intent").agg(F.count("*").alias("questions"))
 
 
 def q_priority(spark, d):
