@@ -4,8 +4,9 @@ Suffixes are sampled where a window's least hash stands (winnowing), so any two
 equal 400-byte strings share a sampled suffix at the same place.  Suffixes that
 start with the same 160 bytes are sorted; a stack scan over their common-prefix
 lengths walks the interval tree, and the text to the left of each interval's
-members decides which of them are one maximal repeat.  A group is split over no
-more than ``HOT`` suffixes: larger ones are settled by counting window hashes.
+members decides which of them are one maximal repeat.  Of a seed with more than
+``HOT`` suffixes, those in equal surroundings are first counted as one; if more
+than ``HOT`` different ones are left, windows are hashed and counted instead.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from . import common, textnum
 
 LENGTH = 400
 SEED = 160
-#: Suffixes of one seed that a task sorts; seeds with more take the counting way.
-HOT = 50_000
+#: Suffixes of one seed that a task sorts.
+HOT = 5_000
 #: Bytes of text in one bucket of the stored table of distinct texts, about.
 BUCKET_BYTES = 8_000_000
 
@@ -95,24 +96,32 @@ def sampled(texts: DataFrame) -> DataFrame:
 
 
 def contexts(texts: DataFrame, places: DataFrame) -> DataFrame:
-    """Add to (seed, key, pos) the bytes from ``pos`` on and, reversed, those before it: all that a window around it can reach."""
+    """Add to (seed, key, pos, hot) the bytes from ``pos`` on and, reversed, those before it: all that a window around it can reach.
+
+    ``around`` is a hash of both.  For hot seeds a batch gives equal surroundings once; the rest are null.
+    """
     listed = places.groupBy("key").agg(F.collect_list(F.struct("pos", "seed", "hot")).alias("at"))
     joined = listed.hint("merge").join(texts.select("key", "text"), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            seen: set[int] = set()
             for key, at, text in zip(batch.column("key"), batch.column("at"), batch.column("text"), strict=True):
                 whole = text.as_py()
                 fields = at.values.flatten()
-                pos = fields[0].to_pylist()
-                right = [whole[p : p + LENGTH] for p in pos]
-                left = [whole[max(0, p - (LENGTH - SEED)) : p][::-1] for p in pos]
-                yield pa.RecordBatch.from_arrays(
-                    [fields[1], pa.array(np.full(len(pos), key.as_py()), pa.int64()), fields[0], fields[2], pa.array(right, pa.binary()), pa.array(left, pa.binary())],
-                    ["seed", "key", "pos", "hot", "right", "left"],
-                )
+                pos, hot = fields[0].to_pylist(), fields[2].to_pylist()
+                right: list = [whole[p : p + LENGTH] for p in pos]
+                left: list = [whole[max(0, p - (LENGTH - SEED)) : p][::-1] for p in pos]
+                around = [int.from_bytes(hashlib.blake2b(a + b"\0%d" % len(a) + b, digest_size=8).digest(), "big", signed=True) for a, b in zip(left, right, strict=True)]
+                for i, (is_hot, h) in enumerate(zip(hot, around, strict=True)):
+                    if is_hot and h in seen:
+                        right[i] = left[i] = None
+                    elif is_hot:
+                        seen.add(h)
+                columns = [fields[1], pa.array(np.full(len(pos), key.as_py()), pa.int64()), fields[0], fields[2], pa.array(right, pa.binary()), pa.array(left, pa.binary()), pa.array(around, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["seed", "key", "pos", "hot", "right", "left", "around"])
 
-    return joined.select("key", "at", "text").mapInArrow(run, "seed long, key long, pos int, hot boolean, right binary, left binary")
+    return joined.select("key", "at", "text").mapInArrow(run, "seed long, key long, pos int, hot boolean, right binary, left binary, around long")
 
 
 def matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -255,19 +264,40 @@ def counted_cover(rows: DataFrame) -> DataFrame:
     return hit.select("key", (F.col("pos") - F.col("d")).alias("first"), (F.col("pos") - F.col("d") + LENGTH).alias("past"))
 
 
+def sorted_by_seed(rows: DataFrame) -> DataFrame:
+    """A seed's suffixes meet in one task, in the order of their bytes."""
+    return sorted_cover(rows.repartition("seed").sortWithinPartitions("seed", "right"))
+
+
+def hot_cover(rows: DataFrame, hot: int) -> DataFrame:
+    """Covered bytes around suffixes of hot seeds, one look for all in equal surroundings.
+
+    Surroundings that occur twice are covered whole.  Counting combines before its
+    shuffle, and only different surroundings of a seed are sorted together.
+    """
+    classes = rows.groupBy("seed", "around").agg(F.first("right", True).alias("right"), F.first("left", True).alias("left"), F.count("*").alias("n"))
+    classes = common.materialise(classes, "suffix-classes").withColumns({"key": F.col("around"), "pos": F.lit(0)})
+    many = common.materialise(classes.groupBy("seed").agg((F.count("*") > hot).alias("many")), "suffix-counts")
+    classes = classes.join(many, "seed")
+    twice = classes.filter((F.col("n") > 1) & (F.octet_length("left") + F.octet_length("right") >= LENGTH))
+    covers = twice.select("key", (-F.octet_length("left")).alias("first"), F.octet_length("right").alias("past")).unionByName(sorted_by_seed(classes.filter("not many")))
+    if not many.filter("many").isEmpty():
+        covers = covers.unionByName(counted_cover(classes.filter("many")))
+    # everything covered around a suffix joins up at the suffix
+    covers = covers.groupBy(F.col("key").alias("around")).agg(F.min("first").alias("back"), F.max("past").alias("ahead"))
+    spots = rows.select("key", "pos", "around").join(covers, "around")
+    return spots.select("key", (F.col("pos") + F.col("back")).alias("first"), (F.col("pos") + F.col("ahead")).alias("past"))
+
+
 def cover(texts: DataFrame, hot: int = HOT) -> DataFrame:
     """Byte ranges of distinct texts that repeat, overlapping and unsorted: (key, first, past)."""
     suffixes = common.materialise(sampled(texts), "suffixes")
     often = suffixes.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed", (F.col("n") > hot).alias("hot"))
-    places = suffixes.join(often.hint("merge"), "seed")
-    around = contexts(texts, places)
-    any_hot = not often.filter("hot").isEmpty()
-    if any_hot:
-        around = common.materialise(around, "suffix-contexts")
-    cold = around.filter(~F.col("hot"))
-    # rows of a seed meet in one task, `hot` at most, in the order of their bytes
-    out = sorted_cover(cold.repartition("seed").sortWithinPartitions("seed", "right"))
-    return out.unionByName(counted_cover(around.filter("hot"))) if any_hot else out
+    around = contexts(texts, suffixes.join(often.hint("merge"), "seed"))
+    if often.filter("hot").isEmpty():
+        return sorted_by_seed(around)
+    around = common.materialise(around, "suffix-contexts")
+    return sorted_by_seed(around.filter("not hot")).unionByName(hot_cover(around.filter("hot"), hot))
 
 
 CUT = "digest binary, n_bytes long, n_removed long, n_spans long, kept binary"
