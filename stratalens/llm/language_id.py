@@ -60,7 +60,7 @@ def fit(texts: DataFrame, max_texts: int = MAX_TEXTS) -> tuple[list[str], np.nda
         return ["und"], np.full((1, BINS), -np.log(BINS))
     share = {r["lang"]: max_texts / r["count"] for r in sizes}
     keep = F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, v)])
-    thinned = texts.filter(F.col("lang").isin(langs) & (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.get(F.array(keep), F.lit(0))[F.col("lang")] * (1 << 20)))
+    thinned = texts.filter(F.col("lang").isin(langs) & (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < keep[F.col("lang")] * (1 << 20)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = np.zeros((len(langs), BINS), np.int64)
@@ -121,8 +121,7 @@ def _add(a: Column, b: Column) -> Column:
 
 
 def _normalise(logs: Column) -> Column:
-    raised = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-    return raised
+    return F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
 
 
 def _shares(weights: Column) -> Column:
@@ -148,6 +147,7 @@ def host_priors(rows: DataFrame, n: int) -> DataFrame:
     Counts are combined before every shuffle, and each level is summed from the
     level below, so no group of pages is gathered.
     """
+
     def drawn(own: str, above: str) -> Column:
         total = F.aggregate(F.col(own), F.lit(0.0), lambda a, x: a + x)
         return F.zip_with(own, above, lambda x, p: (x + STRENGTH * p) / (total + STRENGTH))
@@ -158,8 +158,9 @@ def host_priors(rows: DataFrame, n: int) -> DataFrame:
     hosts = common.materialise(_sums(rows, ["host", "domain", "suffix"], n), "host-counts")
     domains = level(hosts, ["domain", "suffix"])
     suffixes = level(domains, ["suffix"])
-    whole = level(suffixes, []).select(_shares(F.transform("s", lambda x: x + 1.0)).alias("top"))
-    suffixes = suffixes.crossJoin(F.broadcast(whole)).select("suffix", drawn("s", "top").alias("p_suffix"))  # one row
+    whole = np.array([x or 0.0 for x in level(suffixes, []).first()["s"]]) + 1.0  # one number for each language
+    suffixes = suffixes.withColumn("top", F.array(*[F.lit(float(x)) for x in whole / whole.sum()]))
+    suffixes = suffixes.select("suffix", drawn("s", "top").alias("p_suffix"))
     domains = domains.join(suffixes, "suffix").select("domain", "suffix", drawn("s", "p_suffix").alias("p_domain"))
     return hosts.join(domains, ["domain", "suffix"]).select("host", F.col("s").alias("own"), F.col("p_domain").alias("prior"))
 
@@ -174,10 +175,12 @@ def identify(pages: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame
     execution splits.
     """
     rows = text_likelihoods(evidence(pages), model)
-    naming = _add(_naming(F.col("declared"), langs, DECLARED_RIGHT), _naming(F.coalesce(F.get(F.array(F.create_map(*[F.lit(x) for kv in SUFFIX_LANGUAGE.items() for x in kv])), F.lit(0))[F.col("suffix")], F.lit("")), langs, SUFFIX_RIGHT))
+    country = F.create_map(*[F.lit(x) for kv in SUFFIX_LANGUAGE.items() for x in kv])
+    by_suffix = _naming(F.coalesce(country[F.col("suffix")], F.lit("")), langs, SUFFIX_RIGHT)
+    naming = _add(_naming(F.col("declared"), langs, DECLARED_RIGHT), by_suffix)
     rows = rows.withColumn("evidence", _add(F.col("loglik"), naming))
     rows = rows.withColumn("soft", _shares(_normalise(F.col("evidence"))))
-    rows = common.materialise(rows.drop("suffix_lang"), "page-evidence")
+    rows = common.materialise(rows, "page-evidence")
     priors = host_priors(rows, len(langs))
     joined = rows.join(priors.hint("merge"), "host")
     others = F.zip_with("own", "soft", lambda o, s: F.greatest(o - s, F.lit(0.0)))
