@@ -24,8 +24,8 @@ WIDTH = 5
 #: Similarity times 100.
 PERCENT = 75
 #: Text in a chunk, and shingles in a counting bucket: what one task holds.
-CHUNK_BYTES = 16_000_000
-BUCKET_SHINGLES = 4_000_000
+CHUNK_BYTES = 8_000_000
+BUCKET_SHINGLES = 2_000_000
 #: Classes of shingle hashes in a suffix filter.
 CLASSES = 64
 
@@ -105,6 +105,8 @@ def frequent(fragments: DataFrame) -> DataFrame:
                 chunks.append(chunk)
                 lists.append(values[a:b][keep].tobytes())
                 ranks.append(rank[a:b][keep].tobytes())
+        del hashes, values, counts, order, total
+        textnum.tidy()
         bucket = pa.array(np.full(len(chunks), table.column("bucket")[0].as_py()), pa.int64())
         return pa.Table.from_arrays([pa.array(chunks, pa.int64()), bucket, pa.array(lists, pa.binary()), pa.array(ranks, pa.binary())], ["chunk", "bucket", "hashes", "rank"])
 
@@ -222,24 +224,23 @@ def to_centres(postings: DataFrame) -> DataFrame:
 def across(postings: DataFrame, roots: DataFrame) -> DataFrame:
     """Every pair that may be similar and isn't connected yet.
 
-    Length filter and the first shared place bound each match; then, over all
-    shared prefix shingles of a pair, the positional filter: shared so far plus
-    what can follow the last of them.
+    Matches pass the length filter and a positional one: from a pair's first
+    shared shingle on, either set must have room for the whole intersection.  Then,
+    over all such matches of a pair, those so far and what can follow the last.
     """
     at = postings.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = at.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
     at = common.materialise(at.join(mixed, "token"), "open-postings")
     x, y = at.alias("x"), at.alias("y")
     n_x, n_y = F.col("x.n"), F.col("y.n")
-    left_over = lambda p, q: F.least(n_x - p, n_y - q)
-    first = F.least("x.place", "y.place") + left_over(F.col("x.place"), F.col("y.place"))
+    room = F.least(n_x - F.col("x.place"), n_y - F.col("y.place"))
     pairs = x.join(
         y,
         (F.col("x.token") == F.col("y.token"))
         & (F.col("x.id") < F.col("y.id"))
         & (F.col("x.root") != F.col("y.root"))
         & (F.least(n_x, n_y) * 100 >= F.greatest(n_x, n_y) * PERCENT)
-        & (first >= least_common(n_x, n_y)),
+        & (room >= least_common(n_x, n_y)),
     )
     pairs = pairs.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), n_x.alias("n_x"), n_y.alias("n_y")).agg(
         F.count("*").alias("c"), F.max("x.place").alias("p"), F.max("y.place").alias("q")
