@@ -13,8 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a batch that goes to Python, where the session has the default of 10,000: texts are long.
+BATCH_ROWS = 2000
+
+
 def ship(spark: SparkSession) -> None:
-    """Give executors this package unless PYTHONPATH does so already."""
+    """Ready a session: smaller Arrow batches, and this package for executors unless PYTHONPATH has it."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root = Path(__file__).resolve().parents[2]
     sc = spark.sparkContext
     if str(root) in os.environ.get("PYTHONPATH", "").split(":") or getattr(sc, "_shipped", False):
@@ -49,6 +55,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet into the shared folder and read it back."""
+    ship(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, tokens
+from . import common, textnum, tokens
 
 SEQUENCE = 1024
 #: The linear program may stop this close to its bound.
@@ -46,6 +46,7 @@ def pieces_of(docs: DataFrame, path: str, ranks_path: str, capacity: int = SEQUE
                 rows += [(doc, k // 4, min(capacity, n - k // 4), zlib.crc32(view[k : k + step]), n) for k in range(0, len(ids), step)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
+        textnum.tidy()
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 

@@ -6,6 +6,8 @@ a handful of array operations per megabyte rather than Python calls per word.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,13 @@ NOT_ALNUM[48:58] = NOT_ALNUM[65:91] = NOT_ALNUM[97:123] = NOT_ALNUM[128:] = Fals
 _powers: list[np.ndarray] = []
 
 
+def tidy() -> None:
+    """Hand freed memory back to the system: a worker lives on for other work."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (in place)."""
     x ^= x >> np.uint64(33)
@@ -76,6 +85,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             end = min(max(end, start + 1), start + BLOCK_ROWS, batch.num_rows)
             yield batch.slice(start, end - start), data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start]
             start = end
+    tidy()
 
 
 def words(data: np.ndarray, offsets: np.ndarray, delimiter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

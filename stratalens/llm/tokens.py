@@ -15,7 +15,7 @@ import re
 import numpy as np
 
 #: Distinct words kept per worker before the cache starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 
 # The word rule over the range below; letters and digits beyond ASCII are spelled out.
 _L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -36,10 +36,9 @@ class WordIds(dict):
 
     def __init__(self, path: str, ranks_path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         super().__init__()
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.one = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -50,6 +49,13 @@ class WordIds(dict):
         self[word] = ids = np.array(self.one(word), "<u4").tobytes()
         return ids
 
+    @functools.cached_property
+    def whole(self):
+        """The library's own tokenizer, loaded once a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def plain(self, text: str) -> bool:
         return _ODD_CHARACTER.search(text) is None and SPECIAL not in text
 
