@@ -95,10 +95,15 @@ def sampled(texts: DataFrame) -> DataFrame:
     return texts.select("key", "text").mapInArrow(run, "seed long, key long, pos int")
 
 
+AROUND = "seed long, key long, pos int, hot boolean, right binary, left binary, around long, spots array<int>"
+
+
 def contexts(texts: DataFrame, places: DataFrame) -> DataFrame:
     """Add to (seed, key, pos, hot) the bytes from ``pos`` on and, reversed, those before it: all that a window around it can reach.
 
-    ``around`` is a hash of both.  For hot seeds a batch gives equal surroundings once; the rest are null.
+    ``around`` is a hash of both.  Suffixes of hot seeds in equal surroundings are
+    one row of a text, with all their places in ``spots``, and a batch gives the
+    bytes of equal surroundings once; elsewhere these are null.
     """
     listed = places.groupBy("key").agg(F.collect_list(F.struct("pos", "seed", "hot")).alias("at"))
     joined = listed.hint("merge").join(texts.select("key", "text"), "key")
@@ -108,20 +113,25 @@ def contexts(texts: DataFrame, places: DataFrame) -> DataFrame:
             seen: set[int] = set()
             for key, at, text in zip(batch.column("key"), batch.column("at"), batch.column("text"), strict=True):
                 whole = text.as_py()
-                fields = at.values.flatten()
-                pos, hot = fields[0].to_pylist(), fields[2].to_pylist()
-                right: list = [whole[p : p + LENGTH] for p in pos]
-                left: list = [whole[max(0, p - (LENGTH - SEED)) : p][::-1] for p in pos]
-                around = [int.from_bytes(hashlib.blake2b(a + b"\0%d" % len(a) + b, digest_size=8).digest(), "big", signed=True) for a, b in zip(left, right, strict=True)]
-                for i, (is_hot, h) in enumerate(zip(hot, around, strict=True)):
-                    if is_hot and h in seen:
-                        right[i] = left[i] = None
-                    elif is_hot:
-                        seen.add(h)
-                columns = [fields[1], pa.array(np.full(len(pos), key.as_py()), pa.int64()), fields[0], fields[2], pa.array(right, pa.binary()), pa.array(left, pa.binary()), pa.array(around, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["seed", "key", "pos", "hot", "right", "left", "around"])
-
-    return joined.select("key", "at", "text").mapInArrow(run, "seed long, key long, pos int, hot boolean, right binary, left binary, around long")
+                rows: list[list] = []
+                own: dict[int, list[int]] = {}
+                for p, seed, hot in zip(*(c.to_pylist() for c in at.values.flatten()), strict=True):
+                    right, left = whole[p : p + LENGTH], whole[max(0, p - (LENGTH - SEED)) : p][::-1]
+                    if not hot:
+                        rows.append([seed, key.as_py(), p, hot, right, left, None, None])
+                        continue
+                    h = int.from_bytes(hashlib.blake2b(left + b"\0%d" % len(left) + right, digest_size=8).digest(), "big", signed=True)
+                    if h in own:
+                        own[h].append(p)
+                        continue
+                    own[h] = [p]
+                    known = h in seen
+                    seen.add(h)
+                    rows.append([seed, key.as_py(), p, hot, None if known else right, None if known else left, h, own[h]])
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in AROUND.split(", ")])
+
+    return joined.select("key", "at", "text").mapInArrow(run, AROUND)
 
 
 def matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -275,7 +285,7 @@ def hot_cover(rows: DataFrame, hot: int) -> DataFrame:
     Surroundings that occur twice are covered whole.  Counting combines before its
     shuffle, and only different surroundings of a seed are sorted together.
     """
-    classes = rows.groupBy("seed", "around").agg(F.first("right", True).alias("right"), F.first("left", True).alias("left"), F.count("*").alias("n"))
+    classes = rows.groupBy("seed", "around").agg(F.first("right", True).alias("right"), F.first("left", True).alias("left"), F.sum(F.size("spots")).alias("n"))
     classes = common.materialise(classes, "suffix-classes").withColumns({"key": F.col("around"), "pos": F.lit(0)})
     many = common.materialise(classes.groupBy("seed").agg((F.count("*") > hot).alias("many")), "suffix-counts")
     classes = classes.join(many, "seed")
@@ -285,19 +295,21 @@ def hot_cover(rows: DataFrame, hot: int) -> DataFrame:
         covers = covers.unionByName(counted_cover(classes.filter("many")))
     # everything covered around a suffix joins up at the suffix
     covers = covers.groupBy(F.col("key").alias("around")).agg(F.min("first").alias("back"), F.max("past").alias("ahead"))
-    spots = rows.select("key", "pos", "around").join(covers, "around")
-    return spots.select("key", (F.col("pos") + F.col("back")).alias("first"), (F.col("pos") + F.col("ahead")).alias("past"))
+    spots = rows.select("key", "spots", "around").join(covers, "around")
+    spans = F.transform("spots", lambda p: F.struct((p + F.col("back")).cast("int").alias("first"), (p + F.col("ahead")).cast("int").alias("past")))
+    return spots.select("key", spans.alias("spans"))
 
 
 def cover(texts: DataFrame, hot: int = HOT) -> DataFrame:
-    """Byte ranges of distinct texts that repeat, overlapping and unsorted: (key, first, past)."""
+    """Byte ranges of distinct texts that repeat, overlapping and unsorted: (key, array of (first, past))."""
     suffixes = common.materialise(sampled(texts), "suffixes")
     often = suffixes.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed", (F.col("n") > hot).alias("hot"))
     around = contexts(texts, suffixes.join(often.hint("merge"), "seed"))
-    if often.filter("hot").isEmpty():
-        return sorted_by_seed(around)
-    around = common.materialise(around, "suffix-contexts")
-    return sorted_by_seed(around.filter("not hot")).unionByName(hot_cover(around.filter("hot"), hot))
+    any_hot = not often.filter("hot").isEmpty()
+    if any_hot:
+        around = common.materialise(around, "suffix-contexts")
+    out = sorted_by_seed(around.filter("not hot")).select("key", F.array(F.struct("first", "past")).alias("spans"))
+    return out.unionByName(hot_cover(around.filter("hot"), hot)) if any_hot else out
 
 
 CUT = "digest binary, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -311,7 +323,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     texts lose none.  Matches never cross texts.
     """
     texts = distinct_texts(docs)
-    spans = cover(texts, hot).groupBy("key").agg(F.collect_list(F.struct("first", "past")).alias("spans"))
+    spans = cover(texts, hot).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     joined = texts.select("key", "digest", "text", "copies").join(spans.hint("merge"), "key", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
