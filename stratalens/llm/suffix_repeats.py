@@ -7,6 +7,9 @@ lengths walks the interval tree, and the text to the left of each interval's
 members decides which of them are one maximal repeat.  Of a seed with more than
 ``HOT`` suffixes, those in equal surroundings are first counted as one; if more
 than ``HOT`` different ones are left, windows are hashed and counted instead.
+
+Passages of some number of words are found in the same way, in texts whose words
+are coded as bytes of one size.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +28,48 @@ from . import common, textnum
 
 LENGTH = 400
 SEED = 160
+#: Bytes of a word's code: some of the word's hash, then some of the hash of the white space up to the next word.
+CODE, OF_WORD = 8, 5
 #: Suffixes of one seed that a task sorts.
 HOT = 5_000
 #: Bytes of text in one bucket of the stored table of distinct texts, about.
 BUCKET_BYTES = 8_000_000
 
 
+class Form(NamedTuple):
+    """What counts as a repeat: ``length`` bytes, found by seeds of ``seed`` bytes, of texts or of the codes of their words."""
+
+    length: int = LENGTH
+    seed: int = SEED
+    coded: bool = False
+
+
+BYTES = Form()
+
+
+def passage(words: int) -> Form:
+    """Repeats of ``words`` whole words and the white space between them."""
+    length = words * CODE - (CODE - OF_WORD)
+    return Form(length, min(SEED, length), True)
+
+
+def codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of texts in which each word has become ``CODE`` bytes; the last gap of a text is zeros."""
+    start, end, row = textnum.words(data, offsets, textnum.SPACE)
+    gaps = np.zeros(len(start), np.uint64)
+    inner = np.flatnonzero(row[1:] == row[:-1])
+    gaps[inner] = textnum.word_hashes(data, end[inner], start[inner + 1], lower=False)
+    out = np.empty((len(start), CODE), np.uint8)
+    out[:, :OF_WORD] = textnum.word_hashes(data, start, end, lower=False).view(np.uint8).reshape(-1, 8)[:, 8 - OF_WORD :]
+    out[:, OF_WORD:] = gaps.view(np.uint8).reshape(-1, 8)[:, 8 - (CODE - OF_WORD) :]
+    return out.ravel(), np.append(0, np.cumsum(np.bincount(row, minlength=len(offsets) - 1))) * CODE
+
+
+def words_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the words of one text."""
+    return textnum.words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), textnum.SPACE)[:2]
+
+
 def seeds(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """(position, hash) of sampled suffixes: in each ``length``-byte window of a text, the leftmost least ``seed``-byte hash."""
     n, width = len(data), length - seed + 1
@@ -80,12 +120,14 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
-def sampled(texts: DataFrame) -> DataFrame:
+def sampled(texts: DataFrame, form: Form = BYTES) -> DataFrame:
     """(seed, key, pos) of every sampled suffix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in textnum.blocks(batches):
-            pos, hashes = seeds(data, offsets)
+            if form.coded:
+                data, offsets = codes(data, offsets)
+            pos, hashes = seeds(data, offsets, form.length, form.seed)
             row = np.searchsorted(offsets, pos, side="right") - 1
             keys = np.array(rows.column("key"))
             yield pa.RecordBatch.from_arrays(
@@ -98,7 +140,7 @@ def sampled(texts: DataFrame) -> DataFrame:
 AROUND = "seed long, key long, pos int, hot boolean, right binary, left binary, around long, spots array<int>"
 
 
-def contexts(texts: DataFrame, places: DataFrame) -> DataFrame:
+def contexts(texts: DataFrame, places: DataFrame, form: Form = BYTES) -> DataFrame:
     """Add to (seed, key, pos, hot) the bytes from ``pos`` on and, reversed, those before it: all that a window around it can reach.
 
     ``around`` is a hash of both.  Suffixes of hot seeds in equal surroundings are
@@ -113,10 +155,12 @@ def contexts(texts: DataFrame, places: DataFrame) -> DataFrame:
             seen: set[int] = set()
             for key, at, text in zip(batch.column("key"), batch.column("at"), batch.column("text"), strict=True):
                 whole = text.as_py()
+                if form.coded:
+                    whole = codes(np.frombuffer(whole, np.uint8), np.array([0, len(whole)]))[0].tobytes()
                 rows: list[list] = []
                 own: dict[int, list[int]] = {}
                 for p, seed, hot in zip(*(c.to_pylist() for c in at.values.flatten()), strict=True):
-                    right, left = whole[p : p + LENGTH], whole[max(0, p - (LENGTH - SEED)) : p][::-1]
+                    right, left = whole[p : p + form.length], whole[max(0, p - (form.length - form.seed)) : p][::-1]
                     if not hot:
                         rows.append([seed, key.as_py(), p, hot, right, left, None, None])
                         continue
@@ -206,10 +250,10 @@ def runs_of(between: np.ndarray, members: np.ndarray, need: int, reach: int) ->
         yield agreed - 1, reach, members[a : b + 1]
 
 
-def group_cover(right: np.ndarray, right_size: np.ndarray, left: np.ndarray, left_size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def group_cover(right: np.ndarray, right_size: np.ndarray, left: np.ndarray, left_size: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """For each suffix, how far to its left and right its repeats reach; -1 where it is in none."""
     before, after = np.full(len(right), -1), np.full(len(right), -1)
-    for back, ahead, members in repeats(right, right_size, left, left_size):
+    for back, ahead, members in repeats(right, right_size, left, left_size, length):
         before[members] = np.maximum(before[members], back)
         after[members] = np.maximum(after[members], ahead)
     return before, after
@@ -218,25 +262,25 @@ def group_cover(right: np.ndarray, right_size: np.ndarray, left: np.ndarray, lef
 COVER = "key long, first int, past int"
 
 
-def sorted_cover(sorted_contexts: DataFrame) -> DataFrame:
+def sorted_cover(sorted_contexts: DataFrame, form: Form = BYTES) -> DataFrame:
     """Covered bytes of each suffix; rows come with a seed's suffixes together and sorted."""
 
     def settle(table: pa.RecordBatch) -> pa.RecordBatch:
         seed, pos = np.array(table.column("seed")), np.array(table.column("pos")).astype(np.int64)
-        right, right_size = matrix(table.column("right"), LENGTH)
-        left, left_size = matrix(table.column("left"), LENGTH - SEED)
+        right, right_size = matrix(table.column("right"), form.length)
+        left, left_size = matrix(table.column("left"), form.length - form.seed)
         before, after = np.full(len(seed), -1), np.full(len(seed), -1)
         heads = np.flatnonzero(np.append(True, seed[1:] != seed[:-1]))
         size = np.diff(np.append(heads, len(seed)))
         two = heads[size == 2]  # most groups: no tree is needed
         back = common_lengths(left[two], left[two + 1], left_size[two], left_size[two + 1])
         ahead = common_lengths(right[two], right[two + 1], right_size[two], right_size[two + 1])
-        good = back + ahead >= LENGTH
+        good = back + ahead >= form.length
         for shift in (0, 1):
             before[two[good] + shift], after[two[good] + shift] = back[good], ahead[good]
         for h, n in zip(heads[size > 2], size[size > 2], strict=True):
             at = slice(h, h + n)
-            before[at], after[at] = group_cover(right[at], right_size[at], left[at], left_size[at])
+            before[at], after[at] = group_cover(right[at], right_size[at], left[at], left_size[at], form.length)
         hit = np.flatnonzero(before >= 0)
         keys = table.column("key").take(pa.array(hit))
         return pa.RecordBatch.from_arrays([keys, pa.array((pos - before)[hit], pa.int32()), pa.array((pos + after)[hit], pa.int32())], ["key", "first", "past"])
@@ -261,25 +305,25 @@ def sorted_cover(sorted_contexts: DataFrame) -> DataFrame:
     return sorted_contexts.select("seed", "key", "pos", "right", "left").mapInArrow(run, COVER)
 
 
-def counted_cover(rows: DataFrame) -> DataFrame:
+def counted_cover(rows: DataFrame, form: Form = BYTES) -> DataFrame:
     """The same for seeds of any number of suffixes: every window around one is hashed, and counted with map-side combine."""
     spots = rows.select("key", "pos", F.octet_length("left").alias("l"), F.concat(F.reverse(F.hex("left")), F.hex("right")).alias("h"), F.octet_length("right").alias("r"), "seed")
     # hex reversed keeps nibbles swapped alike on all rows, so equal strings stay equal
-    spots = spots.withColumn("d", F.explode(F.sequence(F.greatest(F.lit(0), F.lit(LENGTH) - F.col("r")), F.lit(LENGTH - SEED))))
-    spots = spots.filter((F.col("d") <= F.col("l")) & (F.lit(LENGTH) - F.col("d") <= F.col("r")))
-    window = F.expr(f"substring(h, 2 * (l - d) + 1, {2 * LENGTH})")
+    spots = spots.withColumn("d", F.explode(F.sequence(F.greatest(F.lit(0), F.lit(form.length) - F.col("r")), F.lit(form.length - form.seed))))
+    spots = spots.filter((F.col("d") <= F.col("l")) & (F.lit(form.length) - F.col("d") <= F.col("r")))
+    window = F.expr(f"substring(h, 2 * (l - d) + 1, {2 * form.length})")
     spots = spots.select("key", "pos", "d", F.xxhash64("seed", "d", window).alias("w"), F.xxhash64(window, "d").alias("v"))
     often = spots.groupBy("w", "v").count().filter("count > 1").drop("count")
     hit = spots.join(often, ["w", "v"], "left_semi")
-    return hit.select("key", (F.col("pos") - F.col("d")).alias("first"), (F.col("pos") - F.col("d") + LENGTH).alias("past"))
+    return hit.select("key", (F.col("pos") - F.col("d")).alias("first"), (F.col("pos") - F.col("d") + form.length).alias("past"))
 
 
-def sorted_by_seed(rows: DataFrame) -> DataFrame:
+def sorted_by_seed(rows: DataFrame, form: Form = BYTES) -> DataFrame:
     """A seed's suffixes meet in one task, in the order of their bytes."""
-    return sorted_cover(rows.repartition("seed").sortWithinPartitions("seed", "right"))
+    return sorted_cover(rows.repartition("seed").sortWithinPartitions("seed", "right"), form)
 
 
-def hot_cover(rows: DataFrame, hot: int) -> DataFrame:
+def hot_cover(rows: DataFrame, hot: int, form: Form = BYTES) -> DataFrame:
     """Covered bytes around suffixes of hot seeds, one look for all in equal surroundings.
 
     Surroundings that occur twice are covered whole.  Counting combines before its
@@ -289,10 +333,10 @@ def hot_cover(rows: DataFrame, hot: int) -> DataFrame:
     classes = common.materialise(classes, "suffix-classes").withColumns({"key": F.col("around"), "pos": F.lit(0)})
     many = common.materialise(classes.groupBy("seed").agg((F.count("*") > hot).alias("many")), "suffix-counts")
     classes = classes.join(many, "seed")
-    twice = classes.filter((F.col("n") > 1) & (F.octet_length("left") + F.octet_length("right") >= LENGTH))
-    covers = twice.select("key", (-F.octet_length("left")).alias("first"), F.octet_length("right").alias("past")).unionByName(sorted_by_seed(classes.filter("not many")))
+    twice = classes.filter((F.col("n") > 1) & (F.octet_length("left") + F.octet_length("right") >= form.length))
+    covers = twice.select("key", (-F.octet_length("left")).alias("first"), F.octet_length("right").alias("past")).unionByName(sorted_by_seed(classes.filter("not many"), form))
     if not many.filter("many").isEmpty():
-        covers = covers.unionByName(counted_cover(classes.filter("many")))
+        covers = covers.unionByName(counted_cover(classes.filter("many"), form))
     # everything covered around a suffix joins up at the suffix
     covers = covers.groupBy(F.col("key").alias("around")).agg(F.min("first").alias("back"), F.max("past").alias("ahead"))
     spots = rows.select("key", "spots", "around").join(covers, "around")
@@ -300,30 +344,38 @@ def hot_cover(rows: DataFrame, hot: int) -> DataFrame:
     return spots.select("key", spans.alias("spans"))
 
 
-def cover(texts: DataFrame, hot: int = HOT) -> DataFrame:
-    """Byte ranges of distinct texts that repeat, overlapping and unsorted: (key, array of (first, past))."""
-    suffixes = common.materialise(sampled(texts), "suffixes")
+def cover(texts: DataFrame, hot: int = HOT, form: Form = BYTES) -> DataFrame:
+    """Byte ranges of distinct texts, or of their codes, that repeat, overlapping and unsorted: (key, array of (first, past))."""
+    suffixes = common.materialise(sampled(texts, form), "suffixes")
     often = suffixes.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed", (F.col("n") > hot).alias("hot"))
-    around = contexts(texts, suffixes.join(often.hint("merge"), "seed"))
+    around = contexts(texts, suffixes.join(often.hint("merge"), "seed"), form)
     any_hot = not often.filter("hot").isEmpty()
     if any_hot:
         around = common.materialise(around, "suffix-contexts")
-    out = sorted_by_seed(around.filter("not hot")).select("key", F.array(F.struct("first", "past")).alias("spans"))
-    return out.unionByName(hot_cover(around.filter("hot"), hot)) if any_hot else out
+    out = sorted_by_seed(around.filter("not hot"), form).select("key", F.array(F.struct("first", "past")).alias("spans"))
+    return out.unionByName(hot_cover(around.filter("hot"), hot, form)) if any_hot else out
 
 
 CUT = "digest binary, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = HOT, words: int | None = None) -> DataFrame:
     """What is left of each distinct text: (digest, n_bytes, n_removed, n_spans, kept).
 
     ``digest`` is the MD5 of the text's bytes; rows that share a text share a result.
     A text with a copy elsewhere loses all its bytes if it has 400; null and empty
     texts lose none.  Matches never cross texts.
+
+    With ``words``, repeats of so many whole words go too, however few their bytes:
+    all from the first word to the last.
     """
     texts = distinct_texts(docs)
-    spans = cover(texts, hot).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = cover(texts, hot)
+    if words:
+        spans = spans.withColumn("passages", F.lit(None)).unionByName(cover(texts, hot, passage(words)).select("key", F.lit(None).alias("spans"), F.col("spans").alias("passages")))
+    else:
+        spans = spans.withColumn("passages", F.lit(None).cast("array<struct<first:int,past:int>>"))
+    spans = spans.groupBy("key").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "passages")])
     joined = texts.select("key", "digest", "text", "copies").join(spans.hint("merge"), "key", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,13 +383,19 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
             for start in range(0, batch.num_rows, 512):
                 rows = []
                 part = batch.slice(start, 512)
-                for digest, text, copies, spans in zip(*(part.column(c) for c in ("digest", "text", "copies", "spans")), strict=True):
+                for digest, text, copies, spans, passages in zip(*(part.column(c) for c in ("digest", "text", "copies", "spans", "passages")), strict=True):
                     whole = text.as_py()
                     n = len(whole)
-                    if copies.as_py() > 1 and n >= LENGTH:
+                    first, past = (np.array(c, np.int64) for c in spans.values.flatten()) if spans.is_valid else (np.zeros(0, np.int64),) * 2
+                    if passages.is_valid and len(passages.values):
+                        start, end = words_of(whole)
+                        a, b = (np.array(c, np.int64) for c in passages.values.flatten())
+                        a, b = -(-a // CODE), (b - OF_WORD) // CODE  # the first and the last whole word
+                        some = b - a + 1 >= words
+                        first, past = np.append(first, start[a[some]]), np.append(past, end[b[some]])
+                    if copies.as_py() > 1 and (n >= LENGTH or (words and len(words_of(whole)[0]) >= words)):
                         runs = [(0, n)]
-                    elif spans.is_valid:
-                        first, past = (np.array(c) for c in spans.values.flatten())
+                    elif len(first):
                         order = np.argsort(first, kind="stable")
                         first, past = first[order], np.maximum.accumulate(past[order])
                         new = np.append(True, first[1:] > past[:-1])
@@ -350,7 +408,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
                 kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in CUT.split(", ")])
 
-    return joined.select("digest", "text", "copies", "spans").mapInArrow(run, CUT)
+    return joined.select("digest", "text", "copies", "spans", "passages").mapInArrow(run, CUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
