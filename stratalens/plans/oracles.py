@@ -237,3 +237,5 @@ ORACLES = {
     "recent_feed": f"WITH {DOCS} SELECT id, source_name, topic FROM docs ORDER BY id DESC LIMIT 25",
     "filter_values": f"WITH {DOCS} SELECT DISTINCT topic FROM docs",
 }
+# The same with the bound of the reference's link discovery.
+ORACLES["page_links_full"] = ORACLES["page_links"].replace("WHERE rank <= 5", "WHERE rank <= 20")

@@ -299,6 +299,10 @@ def q_links(spark, d):
     return pages.links(table(spark, d, "pages"), TOKENS, 5)
 
 
+def q_links_full(spark, d):
+    return pages.links(table(spark, d, "pages"), TOKENS)
+
+
 def q_trust(spark, d):
     return table(spark, d, "documents").select("source").distinct().select("source", feeds.trust_by_name(F.col("source"), PACK).alias("trust"))
 
@@ -362,6 +366,7 @@ QUERIES = {
     "recency_bands": q_recency,
     "page_title_paragraphs": q_pages,
     "page_links": q_links,
+    "page_links_full": q_links_full,
     "trust_by_name": q_trust,
     "snippet_short": q_short,
     "recent_feed": q_feed,
