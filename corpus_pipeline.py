@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from stratalens.llm import common, ngram_join, packing, phrase_index, quality, suffix_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Words of a passage that is cut where it repeats: over 50.
-PASSAGE_WORDS = 51
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +52,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     of which a cut leaves only some bytes goes too.
     """
     common.ship(spark)
-    cut = suffix_repeats.remove_repeats(docs.select("doc_id", "text"), words=PASSAGE_WORDS).filter("n_removed > 0")
+    cut = suffix_repeats.remove_repeats(docs.select("doc_id", "text"), words=suffix_repeats.PASSAGE_WORDS).filter("n_removed > 0")
     cut = cut.select("digest", "kept").mapInArrow(_readable, "digest binary, left string")
     rows = docs.select(*COLUMNS).withColumn("digest", F.unhex(F.md5(common.text_bytes(F.col("text")))))
     out = rows.join(cut.hint("merge"), "digest", "left").withColumn("n_chars", F.when(F.col("left").isNull(), F.col("n_chars")).otherwise(F.length("left")))

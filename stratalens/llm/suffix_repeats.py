@@ -1,15 +1,16 @@
 """Removing long repeated byte strings with sparse enhanced suffix arrays.
 
 Suffixes are sampled where a window's least hash stands (winnowing), so any two
-equal 400-byte strings share a sampled suffix at the same place.  Suffixes that
-start with the same 160 bytes are sorted; a stack scan over their common-prefix
-lengths walks the interval tree, and the text to the left of each interval's
-members decides which of them are one maximal repeat.  Of a seed with more than
-``HOT`` suffixes, those in equal surroundings are first counted as one; if more
-than ``HOT`` different ones are left, windows are hashed and counted instead.
-
-Passages of some number of words are found in the same way, in texts whose words
-are coded as bytes of one size.
+equal windows share a sampled suffix at the same place.  Windows are all strings of
+400 bytes and, where passages are asked for, all runs of so many whole words that
+have fewer bytes than that.  Suffixes that start with the same seed are sorted; a
+stack scan over their common-prefix lengths walks the interval tree, and the text to
+the left of each interval's members decides which of them are one maximal repeat.
+
+Of a seed with more than ``HOT`` suffixes, those in equal surroundings are first
+counted as one.  If more than ``HOT`` different ones are left, they are split by
+longer common parts: each part of the windows around a suffix has a core that all
+of its windows hold, and only suffixes that share a core stay together.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,120 +27,181 @@ from pyspark.sql import functions as F
 from . import common, textnum
 
 LENGTH = 400
-SEED = 160
-#: Bytes of a word's code: some of the word's hash, then some of the hash of the white space up to the next word.
-CODE, OF_WORD = 8, 5
+#: Bytes that members of a group start with; with passages, no more than the shortest passage has.
+SEED = 96
+#: Words of the passages that ``query`` counts: over 50.
+PASSAGE_WORDS = 51
 #: Suffixes of one seed that a task sorts.
 HOT = 5_000
+#: Parts that the windows of a hot seed are split into each time.
+FAN = 7
 #: Bytes of text in one bucket of the stored table of distinct texts, about.
 BUCKET_BYTES = 8_000_000
+#: Low bits of a sorting key that hold a position; a text has fewer bytes than this allows.
+PLACE = 32
 
 
-class Form(NamedTuple):
-    """What counts as a repeat: ``length`` bytes, found by seeds of ``seed`` bytes, of texts or of the codes of their words."""
+def seed_bytes(words: int | None) -> int:
+    return min(SEED, 2 * words - 1) if words else SEED
 
-    length: int = LENGTH
-    seed: int = SEED
-    coded: bool = False
 
+def least_places(key: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The least key in each range, both ends included: answers from running minima over powers of two."""
+    out = np.empty(len(first), key.dtype)
+    level = np.frexp(last - first + 1)[1] - 1
+    order = np.argsort(level, kind="stable")
+    ends = np.searchsorted(level[order], np.arange(int(level.max(initial=0)) + 2))
+    for k in range(len(ends) - 1):
+        at = order[ends[k] : ends[k + 1]]
+        if len(at):
+            out[at] = np.minimum(key[first[at]], key[last[at] - (1 << k) + 1])
+        if k + 2 < len(ends):
+            key = np.minimum(key[: -(1 << k)], key[1 << k :])
+    return out
 
-BYTES = Form()
 
+def _ties(text: np.ndarray, hashes: np.ndarray, a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For windows of one text whose least hash stands in two places or more: (place to sample, period, whether no sample is needed).
 
-def passage(words: int) -> Form:
-    """Repeats of ``words`` whole words and the white space between them."""
-    length = words * CODE - (CODE - OF_WORD)
-    return Form(length, min(SEED, length), True)
-
-
-def codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of texts in which each word has become ``CODE`` bytes; the last gap of a text is zeros."""
-    start, end, row = textnum.words(data, offsets, textnum.SPACE)
-    gaps = np.zeros(len(start), np.uint64)
-    inner = np.flatnonzero(row[1:] == row[:-1])
-    gaps[inner] = textnum.word_hashes(data, end[inner], start[inner + 1], lower=False)
-    out = np.empty((len(start), CODE), np.uint8)
-    out[:, :OF_WORD] = textnum.word_hashes(data, start, end, lower=False).view(np.uint8).reshape(-1, 8)[:, 8 - OF_WORD :]
-    out[:, OF_WORD:] = gaps.view(np.uint8).reshape(-1, 8)[:, 8 - (CODE - OF_WORD) :]
-    return out.ravel(), np.append(0, np.cumsum(np.bincount(row, minlength=len(offsets) - 1))) * CODE
-
-
-def words_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(start, end) of the words of one text."""
-    return textnum.words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), textnum.SPACE)[:2]
-
-
-def seeds(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of sampled suffixes: in each ``length``-byte window of a text, the leftmost least ``seed``-byte hash."""
-    n, width = len(data), length - seed + 1
-    if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    up, down = textnum.powers(n)
-    total = np.empty(n + 1, np.uint64)
+    Such text is often periodic.  A window that lies in the periodic stretch from its
+    start on samples the last of the equal places, any other one the first, so that
+    all that reach over one end of the stretch agree.  A window that equals the one a
+    period earlier needs no sample: the earlier one has it, and both are repeats.
+    """
+    order = np.argsort(hashes, kind="stable")
+    same = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]])
+    following = np.zeros(len(hashes), np.int64)
+    following[order[same]] = order[same + 1]
+    period = following[left] - left
+    pick, again = left.copy(), np.zeros(len(a), bool)
+    for d in np.unique(period):
+        at = np.flatnonzero(period == d)
+        equal = text[:-d] == text[d:]
+        place = np.arange(len(equal))
+        broken = np.maximum.accumulate(np.where(equal, -1, place))
+        breaks = np.minimum.accumulate(np.where(equal, len(equal), place)[::-1])[::-1]
+        q = left[at]
+        start = np.where(q > 0, broken[q - 1] + 1, 0)  # the stretch of that period around q
+        end = np.where(q < len(equal), breaks[np.minimum(q, len(equal) - 1)], q) + d
+        pick[at] = np.where(a[at] >= start, right[at], q)
+        # whole words need equal neighbours too
+        again[at] = (a[at] - d - kind[at] >= start) & (b[at] + kind[at] <= end)
+    return pick, period, again
+
+
+def runs(first: np.ndarray, past: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs that ranges cover."""
+    if not len(first):
+        return first, past
+    order = np.argsort(first, kind="stable")
+    first, past = first[order], np.maximum.accumulate(past[order])
+    new = np.flatnonzero(np.append(True, first[1:] > past[:-1]))
+    return first[new], past[np.append(new[1:], len(first)) - 1]
+
+
+def seeds(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, words: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, hash) of sampled suffixes, and rows (first, past, kind) of stretches that repeat themselves.
+
+    In each window of a text it is the place with the least seed hash.  Windows are
+    ``length`` bytes (kind 0) or ``words`` whole words with fewer bytes (kind 1).
+    """
+    seed, size = seed_bytes(words), np.diff(offsets)
+    many = np.maximum(size - length + 1, 0)
+    a = np.repeat(offsets[:-1] - np.cumsum(many) + many, many) + np.arange(many.sum())
+    b, kind = a + length, np.zeros(len(a), np.int64)
+    if words:
+        start, end, row = textnum.words(data, offsets, textnum.SPACE)
+        n = max(len(start) - words + 1, 0)
+        good = np.flatnonzero((row[:n] == row[len(row) - n :]) & (end[len(end) - n :] - start[:n] < length))
+        a, b, kind = np.append(a, start[good]), np.append(b, end[good + words - 1]), np.append(kind, np.ones(len(good), np.int64))
+    none = np.zeros((0, 3), np.int64)
+    if not len(a):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), none
+    up, down = textnum.powers(len(data))
+    total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
-    np.cumsum(textnum._LETTERS[data] * up[:n], out=total[1:])
-    hashes = textnum.mix((total[seed:] - total[:-seed]) * down[: n - seed + 1])
-    # least of every `width` neighbours: running minima from both ends of blocks of that width
-    m = len(hashes)
-    place = np.uint64(max(24, int(m - 1).bit_length()))  # low bits give way to the position: ties go left
-    key = ((hashes >> place) << place) | np.arange(m, dtype=np.uint64)
-    pad = -m % width
-    grid = np.concatenate([key, np.full(pad, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, width)
-    ahead = np.minimum.accumulate(grid, axis=1).ravel()
-    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    starts = np.arange(n - length + 1)
-    least = np.minimum(behind[starts], ahead[starts + width - 1])
-    size = np.diff(offsets)
-    whole = np.zeros(n + 1, np.int64)  # windows that stay within one text
-    long = size >= length
-    np.add.at(whole, offsets[:-1][long], 1)
-    np.add.at(whole, offsets[1:][long] - length + 1, -1)
-    least = least[np.cumsum(whole)[: n - length + 1] > 0]
-    chosen = np.unique((least & np.uint64((1 << int(place)) - 1)).astype(np.int64))
-    return chosen, hashes[chosen]
+    np.cumsum(textnum._LETTERS[data] * up[: len(data)], out=total[1:])
+    hashes = textnum.mix((total[seed:] - total[:-seed]) * down[: len(data) - seed + 1])
+    del total
+    high, low = (hashes >> np.uint64(PLACE)).astype(np.uint32), np.uint64((1 << PLACE) - 1)
+    place = np.arange(len(hashes), dtype=np.uint64)
+    left = (least_places((hashes & ~low) | place, a, b - seed) & low).astype(np.int64)
+    # the few places whose hash comes again within reach: there the last such place is looked for too
+    near, reach = np.unique(left), length - seed
+    ahead = np.lib.stride_tricks.sliding_window_view(np.append(high, np.zeros(reach, np.uint32)), reach)
+    close = [near[k : k + 2048][(ahead[near[k : k + 2048] + 1] == high[near[k : k + 2048], None]).any(axis=1)] for k in range(0, len(near), 2048)]
+    found, picked, needed = [none], left.copy(), np.ones(len(a), bool)
+    if len(close := np.concatenate(close)):
+        owner = np.searchsorted(offsets, a, side="right") - 1
+        odd = np.zeros(len(size), bool)
+        odd[np.searchsorted(offsets, close, side="right") - 1] = True
+        at = np.flatnonzero(odd[owner])
+        right = (low - (least_places((hashes & ~low) | (low - place), a[at], b[at] - seed) & low)).astype(np.int64)
+        at, right = at[right > left[at]], right[right > left[at]]
+        order = np.argsort(owner[at], kind="stable")
+        at, right = at[order], right[order]
+        for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(owner[at])) + 1) if len(at) else ():
+            w = at[part]
+            o, past = offsets[owner[w[0]]], offsets[owner[w[0]] + 1]
+            pick, period, again = _ties(data[o:past], high[o : past - seed + 1], a[w] - o, b[w] - o, left[w] - o, right[part] - o, kind[w])
+            picked[w], needed[w] = pick + o, ~again
+            for k in (0, 1):
+                own = again & (kind[w] == k)
+                first, stop = runs(a[w[own]] - period[own], b[w[own]])
+                found.append(np.stack([first, stop, np.full(len(first), k)], axis=1))
+    chosen = np.unique(picked[needed])
+    return chosen, hashes[chosen], np.concatenate(found)
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
     """One row per distinct text, stored in buckets by ``key`` so that later joins leave texts where they are.
 
-    Columns: ``key`` (64 bits of the first row's id and digest), ``digest``, ``text``
+    Columns: ``key`` (a digest of the first row's id and text digest), ``digest``, ``text``
     (binary) and ``copies``.  Copies are counted before any text is moved.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", common.text_bytes(F.col("text")).alias("text"))
     rows = rows.withColumn("digest", F.unhex(F.md5("text")))
+    key = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"), F.lit(b" "), F.col("digest"))))
     counted = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max(F.octet_length("text")).alias("size"))
-    counted = common.materialise(counted.withColumn("key", F.xxhash64("doc_id", "digest")), "text-digests")
+    counted = common.materialise(counted.withColumn("key", key), "text-digests")
     buckets = max(spark.sparkContext.defaultParallelism, 8)
     buckets = max(buckets, (counted.agg(F.sum("size")).first()[0] or 0) // BUCKET_BYTES)
-    rows = rows.select(F.xxhash64("doc_id", "digest").alias("key"), "text").repartition(int(buckets), "key")
+    rows = rows.select(key.alias("key"), "text").repartition(int(buckets), "key")
     kept = rows.join(counted.select("key", "digest", "copies").hint("merge"), "key").dropDuplicates(["key"])
     name = f"distinct_texts_{uuid.uuid4().hex}"
     kept.write.bucketBy(int(buckets), "key").option("compression", "zstd").format("parquet").saveAsTable(name)
     return spark.table(name)
 
 
-def sampled(texts: DataFrame, form: Form = BYTES) -> DataFrame:
-    """(seed, key, pos) of every sampled suffix."""
+SAMPLED = "seed long, key binary, pos int, past int, kind int"
+
+
+def sampled(texts: DataFrame, words: int | None = None) -> DataFrame:
+    """Every sampled suffix (seed, key, pos), and, with a null seed, stretches of a text that repeat themselves (key, pos, past, kind)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in textnum.blocks(batches):
-            if form.coded:
-                data, offsets = codes(data, offsets)
-            pos, hashes = seeds(data, offsets, form.length, form.seed)
-            row = np.searchsorted(offsets, pos, side="right") - 1
-            keys = np.array(rows.column("key"))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes.view(np.int64)), pa.array(keys[row], pa.int64()), pa.array((pos - offsets[row]).astype(np.int32))], ["seed", "key", "pos"]
-            )
+            pos, hashes, own = seeds(data, offsets, LENGTH, words)
+            place = np.append(pos, own[:, 0])
+            row = np.searchsorted(offsets, place, side="right") - 1
+            n, m = len(pos), len(own)
+            columns = [
+                pa.concat_arrays([pa.array(hashes.view(np.int64)), pa.nulls(m, pa.int64())]),
+                rows.column("key").take(pa.array(row)),
+                pa.array(place - offsets[row], pa.int32()),
+                pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(own[:, 1] - offsets[row[n:]], pa.int32())]),
+                pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(own[:, 2], pa.int32())]),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SAMPLED.split(", ")])
 
-    return texts.select("key", "text").mapInArrow(run, "seed long, key long, pos int")
+    return texts.select("key", "text").mapInArrow(run, SAMPLED)
 
 
-AROUND = "seed long, key long, pos int, hot boolean, right binary, left binary, around long, spots array<int>"
+AROUND = "seed long, key binary, pos int, hot boolean, right binary, left binary, around binary, spots array<int>"
 
 
-def contexts(texts: DataFrame, places: DataFrame, form: Form = BYTES) -> DataFrame:
+def contexts(texts: DataFrame, places: DataFrame, seed_size: int) -> DataFrame:
     """Add to (seed, key, pos, hot) the bytes from ``pos`` on and, reversed, those before it: all that a window around it can reach.
 
     ``around`` is a hash of both.  Suffixes of hot seeds in equal surroundings are
@@ -152,19 +213,17 @@ def contexts(texts: DataFrame, places: DataFrame, form: Form = BYTES) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: set[int] = set()
+            seen: set[bytes] = set()
             for key, at, text in zip(batch.column("key"), batch.column("at"), batch.column("text"), strict=True):
                 whole = text.as_py()
-                if form.coded:
-                    whole = codes(np.frombuffer(whole, np.uint8), np.array([0, len(whole)]))[0].tobytes()
                 rows: list[list] = []
-                own: dict[int, list[int]] = {}
+                own: dict[bytes, list[int]] = {}
                 for p, seed, hot in zip(*(c.to_pylist() for c in at.values.flatten()), strict=True):
-                    right, left = whole[p : p + form.length], whole[max(0, p - (form.length - form.seed)) : p][::-1]
+                    right, left = whole[p : p + LENGTH], whole[max(0, p - (LENGTH - seed_size)) : p][::-1]
                     if not hot:
                         rows.append([seed, key.as_py(), p, hot, right, left, None, None])
                         continue
-                    h = int.from_bytes(hashlib.blake2b(left + b"\0%d" % len(left) + right, digest_size=8).digest(), "big", signed=True)
+                    h = hashlib.blake2b(b"%d " % len(left) + left + right, digest_size=16).digest()
                     if h in own:
                         own[h].append(p)
                         continue
@@ -172,7 +231,7 @@ def contexts(texts: DataFrame, places: DataFrame, form: Form = BYTES) -> DataFra
                     known = h in seen
                     seen.add(h)
                     rows.append([seed, key.as_py(), p, hot, None if known else right, None if known else left, h, own[h]])
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int32())]
+                kinds = [pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in AROUND.split(", ")])
 
     return joined.select("key", "at", "text").mapInArrow(run, AROUND)
@@ -250,40 +309,71 @@ def runs_of(between: np.ndarray, members: np.ndarray, need: int, reach: int) ->
         yield agreed - 1, reach, members[a : b + 1]
 
 
-def group_cover(right: np.ndarray, right_size: np.ndarray, left: np.ndarray, left_size: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """For each suffix, how far to its left and right its repeats reach; -1 where it is in none."""
-    before, after = np.full(len(right), -1), np.full(len(right), -1)
-    for back, ahead, members in repeats(right, right_size, left, left_size, length):
-        before[members] = np.maximum(before[members], back)
-        after[members] = np.maximum(after[members], ahead)
-    return before, after
-
+def _at_edge(rows: np.ndarray, size: np.ndarray, reach: int | np.ndarray) -> np.ndarray:
+    """Whether white space or the end of the text follows the first ``reach`` bytes of each row."""
+    reach = np.broadcast_to(reach, size.shape)
+    return (reach == size) | textnum.SPACE[rows[np.arange(len(size)), np.minimum(reach, rows.shape[1] - 1)]]
 
-COVER = "key long, first int, past int"
 
+def group_cover(right: np.ndarray, right_size: np.ndarray, left: np.ndarray, left_size: np.ndarray, words: int | None = None) -> np.ndarray:
+    """Rows (suffix, bytes left, bytes right, kind) of how far repeats reach around the suffixes of one group.
 
-def sorted_cover(sorted_contexts: DataFrame, form: Form = BYTES) -> DataFrame:
-    """Covered bytes of each suffix; rows come with a seed's suffixes together and sorted."""
+    Kind 0 has ``LENGTH`` bytes; kind 1 has fewer and may hold ``words`` whole words: an
+    end at which no other member has a word's end too is moved in by a byte.
+    """
+    before, after = np.full(len(right), -1), np.full(len(right), -1)
+    short: list[np.ndarray] = []
+    for back, ahead, members in repeats(right, right_size, left, left_size, 2 * words - 1 if words else LENGTH):
+        if back + ahead >= LENGTH:
+            before[members] = np.maximum(before[members], back)
+            after[members] = np.maximum(after[members], ahead)
+            continue
+        begins = _at_edge(left[members], left_size[members], back)
+        ends = _at_edge(right[members], right_size[members], ahead)
+        whole = begins & ends & ((begins & ends).sum() > 1)
+        begins, ends = begins & (begins.sum() > 1), ends & (ends.sum() > 1)
+        for on, b, a in ((whole, 0, 0), (begins & ~whole, 0, 1), (ends & ~whole, 1, 0), (~begins & ~ends, 1, 1)):
+            m = members[on]
+            short.append(np.stack([m, np.full(len(m), back - b), np.full(len(m), ahead - a), np.ones(len(m), np.int64)], axis=1))
+    hit = np.flatnonzero(before >= 0)
+    out = [np.stack([hit, before[hit], after[hit], np.zeros(len(hit), np.int64)], axis=1)]
+    if short:
+        found = np.concatenate(short)
+        found = found[np.lexsort((-found[:, 2], -found[:, 1], found[:, 0]))]
+        # of a suffix's reaches, by bytes to the left, only those that reach further right than all before
+        height = found[:, 0] * (2 * LENGTH) + found[:, 2] + LENGTH
+        out.append(found[np.append(True, height[1:] > np.maximum.accumulate(height)[:-1])])
+    return np.concatenate(out)
+
+
+def sorted_cover(sorted_contexts: DataFrame, words: int | None = None) -> DataFrame:
+    """Ranges (key, first, past, kind) around suffixes; rows come with a seed's suffixes together and sorted."""
+    seed_size = seed_bytes(words)
 
     def settle(table: pa.RecordBatch) -> pa.RecordBatch:
         seed, pos = np.array(table.column("seed")), np.array(table.column("pos")).astype(np.int64)
-        right, right_size = matrix(table.column("right"), form.length)
-        left, left_size = matrix(table.column("left"), form.length - form.seed)
-        before, after = np.full(len(seed), -1), np.full(len(seed), -1)
+        right, right_size = matrix(table.column("right"), LENGTH)
+        left, left_size = matrix(table.column("left"), LENGTH - seed_size)
         heads = np.flatnonzero(np.append(True, seed[1:] != seed[:-1]))
         size = np.diff(np.append(heads, len(seed)))
         two = heads[size == 2]  # most groups: no tree is needed
         back = common_lengths(left[two], left[two + 1], left_size[two], left_size[two + 1])
         ahead = common_lengths(right[two], right[two + 1], right_size[two], right_size[two + 1])
-        good = back + ahead >= form.length
+        long = back + ahead >= LENGTH
+        found = []
         for shift in (0, 1):
-            before[two[good] + shift], after[two[good] + shift] = back[good], ahead[good]
+            found.append(np.stack([two[long] + shift, back[long], ahead[long], np.zeros(long.sum(), np.int64)], axis=1))
+        if words:
+            may = ~long & (back + ahead >= 2 * words - 1)
+            t, b, a = two[may], back[may], ahead[may]
+            b = b - ~(_at_edge(left[t], left_size[t], b) & _at_edge(left[t + 1], left_size[t + 1], b))
+            a = a - ~(_at_edge(right[t], right_size[t], ahead[may]) & _at_edge(right[t + 1], right_size[t + 1], ahead[may]))
+            found += [np.stack([t + shift, b, a, np.ones(len(t), np.int64)], axis=1) for shift in (0, 1)]
         for h, n in zip(heads[size > 2], size[size > 2], strict=True):
             at = slice(h, h + n)
-            before[at], after[at] = group_cover(right[at], right_size[at], left[at], left_size[at], form.length)
-        hit = np.flatnonzero(before >= 0)
-        keys = table.column("key").take(pa.array(hit))
-        return pa.RecordBatch.from_arrays([keys, pa.array((pos - before)[hit], pa.int32()), pa.array((pos + after)[hit], pa.int32())], ["key", "first", "past"])
+            found.append(group_cover(right[at], right_size[at], left[at], left_size[at], words) + np.array([h, 0, 0, 0]))
+        row, back, ahead, kind = np.concatenate(found).T
+        return pa.RecordBatch.from_arrays([table.column("key").take(pa.array(row)), pa.array(pos[row] - back, pa.int32()), pa.array(pos[row] + ahead, pa.int32()), pa.array(kind, pa.int32())], ["key", "first", "past", "kind"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # the last, perhaps unfinished, seed
@@ -302,119 +392,193 @@ def sorted_cover(sorted_contexts: DataFrame, form: Form = BYTES) -> DataFrame:
         if held:
             yield settle(pa.concat_batches(held))
 
-    return sorted_contexts.select("seed", "key", "pos", "right", "left").mapInArrow(run, COVER)
+    return sorted_contexts.select("seed", "key", "pos", "right", "left").mapInArrow(run, "key binary, first int, past int, kind int")
 
 
-def counted_cover(rows: DataFrame, form: Form = BYTES) -> DataFrame:
-    """The same for seeds of any number of suffixes: every window around one is hashed, and counted with map-side combine."""
-    spots = rows.select("key", "pos", F.octet_length("left").alias("l"), F.concat(F.reverse(F.hex("left")), F.hex("right")).alias("h"), F.octet_length("right").alias("r"), "seed")
-    # hex reversed keeps nibbles swapped alike on all rows, so equal strings stay equal
-    spots = spots.withColumn("d", F.explode(F.sequence(F.greatest(F.lit(0), F.lit(form.length) - F.col("r")), F.lit(form.length - form.seed))))
-    spots = spots.filter((F.col("d") <= F.col("l")) & (F.lit(form.length) - F.col("d") <= F.col("r")))
-    window = F.expr(f"substring(h, 2 * (l - d) + 1, {2 * form.length})")
-    spots = spots.select("key", "pos", "d", F.xxhash64("seed", "d", window).alias("w"), F.xxhash64(window, "d").alias("v"))
-    often = spots.groupBy("w", "v").count().filter("count > 1").drop("count")
-    hit = spots.join(often, ["w", "v"], "left_semi")
-    return hit.select("key", (F.col("pos") - F.col("d")).alias("first"), (F.col("pos") - F.col("d") + form.length).alias("past"))
+def sorted_by_seed(rows: DataFrame, words: int | None = None) -> DataFrame:
+    """A seed's suffixes meet in one task, in the order of their bytes."""
+    return sorted_cover(rows.repartition("seed").sortWithinPartitions("seed", "right"), words)
 
 
-def sorted_by_seed(rows: DataFrame, form: Form = BYTES) -> DataFrame:
-    """A seed's suffixes meet in one task, in the order of their bytes."""
-    return sorted_cover(rows.repartition("seed").sortWithinPartitions("seed", "right"), form)
+def windows_around(left: bytes, right: bytes, kind: int, words: int | None) -> dict[int, tuple[int, int]]:
+    """By number, the windows of one kind around a suffix: bytes to the left, bytes to the right.
 
+    Numbers rise with the bytes to the left.  ``left`` is reversed.
+    """
+    seed = seed_bytes(words)
+    if not kind:
+        return {d: (d, LENGTH - d) for d in range(max(0, LENGTH - len(right)), min(LENGTH - seed, len(left)) + 1)}
+    start, end, _ = textnum.words(np.frombuffer(left[::-1] + right, np.uint8), np.array([0, len(left) + len(right)]), textnum.SPACE)
+    start, end = (start - len(left)).tolist(), (end - len(left)).tolist()
+    if start and len(left) == LENGTH - seed and start[0] == -len(left):  # may begin further left
+        start, end = start[1:], end[1:]
+    if end and len(right) == LENGTH and end[-1] == len(right):
+        start, end = start[:-1], end[:-1]
+    own = sum(s < 0 for s in start)
+    found = {own - i: (-start[i], end[i + words - 1]) for i in range(len(start) - words + 1)}
+    return {j: (b, a) for j, (b, a) in found.items() if b >= 0 and a >= seed and a + b < LENGTH}
+
+
+def split_hot(classes: DataFrame, hot: int, words: int | None = None) -> DataFrame:
+    """The same ranges for seeds with more than ``hot`` different surroundings: (seed, around, left, right).
+
+    The numbered windows around each suffix are dealt into parts.  Whatever shares one
+    of a part's windows shares the part's core: the left bytes of its first window and
+    the right bytes of its last.  Suffixes that are alone with a core drop out, up to
+    ``hot`` of them are sorted as one group, and others are split again; a part of one
+    window is a repeat itself.
+    """
 
-def hot_cover(rows: DataFrame, hot: int, form: Form = BYTES) -> DataFrame:
-    """Covered bytes around suffixes of hot seeds, one look for all in equal surroundings.
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for around, left, right, kind, low, high in zip(*(batch.column(c).to_pylist() for c in ("around", "left", "right", "kind", "low", "high")), strict=True):
+                found = windows_around(left, right, kind, words)
+                step = -(-(high - low + 1) // FAN)
+                for a in range(low, high + 1, step):
+                    z = min(a + step - 1, high)
+                    inside = [w for j, w in found.items() if a <= j <= z]
+                    if not inside:
+                        continue
+                    if kind:  # the core goes by words, whichever windows this suffix has
+                        b, n = _word_core(left, right, a, max(0, words - z))
+                    else:
+                        b, n = a, LENGTH - z
+                    core = hashlib.blake2b(b"%d %d %d %d " % (kind, a, z, b) + left[:b] + right[:n], digest_size=16).digest()
+                    rows.append((core, around, kind, a, z, b, n))
+            kinds = [pa.binary(), pa.binary(), *[pa.int32()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["core", "around", "kind", "low", "high", "back", "ahead"])
+
+    top = max(LENGTH, words or 0)
+    kinds = F.array(*[F.lit(k) for k in ([0, 1] if words else [0])])
+    nodes = classes.select("around", F.explode(kinds).alias("kind"), F.lit(0).alias("low"), F.lit(top).alias("high"))
+    bytes_of = classes.select("around", "left", "right")
+    out, schema = None, "core binary, around binary, kind int, low int, high int, back int, ahead int"
+    while True:
+        made = common.materialise(nodes.join(bytes_of, "around").mapInArrow(split, schema), "suffix-cores")
+        sizes = common.materialise(made.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1"), "core-sizes")
+        made = common.materialise(made.join(sizes, "core"), "suffix-cores")
+        few = made.filter(F.col("n") <= hot).join(bytes_of, "around")
+        seed = F.conv(F.substring(F.hex("core"), 1, 15), 16, 10).cast("long").alias("seed")
+        found = sorted_by_seed(few.select(seed, F.col("around").alias("key"), F.lit(0).alias("pos"), "left", "right"), words)
+        found = found.unionByName(made.filter((F.col("n") > hot) & (F.col("low") == F.col("high"))).select(F.col("around").alias("key"), (-F.col("back")).alias("first"), F.col("ahead").alias("past"), "kind"))
+        out = found if out is None else out.unionByName(found)
+        nodes = made.filter((F.col("n") > hot) & (F.col("low") < F.col("high"))).select("around", "kind", "low", "high")
+        if nodes.isEmpty():
+            return out
+
+
+def _word_core(left: bytes, right: bytes, n_left: int, n_right: int) -> tuple[int, int]:
+    """Bytes to the left up to the start of the ``n_left``-th word that begins there, and to the right up to the end of the ``n_right``-th."""
+    start, end, _ = textnum.words(np.frombuffer(left[::-1] + right, np.uint8), np.array([0, len(left) + len(right)]), textnum.SPACE)
+    start, end = start - len(left), end - len(left)
+    own = int((start < 0).sum())
+    back = -int(start[own - n_left]) if n_left else 0
+    last = own + n_right - 1
+    return back, max(0, int(end[last])) if 0 <= last < len(end) else 0
+
+
+def hot_cover(rows: DataFrame, hot: int, words: int | None = None) -> DataFrame:
+    """Covered ranges around suffixes of hot seeds, one look for all in equal surroundings.
 
     Surroundings that occur twice are covered whole.  Counting combines before its
     shuffle, and only different surroundings of a seed are sorted together.
     """
     classes = rows.groupBy("seed", "around").agg(F.first("right", True).alias("right"), F.first("left", True).alias("left"), F.sum(F.size("spots")).alias("n"))
-    classes = common.materialise(classes, "suffix-classes").withColumns({"key": F.col("around"), "pos": F.lit(0)})
+    classes = common.materialise(classes, "suffix-classes")
     many = common.materialise(classes.groupBy("seed").agg((F.count("*") > hot).alias("many")), "suffix-counts")
-    classes = classes.join(many, "seed")
-    twice = classes.filter((F.col("n") > 1) & (F.octet_length("left") + F.octet_length("right") >= form.length))
-    covers = twice.select("key", (-F.octet_length("left")).alias("first"), F.octet_length("right").alias("past")).unionByName(sorted_by_seed(classes.filter("not many"), form))
+    classes = common.materialise(classes.join(many, "seed"), "suffix-classes")
+    twice = classes.filter((F.col("n") > 1) & (F.octet_length("left") + F.octet_length("right") >= LENGTH))
+    covers = twice.select(F.col("around").alias("key"), (-F.octet_length("left")).alias("first"), F.octet_length("right").alias("past"), F.lit(0).alias("kind"))
+    few = classes.filter("not many").select("seed", F.col("around").alias("key"), F.lit(0).alias("pos"), "left", "right")
+    covers = covers.unionByName(sorted_by_seed(few, words))
     if not many.filter("many").isEmpty():
-        covers = covers.unionByName(counted_cover(classes.filter("many"), form))
-    # everything covered around a suffix joins up at the suffix
-    covers = covers.groupBy(F.col("key").alias("around")).agg(F.min("first").alias("back"), F.max("past").alias("ahead"))
-    spots = rows.select("key", "spots", "around").join(covers, "around")
-    spans = F.transform("spots", lambda p: F.struct((p + F.col("back")).cast("int").alias("first"), (p + F.col("ahead")).cast("int").alias("past")))
+        covers = covers.unionByName(split_hot(classes.filter("many"), hot, words))
+    # what 400-byte strings cover around a suffix joins up at the suffix
+    long = covers.filter("kind = 0").groupBy("key").agg(F.array(F.struct(F.min("first").alias("first"), F.max("past").alias("past"), F.lit(0).alias("kind"))).alias("reach"))
+    short = covers.filter("kind = 1").groupBy("key").agg(F.collect_set(F.struct("first", "past", "kind")).alias("reach"))
+    covers = common.materialise(long.unionByName(short), "suffix-reaches")
+    spots = rows.select("key", "spots", "around").join(covers.withColumnRenamed("key", "around"), "around")
+    spans = F.flatten(F.transform("spots", lambda p: F.transform("reach", lambda r: F.struct((p + r["first"]).cast("int").alias("first"), (p + r["past"]).cast("int").alias("past"), r["kind"].alias("kind")))))
     return spots.select("key", spans.alias("spans"))
 
 
-def cover(texts: DataFrame, hot: int = HOT, form: Form = BYTES) -> DataFrame:
-    """Byte ranges of distinct texts, or of their codes, that repeat, overlapping and unsorted: (key, array of (first, past))."""
-    suffixes = common.materialise(sampled(texts, form), "suffixes")
-    often = suffixes.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed", (F.col("n") > hot).alias("hot"))
-    around = contexts(texts, suffixes.join(often.hint("merge"), "seed"), form)
+def cover(texts: DataFrame, hot: int = HOT, words: int | None = None) -> DataFrame:
+    """Byte ranges of distinct texts that repeat, overlapping and unsorted: (key, array of (first, past, kind)).
+
+    Those of kind 1 need a count of their whole words still.
+    """
+    found = common.materialise(sampled(texts, words), "suffixes")
+    suffixes = found.filter("seed is not null").select("seed", "key", "pos")
+    often = common.materialise(suffixes.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed", (F.col("n") > hot).alias("hot")), "shared-seeds")
+    around = contexts(texts, suffixes.join(often.hint("merge"), "seed"), seed_bytes(words))
     any_hot = not often.filter("hot").isEmpty()
     if any_hot:
         around = common.materialise(around, "suffix-contexts")
-    out = sorted_by_seed(around.filter("not hot"), form).select("key", F.array(F.struct("first", "past")).alias("spans"))
-    return out.unionByName(hot_cover(around.filter("hot"), hot, form)) if any_hot else out
+    span = F.array(F.struct("first", "past", "kind")).alias("spans")
+    out = sorted_by_seed(around.filter("not hot"), words).select("key", span)
+    out = out.unionByName(found.filter("seed is null").select("key", F.col("pos").alias("first"), "past", "kind").select("key", span))
+    return out.unionByName(hot_cover(around.filter("hot"), hot, words)) if any_hot else out
 
 
-CUT = "digest binary, n_bytes long, n_removed long, n_spans long, kept binary"
+CUT = "digest binary, n_bytes long, n_removed long, n_spans long, n_repeated long, n_passages long, kept binary"
 
 
-def remove_repeats(docs: DataFrame, hot: int = HOT, words: int | None = None) -> DataFrame:
-    """What is left of each distinct text: (digest, n_bytes, n_removed, n_spans, kept).
+def remove_repeats(docs: DataFrame, hot: int = HOT, words: int | None = None, strings_only: bool = False) -> DataFrame:
+    """What is left of each distinct text: (digest, n_bytes, n_removed, n_spans, n_repeated, n_passages, kept).
 
     ``digest`` is the MD5 of the text's bytes; rows that share a text share a result.
-    A text with a copy elsewhere loses all its bytes if it has 400; null and empty
-    texts lose none.  Matches never cross texts.
-
-    With ``words``, repeats of so many whole words go too, however few their bytes:
-    all from the first word to the last.
+    Bytes covered by a 400-byte string that occurs twice go.  With ``words``, repeats
+    of so many whole words go too, however few their bytes, unless ``strings_only``:
+    then they are counted only, in ``n_repeated`` (bytes) and ``n_passages`` (runs).
+
+    A text with a copy elsewhere loses all its bytes if it has 400 (or enough words);
+    null and empty texts lose none.  Matches never cross texts.  An empty table gives
+    an empty result.  A very long text is a block of its own, held some thirty times
+    over in a task.  Other columns of ``docs``, whatever their names, aren't read.
     """
     texts = distinct_texts(docs)
-    spans = cover(texts, hot)
-    if words:
-        spans = spans.withColumn("passages", F.lit(None)).unionByName(cover(texts, hot, passage(words)).select("key", F.lit(None).alias("spans"), F.col("spans").alias("passages")))
-    else:
-        spans = spans.withColumn("passages", F.lit(None).cast("array<struct<first:int,past:int>>"))
-    spans = spans.groupBy("key").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "passages")])
+    spans = cover(texts, hot, words).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     joined = texts.select("key", "digest", "text", "copies").join(spans.hint("merge"), "key", "left")
 
+    def cut(whole: bytes, copied: bool, spans: pa.Array) -> list:
+        n = len(whole)
+        first, past, kind = (np.array(c, np.int64) for c in spans.flatten()) if spans is not None else (np.zeros(0, np.int64),) * 3
+        strings = runs(first[kind == 0], past[kind == 0])
+        if copied and n >= LENGTH:
+            strings = np.array([0]), np.array([n])
+        every = strings
+        if words and (copied or len(first)):
+            start, end, _ = textnum.words(np.frombuffer(whole, np.uint8), np.array([0, n]), textnum.SPACE)
+            a, b = np.searchsorted(start, first[kind == 1]), np.searchsorted(end, past[kind == 1], side="right") - 1
+            some = b - a + 1 >= words
+            every = runs(np.append(strings[0], start[a[some]]), np.append(strings[1], end[b[some]]))
+            if copied and len(start) >= words:
+                every = np.array([0]), np.array([n])
+        gone = strings if strings_only else every
+        edges = [0, *np.stack(gone, axis=1).ravel().tolist(), n]
+        kept = b"".join(whole[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+        return [n, n - len(kept), len(gone[0]), int((every[1] - every[0]).sum()), len(every[0]), kept]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
-                rows = []
                 part = batch.slice(start, 512)
-                for digest, text, copies, spans, passages in zip(*(part.column(c) for c in ("digest", "text", "copies", "spans", "passages")), strict=True):
-                    whole = text.as_py()
-                    n = len(whole)
-                    first, past = (np.array(c, np.int64) for c in spans.values.flatten()) if spans.is_valid else (np.zeros(0, np.int64),) * 2
-                    if passages.is_valid and len(passages.values):
-                        start, end = words_of(whole)
-                        a, b = (np.array(c, np.int64) for c in passages.values.flatten())
-                        a, b = -(-a // CODE), (b - OF_WORD) // CODE  # the first and the last whole word
-                        some = b - a + 1 >= words
-                        first, past = np.append(first, start[a[some]]), np.append(past, end[b[some]])
-                    if copies.as_py() > 1 and (n >= LENGTH or (words and len(words_of(whole)[0]) >= words)):
-                        runs = [(0, n)]
-                    elif len(first):
-                        order = np.argsort(first, kind="stable")
-                        first, past = first[order], np.maximum.accumulate(past[order])
-                        new = np.append(True, first[1:] > past[:-1])
-                        runs = list(zip(first[new].tolist(), past[np.append(np.flatnonzero(new)[1:] - 1, len(past) - 1)].tolist(), strict=True))
-                    else:
-                        runs = []
-                    edges = [0, *(e for r in runs for e in r), n]
-                    kept = b"".join(whole[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                    rows.append((digest.as_py(), n, n - len(kept), len(runs), kept))
-                kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                rows = [[d.as_py(), *cut(t.as_py(), c.as_py() > 1, s.values if s.is_valid else None)] for d, t, c, s in zip(*(part.column(c) for c in ("digest", "text", "copies", "spans")), strict=True)]
+                kinds = [pa.binary(), *[pa.int64()] * 5, pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in CUT.split(", ")])
 
-    return joined.select("digest", "text", "copies", "spans", "passages").mapInArrow(run, CUT)
+    return joined.select("digest", "text", "copies", "spans").mapInArrow(run, CUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each document keeps once repeated 400-byte strings are gone."""
+    """What each document keeps once repeated 400-byte strings are gone.
+
+    ``n_passages`` and ``n_repeated`` say how many runs of repeated text, and bytes in
+    them, there are if passages of over 50 whole words count too.
+    """
     docs = common.table(spark, sf_dir, "documents")
-    cut = remove_repeats(docs).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+    cut = remove_repeats(docs, words=PASSAGE_WORDS, strings_only=True).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
     rows = docs.select("doc_id", F.unhex(F.md5(common.text_bytes(F.col("text")))).alias("digest"))
     out = rows.join(cut.hint("merge"), "digest")
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_repeated")

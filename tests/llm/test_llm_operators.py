@@ -6,7 +6,7 @@ import zipfile
 import zlib
 from collections import Counter, defaultdict
 
-import brute
+import llm_brute as brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F

@@ -7,7 +7,7 @@ from collections import Counter
 
 import corpus_pipeline
 import pytest
-from test_operators import DOCS, ROWS, words
+from test_llm_operators import DOCS, ROWS, words
 
 from stratalens.llm import suffix_repeats
 

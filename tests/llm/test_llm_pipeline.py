@@ -1,7 +1,7 @@
-import brute
+import llm_brute as brute
 import corpus_pipeline
 import pytest
-from test_operators import DOCS, corpus, words
+from test_llm_operators import DOCS, corpus, words
 
 import random
 
