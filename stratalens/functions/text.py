@@ -6,7 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Characters that count as white space, Unicode included.
-SPACE = r"[\s\p{Z}\x1c-\x1f\x85]+"
+_SPACES = r"\s\p{Z}\x1c-\x1f\x85"
+SPACE = f"[{_SPACES}]+"
+#: White space that isn't a single blank already.
+_UNEVEN = f"[{_SPACES}&&[^ ]][{_SPACES}]*| [{_SPACES}]+"
 # Fixed value: phrases that cleaning deletes.
 BOILERPLATE = "(?i)Cookie Policy|Privacy Policy|Terms of Use"
 
@@ -18,12 +21,12 @@ def strip(x: Column) -> Column:
 
 
 def collapse(x: Column) -> Column:
-    return F.regexp_replace(x, SPACE, " ")
+    return F.regexp_replace(x, _UNEVEN, " ")
 
 
 def clean(x: Column) -> Column:
     """White space collapsed, boilerplate deleted, ends stripped; null gives ''.  A second pass may change it again."""
-    return F.coalesce(strip(F.regexp_replace(collapse(x), BOILERPLATE, "")), F.lit(""))
+    return F.coalesce(F.trim(F.regexp_replace(collapse(x), BOILERPLATE, "")), F.lit(""))
 
 
 def content_hash(x: Column) -> Column:
@@ -32,22 +35,34 @@ def content_hash(x: Column) -> Column:
 
 
 def chunks(x: Column, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> Column:
-    """Overlapping windows of the cleaned text, in order; none for an empty text."""
-    text = clean(x)
+    """Overlapping windows of the cleaned text, in order; none for an empty text.
+
+    The text is cleaned and cut into pieces of ``max_chars - overlap`` once, and a
+    window is a piece with the beginning of the next: time is linear in the text.
+    """
     step = max_chars - overlap
-    last = F.greatest(F.lit(0), F.ceil((F.length(text) - max_chars) / F.lit(step)).cast("int"))
-    cut = F.transform(F.sequence(F.lit(0), last), lambda i: strip(F.substring(text, i * step + 1, F.lit(max_chars))))
-    return F.when(F.length(text) > 0, cut).otherwise(F.array().cast("array<string>"))
+    if not 0 <= overlap <= step:
+        raise ValueError("windows may overlap by half of their size at most")
+    pieces = F.regexp_extract_all(clean(x), F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+
+    def windows(ps: Column) -> Column:
+        n = F.size(ps)
+        covered = (F.length(F.try_element_at(ps, n)) <= overlap) & (n > 1)  # the window before holds the last piece
+        heads = F.slice(ps, F.lit(1), n - covered.cast("int"))
+        return F.transform(heads, lambda p, i: F.trim(F.concat(p, F.substring(F.coalesce(F.get(ps, i + 1), F.lit("")), 1, overlap))))
+
+    # a lambda's variable is a value: it isn't computed again for each window
+    return F.flatten(F.transform(F.array(pieces), lambda ps: F.when(F.size(ps) > 0, windows(ps)).otherwise(F.array().cast("array<string>"))))
 
 
 def token_count(x: Column) -> Column:
     """Words between white space."""
-    return F.when(F.length(strip(x)) > 0, F.size(F.split(strip(x), SPACE))).otherwise(0)
+    return F.regexp_count(x, F.lit(f"[^{_SPACES}]+"))
 
 
 def short(x: Column, n: int) -> Column:
     """At most about ``n`` characters: cut, the last partial word dropped, dots added."""
-    text = strip(collapse(F.coalesce(x, F.lit(""))))
+    text = flat(x)
     return F.when(F.length(text) > n, F.concat(F.regexp_replace(F.substring(text, 1, n), " [^ ]*$", ""), F.lit("..."))).otherwise(text)
 
 
@@ -69,7 +84,7 @@ def count_terms(lowered: Column, terms) -> Column:
 
 def flat(x: Column) -> Column:
     """One line: white space collapsed, ends stripped, null as ''."""
-    return strip(collapse(F.coalesce(x, F.lit(""))))
+    return F.trim(collapse(F.coalesce(x, F.lit(""))))
 
 
 def snippet_of(line: Column, lowered: Column, keywords, size: int = 550, before: int = 140) -> Column:

@@ -50,24 +50,35 @@ def data_gaps(docs: DataFrame) -> DataFrame:
     )
 
 
-def quality_scorecard(docs: DataFrame, sources: int, chunks: int, signals: int, recs: int, evidence: int) -> DataFrame:
-    """One row of capped ratios and their weighted total; counts come from aggregates."""
-    facts = docs.agg(F.count("*").alias("n"), F.avg(F.coalesce("trust_score", F.lit(0.5))).alias("trust"), F.count_distinct(F.coalesce("topic", F.lit("Unknown"))).alias("topics"))
-    n = F.greatest(F.col("n"), F.lit(1))
-    per_rec = evidence / max(recs, 1)
+def one_row(*parts: DataFrame) -> DataFrame:
+    """One-row frames side by side, as one row."""
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    return whole.agg(*[F.first(c, ignorenulls=True).alias(c) for c in whole.columns])
+
+
+def quality_scorecard(facts: DataFrame) -> DataFrame:
+    """One row of capped ratios and their weighted total.
+
+    ``facts`` is one row with documents, sources, chunks, signals, recommendations,
+    evidence, trust (a mean) and topics.
+    """
+    n = F.greatest(F.col("documents"), F.lit(1))
+    per_rec = F.col("evidence") / F.greatest(F.col("recommendations"), F.lit(1))
     capped = lambda x: F.least(x, F.lit(1.0))
     total = (
-        0.18 * capped(F.lit(sources / 25))
-        + 0.18 * capped(F.col("n") / 100)
-        + 0.14 * capped(F.lit(float(chunks)) / n)
-        + 0.16 * capped(F.lit(float(signals)) / n)
-        + 0.18 * capped(F.lit(per_rec / 5))
+        0.18 * capped(F.col("sources") / 25)
+        + 0.18 * capped(F.col("documents") / 100)
+        + 0.14 * capped(F.col("chunks") / n)
+        + 0.16 * capped(F.col("signals") / n)
+        + 0.18 * capped(per_rec / 5)
         + 0.08 * capped(F.coalesce("trust", F.lit(0.5)))
         + 0.08 * capped(F.col("topics") / 8)
     )
     return facts.select(
-        F.col("n").alias("documents"), F.lit(sources).alias("sources"), F.lit(chunks).alias("chunks"), F.lit(signals).alias("signals"),
-        F.round(F.lit(per_rec), 2).alias("evidence_per_recommendation"), F.round("trust", 3).alias("avg_trust"), "topics", F.round(total, 3).alias("quality_score"),
+        "documents", *[F.col(c).cast("int").alias(c) for c in ("sources", "chunks", "signals")],
+        F.round(per_rec, 2).alias("evidence_per_recommendation"), F.round("trust", 3).alias("avg_trust"), "topics", F.round(total, 3).alias("quality_score"),
     )
 
 

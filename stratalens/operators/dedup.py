@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import stored as store
 
 
 def first_by(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key by ``order``; combines before the shuffle, so a hot key is one row a task."""
-    first = df.groupBy(key).agg(F.min_by(F.struct(*df.columns), F.struct(order)).alias("_row"))
-    return first.select("_row.*")
+    """The first row of each key by ``order``; combines before the shuffle, so a hot key is one row a task.
+
+    A null key equals no other, so its rows all stay.
+    """
+    first = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*df.columns), F.struct(order)).alias("_row"))
+    return first.select("_row.*").unionByName(df.filter(F.col(key).isNull()))
 
 
 def admit(batch: DataFrame, stored: DataFrame | None = None, order: str = "seq") -> DataFrame:
@@ -19,26 +22,27 @@ def admit(batch: DataFrame, stored: DataFrame | None = None, order: str = "seq")
 
     A row is refused if an accepted or stored row has its url or its hash.  Rounds
     accept the rows that come first in both their groups and drop those that share
-    a key with them, until none is undecided.  A null url or hash matches nothing;
-    an empty one does.
+    a key with them, until none is undecided; each round is stored.  A null url or
+    hash matches nothing; an empty one does.
     """
-    ensure_checkpoint_dir(batch.sparkSession)
     rows = batch
     if stored is not None:
         for key in ("url", "content_hash"):
             rows = rows.join(stored.select(key).distinct(), key, "left_anti")
-    rows = rows.select(*batch.columns)
-    undecided, accepted = rows.select(order, "url", "content_hash").checkpoint(), None
+    rows = store(rows.select(*batch.columns))
+    # null keys stand for themselves
+    alone = F.concat(F.lit("#"), F.col(order))
+    undecided = rows.select(order, F.coalesce(F.concat(F.lit("u"), "url"), alone).alias("_u"), F.coalesce(F.concat(F.lit("h"), "content_hash"), alone).alias("_h"))
+    accepted = None
     while True:
-        # null keys stand for themselves
-        keyed = undecided.withColumns({"_u": F.coalesce(F.concat(F.lit("u"), "url"), F.concat(F.lit("#"), F.col(order))), "_h": F.coalesce(F.concat(F.lit("h"), "content_hash"), F.concat(F.lit("#"), F.col(order)))})
-        by_url = keyed.groupBy("_u").agg(F.min(order).alias("_mu"))
-        by_hash = keyed.groupBy("_h").agg(F.min(order).alias("_mh"))
-        marked = keyed.join(by_url, "_u").join(by_hash, "_h").withColumn("_win", (F.col(order) == F.col("_mu")) & (F.col(order) == F.col("_mh")))
-        won = marked.filter("_win").select(order, "_u", "_h").checkpoint()
+        by_url = undecided.groupBy("_u").agg(F.min(order).alias("_mu"))
+        by_hash = undecided.groupBy("_h").agg(F.min(order).alias("_mh"))
+        marked = undecided.join(by_url, "_u").join(by_hash, "_h")
+        marked = store(marked.withColumn("_win", (F.col(order) == F.col("_mu")) & (F.col(order) == F.col("_mh"))).drop("_mu", "_mh"))
+        won = marked.filter("_win")
         accepted = won.select(order) if accepted is None else accepted.unionByName(won.select(order))
-        rest = marked.filter("not _win").join(won.select("_u"), "_u", "left_anti").join(won.select("_h"), "_h", "left_anti")
-        undecided = rest.select(order, "url", "content_hash").checkpoint()
+        rest = marked.filter("not _win").drop("_win").join(won.select("_u"), "_u", "left_anti").join(won.select("_h"), "_h", "left_anti")
+        undecided = store(rest.select(order, "_u", "_h"))
         if undecided.isEmpty():
             return rows.join(accepted, order, "left_semi").select(*batch.columns)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels, scores
@@ -51,10 +51,9 @@ def recommendations(signals: DataFrame, pack: Pack) -> DataFrame:
 
 def evidence(signals: DataFrame, pack: Pack) -> DataFrame:
     """The first signals of each recommendation as evidence rows; chunk_id is never set."""
-    rows = supporting(signals, pack)
-    enough = rows.groupBy("recommendation_id").count().filter(F.col("count") >= MIN_SIGNALS).select("recommendation_id")
+    rows = supporting(signals, pack).withColumn("_n", F.count("*").over(Window.partitionBy("recommendation_id")))
     strength = scores.evidence_strength(F.col("confidence_score"), F.col("impact_score"), F.col("urgency_score"))
-    out = rows.filter(F.col("rank") <= EVIDENCE).join(enough, "recommendation_id", "left_semi")
+    out = rows.filter((F.col("rank") <= EVIDENCE) & (F.col("_n") >= MIN_SIGNALS))
     return out.select("recommendation_id", "rank", "document_id", F.lit(None).cast("long").alias("chunk_id"), strength.cast("double").alias("evidence_strength"))
 
 

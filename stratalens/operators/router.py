@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import labels
+from ..functions import labels, scores
+from ..functions.text import contains_any
 from ..rules import router as R
+from ..rules.pack import Pack
 
 
 def route(low: Column) -> dict[str, Column]:
@@ -54,9 +56,34 @@ def answer_confidence(evidence: Column, signal: Column, rec: Column, sources: Co
     return F.when(empty, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 3))
 
 
-def partner_gate(question: str) -> bool:
-    """Whether a question asks about partners at all."""
-    return any(t in question.lower() for t in R.PARTNER_TERMS)
+def asks_for_partners(low: Column) -> Column:
+    """Whether a question in lower case asks about partners at all."""
+    return contains_any(low, R.PARTNER_TERMS)
+
+
+def partners_for(questions: DataFrame, mentions: DataFrame, pack: Pack) -> DataFrame:
+    """One row for each question (with ``question`` and ``evidence_text``) that asks about partners and partner kept.
+
+    A partner is kept if the question or its evidence names it, or if any document
+    does; ``mentions`` has (name, mentions) for the pack's few partners.
+    """
+    low = F.lower(F.coalesce("question", F.lit("")))
+    names = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(n).alias("name"), F.lit(c).alias("country")) for i, (n, c) in enumerate(pack.partners)])
+    rows = questions.filter(asks_for_partners(low)).withColumn("_p", F.explode(names)).select(*questions.columns, "_p.*")
+    rows = rows.join(F.broadcast(mentions.select("name", "mentions")), "name")  # a row per partner of the pack
+    named = F.contains(low, F.lower("name")) | F.contains(F.lower(F.coalesce("evidence_text", F.lit(""))), F.lower("name"))
+    return rows.filter(named | (F.col("mentions") > 0)).withColumn("relevance", scores.partner_relevance(F.col("mentions")).cast("double"))
+
+
+def qa_log(answered: DataFrame) -> DataFrame:
+    """Log rows of answered questions (question, answer_markdown, confidence_score, evidence_count) with their routes."""
+    routed = route_questions(answered)
+    kept = ["question", "intent", "topic", "business_area", "region", "answer_markdown", "confidence_score", "evidence_count"]
+    return routed.select(*[c for c in answered.columns if c not in kept], *kept)
+
+
+def recent(log: DataFrame, n: int = 20) -> DataFrame:
+    return log.orderBy(F.desc("id")).limit(n)
 
 
 def qa_metrics(log: DataFrame) -> DataFrame:
@@ -69,6 +96,32 @@ def qa_metrics(log: DataFrame) -> DataFrame:
     )
 
 
+def intents(log: DataFrame) -> DataFrame:
+    """Questions of each intent, the most frequent first."""
+    return log.groupBy("intent").agg(F.count("*").alias("questions")).orderBy(F.desc("questions"), "intent")
+
+
+def evidence_pack(answers: DataFrame) -> Column:
+    """What is known for an answer, as JSON: the question, its route, and at most eight pieces of evidence and signals, five recommendations and eight partners.
+
+    ``answers`` has question, intent, topic, business_area, region, confidence_score and
+    the arrays evidence, signals, recommendations and partners; missing arrays are empty.
+    """
+    some = lambda c, n: F.coalesce(F.slice(F.col(c), 1, n), F.array()) if c in answers.columns else F.array()
+    return F.to_json(
+        F.struct(
+            F.col("question"),
+            F.struct("intent", "topic", "business_area", "region").alias("query_route"),
+            F.col("confidence_score").alias("answer_confidence_from_pipeline"),
+            some("evidence", 8).alias("retrieved_evidence"),
+            some("signals", 8).alias("strategic_signals"),
+            some("recommendations", 5).alias("existing_recommendations"),
+            some("partners", 8).alias("partner_options"),
+        ),
+        {"ignoreNullFields": "false"},
+    )
+
+
 DRILL_DOWNS = {
     "explain": "Explain recommendation '{title}' and why it was made.",
     "evidence": "Show me the evidence for recommendation '{title}'.",

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .dedup import top_per
+
 
 def inner_product(vector: Column, query: Sequence[float]) -> Column:
     """In doubles; null for vectors of another length or with a null."""
@@ -32,10 +35,56 @@ def search(vectors: DataFrame, query: Sequence[float], k: int = 8, where: Column
     return found.filter(F.col("score") >= min_score) if min_score is not None else found
 
 
+VECTORS = "vec_id long, embedding array<float>"
+
+
+def load_vectors(spark: SparkSession, path: str, schema: str = VECTORS) -> DataFrame:
+    """A stored vector table; no rows where there is none, so that nothing is found in it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
+def with_metadata(hits: DataFrame, chunks: DataFrame, docs: DataFrame, key: str = "vec_id") -> DataFrame:
+    """Hits with the chunk they stand for (its ``faiss_id`` is the hit's key) and its document's columns.
+
+    Hits are a few rows for each question: they are what is broadcast, if anything.
+    """
+    about = docs.select(F.col("id").alias("document_id"), "title", "url", "topic", "source_type", "source_name")
+    return hits.join(chunks.select(F.col("faiss_id").alias(key), "document_id", "chunk_index", "chunk_text"), key).join(about, "document_id")
+
+
+def retrieve(vectors: DataFrame, chunks: DataFrame, docs: DataFrame, query: Sequence[float], k: int = 8, topic: str | None = None, source_type: str | None = None) -> DataFrame:
+    """The ``k`` best chunks of some topic and type among the over-fetched candidates."""
+    found = with_metadata(search(vectors, query, overfetch(k)), chunks, docs)
+    for column, value in (("topic", topic), ("source_type", source_type)):
+        if value:
+            found = found.filter(F.col(column) == value)
+    return found.orderBy(F.desc("score"), "vec_id").limit(k)
+
+
+def probe(vectors: DataFrame, chunks: DataFrame, docs: DataFrame, probes: Sequence[tuple[Sequence[float], Sequence[str]]], k: int = 5) -> DataFrame:
+    """How each probe (a vector and expected terms) fares: results, mean score, terms found, passed.
+
+    All probes are scored in one scan of the vectors; a window keeps each one's best
+    before the shuffle.
+    """
+    scored = F.array(*[F.struct(F.lit(i).alias("probe"), inner_product(F.col("embedding"), q).alias("score")) for i, (q, _) in enumerate(probes)])
+    rows = vectors.select("vec_id", F.explode(scored).alias("s")).select("vec_id", "s.*").filter("score is not null")
+    best = with_metadata(top_per(rows, "probe", k, F.desc("score"), "vec_id"), chunks, docs)
+    low = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), "chunk_text"))
+    rows = vectors.sparkSession.createDataFrame([(i, list(terms)) for i, (_, terms) in enumerate(probes)], "probe int, terms array<string>")
+    hits = best.join(F.broadcast(rows), "probe").withColumn("found", F.filter("terms", lambda t: F.contains(low, F.lower(t))))
+    each = hits.groupBy("probe").agg(F.count("*").alias("results"), F.round(F.avg("score"), 3).alias("mean_score"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
+    out = rows.select("probe").join(each, "probe", "left")
+    return out.select(
+        "probe", F.coalesce("results", F.lit(0)).alias("results"), F.coalesce("mean_score", F.lit(0.0)).alias("mean_score"),
+        F.coalesce(F.array_join("found", ", "), F.lit("")).alias("matched"), (F.coalesce(F.size("found"), F.lit(0)) > 0).alias("passed"),
+    )
+
+
 def encode(text: Column, encoder, returns: str = "array<float>") -> Column:
     """Vectors from a pluggable encoder: a function of a list of texts that gives a list of vectors."""
-    import pandas as pd
-
     @F.pandas_udf(returns)
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series(list(encoder(texts.fillna("").tolist())))

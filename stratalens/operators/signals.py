@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels, scores, text
 from ..rules.pack import Pack
+from ..session import stored
 
 
 def chunk_documents(docs: DataFrame, min_chars: int = 40) -> DataFrame:
@@ -16,17 +17,26 @@ def chunk_documents(docs: DataFrame, min_chars: int = 40) -> DataFrame:
     return out.filter(F.length("chunk_text") >= min_chars).withColumn("token_count", text.token_count(F.col("chunk_text")))
 
 
+def chunk_count(clean_text: Column, min_chars: int = 40) -> Column:
+    """How many chunks ``chunk_documents`` makes of a text."""
+    kept = F.filter(text.chunks(clean_text), lambda c: F.length(c) >= min_chars)
+    return F.when(F.length(clean_text) > 50, F.size(kept)).otherwise(0)
+
+
 def dense_ids(chunks: DataFrame, name: str = "faiss_id") -> DataFrame:
     """Number chunks gaplessly by (document_id, chunk_index).
 
-    Counts per range of documents give each range's start, so only that small
-    table is summed in one place and rows are numbered within a document range.
+    Chunks are dealt into sorted ranges of about equal size and stored; a row's number
+    within its range is in its partition's running id, and only the few ranges' counts
+    are summed in one place.
     """
-    ranges = chunks.withColumn("_range", F.floor(F.col("document_id") / 1024))
-    counts = ranges.groupBy("_range").agg(F.count("*").alias("_n"))
+    ranges = chunks.repartitionByRange("document_id", "chunk_index").sortWithinPartitions("document_id", "chunk_index")
+    ranges = stored(ranges.withColumn("_id", F.monotonically_increasing_id()))
+    place, within = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = ranges.groupBy(place.alias("_range")).agg(F.count("*").alias("_n"))
     starts = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_range").orderBy("document_id", "chunk_index")
-    return ranges.join(starts, "_range").withColumn(name, F.col("_start") + F.row_number().over(inside) - 1).drop("_range", "_start")
+    numbered = ranges.withColumn("_range", place).join(F.broadcast(starts), "_range")  # a row per partition
+    return numbered.withColumn(name, F.col("_start") + within).drop("_range", "_start", "_id")
 
 
 def detect(docs: DataFrame, pack: Pack, as_of: str) -> DataFrame:
@@ -56,6 +66,7 @@ def detect(docs: DataFrame, pack: Pack, as_of: str) -> DataFrame:
             F.lit(ord_).alias("rule"),
             F.lit(rule.kind).alias("signal_type"),
             F.lit(rule.title).alias("title"),
+            F.lit(rule.description or rule.title).alias("description"),
             scores.dec(rule.strength).alias("strength"),
             text.snippet_of(F.col("line"), F.col("line_low"), rule.keywords).alias("evidence_text"),
         )
@@ -67,6 +78,7 @@ def detect(docs: DataFrame, pack: Pack, as_of: str) -> DataFrame:
         "m.signal_type",
         "topic",
         "m.title",
+        "m.description",
         labels.entities(F.col("whole"), pack.entities).alias("entities"),
         scores.impact(F.col("topic"), F.col("m.signal_type"), F.col("low"), pack).alias("impact_score"),
         scores.urgency(F.col("low"), F.col("recent"), pack).alias("urgency_score"),

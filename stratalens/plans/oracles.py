@@ -110,6 +110,15 @@ evidence AS (SELECT recommendation_id, rank, document_id, round((0.45 * confiden
 Q = "asked AS (SELECT conv_id, turn, text, lower(text) AS low FROM conversations WHERE role = 'user')"
 INTENT = first("low", R.INTENTS, R.DEFAULT_INTENT)
 
+WORDS = r"len(regexp_extract_all({0}, '[^ \t\n\r\f\v]+'))"
+SOURCES = f"""sources AS (SELECT regexp_extract(source, '(\\d+)$', 1)::BIGINT AS id, source AS name, arg_min(lang, doc_id) AS source_type,
+  ({case(((f'contains(lower(source), {s(k)})', v) for k, v in PACK.name_trust), PACK.default_name_trust)})::DOUBLE AS trust_score FROM documents WHERE source NOT IN ('src5', 'src13') GROUP BY source)"""
+NAMED = "CASE WHEN source_name NOT IN ('src5', 'src13') THEN source_name END"
+LOG = f"""log0 AS (SELECT a.conv_id * 1000 + a.turn AS id, a.text AS question, lower(a.text) AS low, r.text AS answer, least({WORDS.format('r.text')} // 20, 8)::INT AS evidence_count
+  FROM conversations a LEFT JOIN conversations r ON r.conv_id = a.conv_id AND r.turn = a.turn + 1 AND r.role = 'assistant' WHERE a.role = 'user'),
+log AS (SELECT id, question, answer, evidence_count, {INTENT} AS intent, {first('low', R.TOPICS, None)} AS topic, {first('low', R.AREAS, R.AREAS[0].label)} AS business_area, {first('low', R.REGIONS, None)} AS region,
+  round((0.35 * (evidence_count / 10.0) + 0.15 * least(evidence_count / 5.0, 1.0))::DOUBLE, 3) AS confidence_score FROM log0)"""
+
 BARE = r"regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<nav\b.*?</nav\s*>|<footer\b.*?</footer\s*>|<header\b.*?</header\s*>|<aside\b.*?</aside\s*>', '', 'g')"
 SEGMENT = r"trim(regexp_replace(regexp_replace(string_split_regex(x, '(?i)</p>')[1], '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
 UNESCAPE = "{0}"
@@ -126,13 +135,13 @@ def in_unit(topic: str, blob: str) -> str:
 MEANS = "round(avg(confidence_score::DOUBLE), 6) AS avg_confidence, round(avg(impact_score::DOUBLE), 6) AS avg_impact, round(avg(urgency_score::DOUBLE), 6) AS avg_urgency"
 LOWTEXT = "lower(title || ' ' || clean_text)"
 TONE = f"({count_of(LOWTEXT, PACK.positive)} - {count_of(LOWTEXT, PACK.negative)})"
-COUNTS = f"""{RECS}, links AS (SELECT b.recommendation_id, count(e.document_id) AS links FROM blueprints b LEFT JOIN evidence e USING (recommendation_id) GROUP BY 1),
+COUNTS = f"""{RECS}, {LOG}, links AS (SELECT b.recommendation_id, count(e.document_id) AS links FROM blueprints b LEFT JOIN evidence e USING (recommendation_id) GROUP BY 1),
 facts AS (SELECT (SELECT count(*) FROM docs) AS documents, (SELECT count(DISTINCT source_name) FROM docs) AS sources,
   (SELECT count(*) FROM (SELECT length(c) AS n, unnest(range(0, 1 + greatest(0, ceil((length(c) - 1800) / 1550.0))::INT)) AS i, c FROM (SELECT {clean('clean_text')} AS c FROM docs WHERE length(clean_text) > 50) WHERE length(c) > 0)
     WHERE length(trim(substr(c, 1 + 1550 * i, 1800))) >= 40) AS chunks,
   (SELECT count(*) FROM signals) AS signals, (SELECT count(*) FROM blueprints) AS recommendations, (SELECT sum(links)::BIGINT FROM links) AS evidence,
   (SELECT count(*) FROM links WHERE links = 0) AS unsupported,
-  (SELECT count(*) FROM conversations WHERE role = 'user') AS answers, (SELECT count(*) FROM conversations WHERE role = 'user' AND length(text) < 20) AS weak_answers)"""
+  (SELECT count(*) FROM log) AS answers, (SELECT count(*) FROM log WHERE coalesce(evidence_count, 0) = 0) AS weak_answers)"""
 CHECKS = "checks AS (" + " UNION ALL ".join(
     f"SELECT {s(n)} AS name, {v}::DOUBLE {op} {t}::DOUBLE AS passed, {v}::DOUBLE AS value, {t}::DOUBLE AS threshold FROM facts"
     for n, v, t, op in (
@@ -237,5 +246,44 @@ ORACLES = {
     "recent_feed": f"WITH {DOCS} SELECT id, source_name, topic FROM docs ORDER BY id DESC LIMIT 25",
     "filter_values": f"WITH {DOCS} SELECT DISTINCT topic FROM docs",
 }
-# The same with the bound of the reference's link discovery.
-ORACLES["page_links_full"] = ORACLES["page_links"].replace("WHERE rank <= 5", "WHERE rank <= 20")
+_numbered = f"numbered AS (SELECT *, row_number() OVER (ORDER BY document_id, chunk_index) - 1 AS vec_id FROM ({KEPT}))"
+_scored = lambda i: SCORED.replace("WHERE vec_id = 0", f"WHERE vec_id = {i}")
+ORACLES |= {
+    "documents_with_sources": f"""WITH {DOCS}, {SOURCES}, d AS (SELECT *, regexp_extract(source_name, '(\\d+)$', 1)::BIGINT AS source_id FROM docs)
+        SELECT d.id, d.source_id, s.name AS source_name, topic, d.trust_score::DOUBLE AS trust_score FROM d LEFT JOIN sources s ON s.id = d.source_id""",
+    "signals_with_sources": f"""WITH {SIGNALS} SELECT document_id, rule, title AS description, d.source_type, CASE WHEN d.source_name NOT IN ('src5', 'src13') THEN d.source_name END AS source_name, d.url,
+        s.confidence_score::DOUBLE AS confidence_score FROM signals s LEFT JOIN docs d ON d.id = s.document_id""".replace("title AS description", "s.title AS description"),
+    "supporting_signals": f"""WITH {SIGNALS}, x AS (SELECT * FROM signals WHERE title IN ({', '.join(s(t) for t in PACK.blueprints[1].signals)})
+        ORDER BY confidence_score DESC, impact_score DESC, urgency_score DESC, document_id, rule LIMIT 14) SELECT document_id, rule, title, confidence_score::DOUBLE AS confidence_score, {NAMED} AS source_name FROM x""",
+    "evidence_explorer": f"""WITH {RECS} SELECT e.recommendation_id, b.recommendation AS recommendation_title, e.rank, e.document_id, evidence_strength, topic, source_type, {NAMED} AS source_name
+        FROM evidence e JOIN blueprints b ON b.recommendation_id = e.recommendation_id JOIN docs d ON d.id = e.document_id""",
+    "evidence_documents": f"""WITH {RECS}, x AS (SELECT recommendation_id, document_id, evidence_strength, row_number() OVER (PARTITION BY recommendation_id ORDER BY evidence_strength DESC, rank) AS rank FROM evidence)
+        SELECT recommendation_id, x.rank, document_id, evidence_strength, topic, {NAMED} AS source_name FROM x JOIN docs d ON d.id = x.document_id WHERE x.rank <= 5""",
+    "largest_sources": "SELECT source AS name, count(*) AS documents FROM documents WHERE source NOT IN ('src5', 'src13') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12",
+    "source_audit": f"WITH {SOURCES} SELECT * FROM sources ORDER BY trust_score DESC, name",
+    "latest_update": "SELECT strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS latest_update FROM events",
+    "document_lookup": f"WITH {DOCS} SELECT id, substr(clean_text, 1, 200) AS preview, topic FROM docs WHERE id = 7",
+    "retrieval_hits": f"""WITH {CHUNKS}, {_numbered}, v AS (SELECT * FROM ({SCORED}) ORDER BY score DESC, vec_id LIMIT 40)
+        SELECT vec_id, document_id, chunk_index::INT AS chunk_index, topic, source_type, round(score, 5) AS score FROM v JOIN numbered USING (vec_id) JOIN docs d ON d.id = document_id
+        WHERE topic = 'English' ORDER BY v.score DESC, vec_id LIMIT 8""",
+    "retrieval_without_index": "SELECT vec_id, vec_id AS document_id, 0.5::DOUBLE AS score FROM embeddings WHERE false",
+    "retrieval_probes": f"WITH {CHUNKS}, {_numbered} " + " UNION ALL ".join(
+        f"""SELECT {i}::INT AS probe, count(*) AS results, coalesce(round(avg(score), 3), 0) AS mean_score,
+        array_to_string(list_filter({array(sorted(terms))}, lambda t: contains(coalesce(string_agg(lower(chunk_text), ' '), ''), t)), ', ') AS matched,
+        len(list_filter({array(sorted(terms))}, lambda t: contains(coalesce(string_agg(lower(chunk_text), ' '), ''), t))) > 0 AS passed
+        FROM (SELECT * FROM ({_scored(i)}) ORDER BY score DESC, vec_id LIMIT 5) JOIN numbered USING (vec_id)""" for i, (_, terms) in enumerate(PACK.probes)
+    ),
+    "qa_log": f"WITH {Q}, {LOG} SELECT id, intent, topic, business_area, region, confidence_score, evidence_count FROM log",
+    "qa_recent": f"WITH {LOG} SELECT id, question, intent, confidence_score FROM log ORDER BY id DESC LIMIT 20",
+    "qa_metrics": f"""WITH {LOG} SELECT count(*) AS sessions, coalesce(round(avg(confidence_score), 3), 0) AS avg_confidence, coalesce(sum(evidence_count), 0)::BIGINT AS evidence,
+        count(*) FILTER (coalesce(evidence_count, 0) = 0) AS weak_answers FROM log""",
+    "qa_intents": f"WITH {LOG} SELECT intent, count(*) AS questions FROM log GROUP BY 1 ORDER BY 2 DESC, 1",
+    "question_partners": f"""WITH {DOCS}, m(ord, name, mentions) AS (VALUES {HITS([n for n, _ in PACK.partners])}), c(name, country) AS (VALUES {', '.join(f'({s(a)}, {s(b)})' for a, b in PACK.partners)}),
+        q AS (SELECT conv_id, turn, lower(text || CASE WHEN conv_id % 2 = 0 THEN ' Which partner or country?' ELSE '' END) AS low, CASE WHEN conv_id % 2 = 0 THEN 'zzzz' ELSE '' END AS given FROM conversations WHERE role = 'user')
+        SELECT conv_id, turn, name, country, mentions, least(1.0, 0.55 + 0.07 * mentions)::DOUBLE AS relevance FROM q, m JOIN c USING (name)
+        WHERE {any_of('low', R.PARTNER_TERMS)} AND (contains(low, lower(name)) OR contains(given, lower(name)) OR mentions > 0)""",
+    "evidence_pack": f"""WITH {LOG} SELECT id, to_json({{'question': question, 'query_route': {{'intent': intent, 'topic': topic, 'business_area': business_area, 'region': region}}, 'answer_confidence_from_pipeline': confidence_score,
+        'retrieved_evidence': [{{'rank': 1, 'snippet': {short("coalesce(answer, '')", 500)}}}], 'strategic_signals': [], 'existing_recommendations': [], 'partner_options': []}})::VARCHAR AS pack FROM log""",
+}
+# An older name of the same query.
+ORACLES["page_links_full"] = ORACLES["page_links"]

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels, scores, text
-from ..operators import audit, dedup, monitors, recommend, router, search, signals
+from ..operators import audit, corpus, dedup, monitors, recommend, router, search, signals
 from ..rules import SAMPLE as PACK
+from ..session import stored
 from ..sources import feeds, pages
 
 AS_OF = "2024-02-15 00:00:00"
@@ -33,6 +34,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("topic", labels.first_match(F.col("_low"), PACK.topics, PACK.default_topic)).drop("_low")
 
 
+def source_id(name: Column) -> Column:
+    return F.regexp_extract(name, r"(\d+)$", 1).cast("long")
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources of the corpus, first come first named; two of them have no row."""
+    seen = table(spark, sf_dir, "documents").select(F.col("source").alias("name"), F.col("doc_id").alias("seq"), F.col("lang").alias("source_type"))
+    new = dedup.get_or_create(seen, spark.createDataFrame([("src5",), ("src13",)], "name string"))
+    return new.select(source_id(F.col("name")).alias("id"), "name", "source_type", feeds.trust_by_name(F.col("name"), PACK).alias("trust_score"))
+
+
+def with_ids(docs: DataFrame) -> DataFrame:
+    """Documents that know their source by its id only."""
+    return docs.withColumn("source_id", source_id(F.col("source_name"))).drop("source_name")
+
+
 def found_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.detect(documents(spark, sf_dir), PACK, AS_OF)
 
@@ -128,7 +145,8 @@ def q_source_types(spark, d):
 
 
 def q_topic_coverage(spark, d):
-    return audit.topic_coverage(documents(spark, d), found_signals(spark, d))
+    docs = stored(documents(spark, d))
+    return audit.topic_coverage(docs, signals.detect(docs, PACK, AS_OF))
 
 
 def q_evidence_audit(spark, d):
@@ -151,40 +169,28 @@ def q_data_gaps(spark, d):
     return audit.data_gaps(_gappy(documents(spark, d)))
 
 
-def _counts(spark: SparkSession, d: str) -> dict[str, int]:
-    docs = documents(spark, d)
-    found = found_signals(spark, d)
-    return {
-        "sources": docs.select("source_name").distinct().count(),
-        "chunks": signals.chunk_documents(docs).count(),
-        "signals": found.count(),
-        "recs": len(PACK.blueprints),
-        "evidence": recommend.evidence(found, PACK).count(),
-    }
+def _facts(spark: SparkSession, d: str) -> DataFrame:
+    """One row of counts; documents and signals are made once and stored."""
+    docs = stored(documents(spark, d))
+    found = stored(signals.detect(docs, PACK, AS_OF).drop("evidence_text", "entities"))
+    links = recommend.unsupported(_recs(spark), recommend.evidence(found, PACK))
+    return audit.one_row(
+        docs.agg(
+            F.count("*").alias("documents"), F.countDistinct("source_name").alias("sources"), F.sum(signals.chunk_count(F.col("clean_text"))).alias("chunks"),
+            F.avg(F.coalesce(F.col("trust_score").cast("double"), F.lit(0.5))).alias("trust"), F.count_distinct(F.coalesce("topic", F.lit("Unknown"))).alias("topics"),
+        ),
+        found.agg(F.count("*").alias("signals")),
+        links.agg(F.sum("links").alias("evidence"), F.count_if(F.col("links") == 0).alias("unsupported"), F.count("*").alias("recommendations")),
+        qa_log(spark, d).agg(F.count("*").alias("answers"), F.count_if(F.coalesce("evidence_count", F.lit(0)) == 0).alias("weak_answers")),
+    )
 
 
 def q_scorecard(spark, d):
-    return audit.quality_scorecard(documents(spark, d).withColumn("trust_score", F.col("trust_score").cast("double")), **_counts(spark, d))
-
-
-def _check_counts(spark: SparkSession, d: str) -> DataFrame:
-    docs, found = documents(spark, d), found_signals(spark, d)
-    links = recommend.unsupported(_recs(spark), recommend.evidence(found, PACK)).agg(F.sum("links").alias("evidence"), F.count_if(F.col("links") == 0).alias("unsupported"), F.count("*").alias("recommendations"))
-    facts = [
-        docs.agg(F.count("*").alias("documents"), F.countDistinct("source_name").alias("sources")),
-        signals.chunk_documents(docs).agg(F.count("*").alias("chunks")),
-        found.agg(F.count("*").alias("signals")),
-        links,
-        table(spark, d, "conversations").filter("role = 'user'").agg(F.count("*").alias("answers"), F.count_if(F.length("text") < 20).alias("weak_answers")),
-    ]
-    out = facts[0]
-    for one_row in facts[1:]:
-        out = out.crossJoin(F.broadcast(one_row))  # each is one row
-    return out
+    return audit.quality_scorecard(_facts(spark, d))
 
 
 def q_checks(spark, d):
-    return audit.checks(_check_counts(spark, d))
+    return audit.checks(_facts(spark, d))
 
 
 def q_evaluation(spark, d):
@@ -193,7 +199,7 @@ def q_evaluation(spark, d):
 
 def q_readiness(spark, d):
     flags = F.array(*[F.col(c) > 0 for c in ("documents", "sources", "chunks", "signals", "recommendations", "evidence", "answers")], F.col("unsupported") == 0)
-    return _check_counts(spark, d).select(audit.readiness(flags).alias("label"))
+    return _facts(spark, d).select(audit.readiness(flags).alias("label"))
 
 
 def _query_vector(spark: SparkSession, d: str) -> list[float]:
@@ -296,10 +302,6 @@ def q_pages(spark, d):
 
 
 def q_links(spark, d):
-    return pages.links(table(spark, d, "pages"), TOKENS, 5)
-
-
-def q_links_full(spark, d):
     return pages.links(table(spark, d, "pages"), TOKENS)
 
 
@@ -320,6 +322,117 @@ def q_filter_values(spark, d):
     return documents(spark, d).select("topic").filter("topic is not null").distinct().orderBy("topic")
 
 
+def q_documents_sources(spark, d):
+    return _as_double(corpus.with_source(with_ids(documents(spark, d)), sources(spark, d)).select("id", "source_id", "source_name", "topic", "trust_score"))
+
+
+def q_signals_sources(spark, d):
+    docs = stored(with_ids(documents(spark, d)))
+    found = signals.detect(docs, PACK, AS_OF).drop("topic")
+    return _as_double(corpus.signals_with_sources(found, docs, sources(spark, d)).select("document_id", "rule", "description", "source_type", "source_name", "url", "confidence_score"))
+
+
+def q_supporting(spark, d):
+    docs = stored(with_ids(documents(spark, d)))
+    found = signals.detect(docs, PACK, AS_OF)
+    out = corpus.supporting_signals(found, docs, sources(spark, d), list(PACK.blueprints[1].signals))
+    return _as_double(out.select("document_id", "rule", "title", "confidence_score", "source_name"))
+
+
+def _evidence_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = stored(documents(spark, d))
+    return recommend.evidence(signals.detect(docs, PACK, AS_OF), PACK), with_ids(docs)
+
+
+def q_evidence_explorer(spark, d):
+    found, docs = _evidence_parts(spark, d)
+    return corpus.evidence_explorer(found, _recs(spark), docs, sources(spark, d)).select("recommendation_id", "recommendation_title", "rank", "document_id", "evidence_strength", "topic", "source_type", "source_name")
+
+
+def q_evidence_documents(spark, d):
+    found, docs = _evidence_parts(spark, d)
+    return corpus.top_evidence_documents(found, docs, sources(spark, d), 5).select("recommendation_id", "rank", "document_id", "evidence_strength", "topic", "source_name")
+
+
+def q_largest_sources(spark, d):
+    return corpus.largest_sources(table(spark, d, "documents").select(source_id(F.col("source")).alias("source_id")), sources(spark, d))
+
+
+def q_source_audit(spark, d):
+    return corpus.source_audit(sources(spark, d))
+
+
+def q_latest(spark, d):
+    return corpus.latest_update(table(spark, d, "events"), "ts")
+
+
+def q_lookup(spark, d):
+    return corpus.by_id(documents(spark, d), 7).select("id", F.substring("clean_text", 1, 200).alias("preview"), "topic")
+
+
+def _memory(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Vectors, the chunks they stand for, and documents: chunks are numbered as vectors are."""
+    docs = stored(documents(spark, d))
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id"), "embedding")
+    return vectors, signals.dense_ids(signals.chunk_documents(docs)), docs
+
+
+def q_retrieval(spark, d):
+    vectors, chunks, docs = _memory(spark, d)
+    out = search.retrieve(vectors, chunks, docs, _query_vector(spark, d), 8, topic="English")
+    return out.select("vec_id", "document_id", "chunk_index", "topic", "source_type", F.round("score", 5).alias("score"))
+
+
+def q_no_index(spark, d):
+    _, chunks, docs = _memory(spark, d)
+    return search.retrieve(search.load_vectors(spark, f"{d}/no such table.parquet"), chunks, docs, [0.0] * 64).select("vec_id", "document_id", "score")
+
+
+def q_probes(spark, d):
+    vectors, chunks, docs = _memory(spark, d)
+    asked = vectors.filter(F.col("vec_id") < len(PACK.probes)).collect()  # the pack's few probes
+    by_id = {r["vec_id"]: r["embedding"] for r in asked}
+    return search.probe(vectors, chunks, docs, [(by_id[i], terms) for i, (_, terms) in enumerate(PACK.probes)])
+
+
+def qa_log(spark: SparkSession, d: str) -> DataFrame:
+    """Questions of the conversations with the replies that follow them; a piece of evidence for every 20 words of a reply."""
+    turns = table(spark, d, "conversations")
+    asked = turns.filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question"))
+    replies = turns.filter("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer_markdown"))
+    rows = asked.join(replies, ["conv_id", "turn"], "left").drop("conv_id", "turn")
+    count = F.least(F.floor(text.token_count(F.col("answer_markdown")) / 20), F.lit(8)).cast("int")
+    score = router.answer_confidence(F.col("evidence_count") / 10, F.lit(None).cast("double"), F.lit(None).cast("double"), F.col("evidence_count"))
+    return router.qa_log(rows.withColumn("evidence_count", count).withColumn("confidence_score", F.when(F.col("evidence_count").isNotNull(), score)))
+
+
+def q_qa_log(spark, d):
+    return qa_log(spark, d).select("id", "intent", "topic", "business_area", "region", "confidence_score", "evidence_count")
+
+
+def q_qa_recent(spark, d):
+    return router.recent(qa_log(spark, d)).select("id", "question", "intent", "confidence_score")
+
+
+def q_qa_metrics(spark, d):
+    return router.qa_metrics(qa_log(spark, d))
+
+
+def q_qa_intents(spark, d):
+    return router.intents(qa_log(spark, d))
+
+
+def q_question_partners(spark, d):
+    asked = table(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", F.concat(F.col("text"), F.lit(" Which partner or country?")).alias("question"), F.lit("zzzz").alias("evidence_text"))
+    counts = monitors.mentions(documents(spark, d), [n for n, _ in PACK.partners])
+    return router.partners_for(asked.filter("conv_id % 2 = 0").unionByName(table(spark, d, "conversations").filter("role = 'user' and conv_id % 2 = 1").select("conv_id", "turn", F.col("text").alias("question"), F.lit("").alias("evidence_text"))), counts, PACK).select("conv_id", "turn", "name", "country", "mentions", "relevance")
+
+
+def q_evidence_pack(spark, d):
+    log = qa_log(spark, d).withColumn("evidence", F.array(F.struct(F.lit(1).alias("rank"), text.short(F.col("answer_markdown"), 500).alias("snippet"))))
+    return log.select("id", router.evidence_pack(log).alias("pack"))
+
+
 QUERIES = {
     "clean_hash_documents": q_clean_hash,
     "dedup_first_wins": q_dedup_first,
@@ -366,9 +479,27 @@ QUERIES = {
     "recency_bands": q_recency,
     "page_title_paragraphs": q_pages,
     "page_links": q_links,
-    "page_links_full": q_links_full,
+    "page_links_full": q_links,
     "trust_by_name": q_trust,
     "snippet_short": q_short,
     "recent_feed": q_feed,
     "filter_values": q_filter_values,
+    "documents_with_sources": q_documents_sources,
+    "signals_with_sources": q_signals_sources,
+    "supporting_signals": q_supporting,
+    "evidence_explorer": q_evidence_explorer,
+    "evidence_documents": q_evidence_documents,
+    "largest_sources": q_largest_sources,
+    "source_audit": q_source_audit,
+    "latest_update": q_latest,
+    "document_lookup": q_lookup,
+    "retrieval_hits": q_retrieval,
+    "retrieval_without_index": q_no_index,
+    "retrieval_probes": q_probes,
+    "qa_log": q_qa_log,
+    "qa_recent": q_qa_recent,
+    "qa_metrics": q_qa_metrics,
+    "qa_intents": q_qa_intents,
+    "question_partners": q_question_partners,
+    "evidence_pack": q_evidence_pack,
 }

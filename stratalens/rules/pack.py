@@ -18,6 +18,7 @@ class SignalRule:
     topics: tuple[str, ...]
     keywords: tuple[str, ...]
     strength: str  # a decimal
+    description: str = ""  # the title where it is empty
 
 
 @dataclass(frozen=True)

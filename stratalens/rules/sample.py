@@ -36,5 +36,6 @@ SAMPLE = Pack(
     impact_terms=("license", "tion", "ung", "que"),
     urgency_terms=("token", "@", "nt "),
     source_bonus={"en": "0.10", "fr": "0.08", "de": "0.03", "es": "-0.05"},
+    probes=(("first vector", ("license", "tion")), ("second vector", ("zzzz",)), ("third vector", ("ung", "que", "zzzz"))),
     name_trust=(("src1", "0.90"), ("src7", "0.72"), ("src", "0.70")),
 )

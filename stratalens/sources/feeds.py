@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels, scores, text
 from ..rules.pack import Pack
+from . import pages
 
 # Registered sources with type and trust.
 SOURCES = (
@@ -68,3 +69,28 @@ def admit_pages(rows: DataFrame, pack: Pack, stored: DataFrame | None = None, le
     made = rows.withColumn("clean_text", text.clean(F.col("text"))).filter(F.length("clean_text") >= least)
     topic = labels.first_match(F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), "clean_text")), pack.topics, pack.default_topic)
     return admit(made.withColumns({"content_hash": text.content_hash(F.col("clean_text")), "topic": topic}), stored)
+
+
+def crawl(landed: DataFrame, seeds: list[str], pack: Pack, stored: DataFrame | None = None, limit: int = 40, tokens: tuple[str, ...] = pages.TOKENS) -> DataFrame:
+    """Pages (page_id, url, html) that the seed pages lead to, as documents: at most 20 links of each seed, distinct in order, the first ``limit`` that are accepted."""
+    spark = landed.sparkSession
+    order = spark.createDataFrame(list(enumerate(seeds)), "seed int, url string")
+    start = landed.join(F.broadcast(order), "url").select("page_id", "url", "html", "seed")
+    found = pages.links(start, tokens).join(start.select("page_id", "seed"), "page_id")
+    found = found.groupBy(F.col("link").alias("url")).agg(F.min(F.col("seed") * 1000 + F.col("rank")).cast("long").alias("seq"))
+    rows = pages.page_text(landed.join(found.select("url"), "url", "left_semi")).join(found, "url")
+    titled = F.when(F.length("title") > 0, F.col("title")).otherwise("Official page")
+    return admit_pages(rows.select("seq", titled.alias("title"), "url", "text"), pack, stored).orderBy("seq").limit(limit)
+
+
+def admit_news(entries: DataFrame, landed: DataFrame, pack: Pack, stored: DataFrame | None = None, per_query: int = 20, total: int = 160) -> DataFrame:
+    """News entries (seq, query, position, title, url, summary, source_name) as documents, with the text of the page each points to.
+
+    Where the page is missing or short, what the entry says stands in for it.
+    """
+    rows = entries.withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy("position", "seq"))).filter(F.col("_n") <= per_query).drop("_n")
+    rows = rows.withColumn("title", F.trim(text.unescape(F.col("title"))))
+    rows = rows.join(pages.page_text(landed).select("url", F.col("text").alias("page")), "url", "left")
+    body = pages.body_or_fallback(F.coalesce("page", F.lit("")), F.col("title"), F.col("summary"), F.col("query"))
+    rows = rows.select("seq", "title", "url", body.alias("text"), F.lit("news").alias("source_type"), news_trust(F.col("source_name")).alias("trust_score"))
+    return admit_pages(rows, pack, stored).orderBy("seq").limit(total)

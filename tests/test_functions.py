@@ -111,7 +111,7 @@ def test_router(spark):
         r = got[q]
         assert (r["intent"], r["topic"], r["region"], r["constraints"]) == (intent, topic, region, constraints)
         assert r["business_area"] == R.AREAS[0].label and r["needs_evidence"]
-    assert router.partner_gate("Which country?") and not router.partner_gate("What now?")
+    assert one(spark, router.asks_for_partners(F.col("t")), t="which country?") and not one(spark, router.asks_for_partners(F.col("t")), t="what now?")
     assert "'A'" in router.drill_down("A", "no such action") and router.drill_down("A", "risks", " if late ").endswith("Condition: if late.")
     assert router.generate("p", "plain") == ("plain", None)
     assert router.generate("p", "plain", lambda p: 1 / 0)[0] == "plain"
