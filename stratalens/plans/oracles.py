@@ -239,7 +239,7 @@ ORACLES = {
         h AS (SELECT page_id, url, base, unnest([url] || hs) AS href, unnest(range(0, len(hs) + 1)) AS pos FROM b),
         l AS (SELECT *, CASE WHEN pos = 0 THEN url WHEN starts_with(href, '//') THEN 'https:' || href WHEN starts_with(href, '/') THEN base || href ELSE href END AS link FROM h),
         w AS (SELECT page_id, link, min(pos) AS pos FROM l WHERE pos = 0 OR (regexp_extract(link, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)', 1) = base AND {any_of('lower(link)', TOKENS)}) GROUP BY 1, 2)
-        SELECT page_id, rank, link FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank FROM w) WHERE rank <= 5""",
+        SELECT page_id, rank, link FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank FROM w) WHERE rank <= 20""",
     "trust_by_name": f"SELECT DISTINCT source, ({case(((f'contains(lower(source), {s(k)})', v) for k, v in PACK.name_trust), PACK.default_name_trust)})::DOUBLE AS trust FROM documents",
     "snippet_short": f"""SELECT doc_id, sha256({short('text', 420)}) AS short_sha,
         sha256({snippet(_t, f"list_min(list_filter([instr(lower({_t}), 'license'), instr(lower({_t}), 'token'), instr(lower({_t}), 'tion')], lambda p: p > 0))")}) AS snippet_sha FROM documents""",
