@@ -7,7 +7,6 @@ bits with its length as weight, so long (rare) words count for more.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,8 @@ BITS = 128
 MAX_WEIGHT = 24
 #: Documents in one run of the ordered corpus, about.
 RUN_ROWS = 400
-MAX_RUNS = 4096
+#: Fingerprints that share a block and are compared pair by pair, at most.
+HOT_BLOCK = 200
 
 _SIGNS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64) * 2 - 1
 
@@ -74,82 +74,101 @@ def likeness(a: Column, b: Column) -> Column:
     return 1 - distance(a, b) / F.lit(float(BITS))
 
 
-def near_pairs(fps: DataFrame, radius: int = 3, extra: int = 1) -> DataFrame:
+def near_pairs(fps: DataFrame, radius: int = 3, hot: int = HOT_BLOCK) -> DataFrame:
     """All pairs of distinct fingerprints at most ``radius`` bits apart: (a, b, bits), a < b.
 
     ``fps`` has a binary column ``fingerprint``; equal ones are one class and nulls
     are left out, so members are found by joining back on the fingerprint.  Bits are
-    cut into ``radius + extra`` blocks; two fingerprints within the radius agree on
-    ``extra`` blocks at least, so one table per choice of blocks, keyed by those
-    blocks, finds every pair.
+    dealt into ``radius + 1`` blocks; two fingerprints within the radius agree on one
+    of them, so one table for each block, keyed by it, finds every pair.  Fingerprints
+    of a block value that more than ``hot`` share are dealt again by the blocks of
+    their other bits, until no key is hot.  An empty table gives no pairs.
     """
-    blocks = radius + extra
-    if BITS % 8 or blocks > BITS:
-        raise ValueError("too many blocks")
-    base = fps.select("fingerprint").filter(F.col("fingerprint").isNotNull()).distinct()
-    bits = F.concat(*[F.lpad(F.conv(F.substring(F.hex("fingerprint"), 1 + 8 * i, 8), 16, 2), 32, "0") for i in range(4)])
-    edges = [BITS * i // blocks for i in range(blocks + 1)]
-    base = base.withColumn("_bits", bits)
-    keys = []
-    for t, chosen in enumerate(combinations(range(blocks), extra)):
-        key = F.concat(*[F.substring("_bits", edges[i] + 1, edges[i + 1] - edges[i]) for i in chosen])
-        keys.append(F.struct(F.lit(t).alias("t"), key.alias("key")))
-    tables = base.select("fingerprint", F.explode(F.array(*keys)).alias("k")).select("fingerprint", "k.t", "k.key")
-    left, right = tables.withColumnRenamed("fingerprint", "a"), tables.withColumnRenamed("fingerprint", "b")
-    pairs = left.join(right, ["t", "key"]).filter(F.col("a") < F.col("b")).select("a", "b", distance(F.col("a"), F.col("b")).alias("bits"))
-    return pairs.filter(F.col("bits") <= radius).distinct()
-
-
-def run_bounds(docs: DataFrame) -> np.ndarray:
-    """Ids at which the corpus, in id order, is cut into runs: each the largest of its run."""
-    n = docs.filter(F.col("doc_id").isNotNull()).count()
-    if not n:
-        return np.zeros(0, np.int64)
-    runs = int(min(MAX_RUNS, max(1, n // RUN_ROWS)))
-    points = ", ".join(f"{(i + 1) / runs!r}D" for i in range(runs))
-    got = docs.selectExpr(f"percentile_approx(doc_id, array({points}), {max(10_000, 4 * runs)}) AS p", "max(doc_id) AS m").first()
-    return np.unique(np.array([*got["p"], got["m"]], np.int64))
+    base = fps.select("fingerprint").filter(F.col("fingerprint").isNotNull()).distinct().withColumn("id", F.monotonically_increasing_id())
+    bits = F.concat(*[F.lpad(F.conv(F.substring(F.hex("fingerprint"), 1 + 8 * i, 8), 16, 2), 32, "0") for i in range(BITS // 32)])
+    base = common.materialise(base.select("id", "fingerprint", half(F.col("fingerprint"), 0).alias("h0"), half(F.col("fingerprint"), 1).alias("h1"), bits.alias("rest")), "fingerprints")
+    rows, pairs, width = base.select("id", "h0", "h1", "rest", F.lit("").alias("key")), None, BITS
+    while True:
+        last = width <= 2 * (radius + 1)  # of so few bits there are few different values
+        edges = [width * i // (radius + 1) for i in range(radius + 2)]
+        parts = []
+        for t, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            own = F.substring("rest", a + 1, b - a)
+            others = F.concat(F.substring("rest", 1, a), F.substring("rest", b + 1, width - b))
+            parts.append(F.struct(F.concat("key", F.lit(f"{t}:"), own, F.lit(" ")).alias("key"), others.alias("rest")))
+        made = rows.select("id", "h0", "h1", F.explode(F.array(*parts)).alias("p")).select("id", "h0", "h1", "p.*")
+        made = common.materialise(made, "fingerprint-blocks")
+        sizes = common.materialise(made.groupBy("key").count().filter("count > 1"), "block-sizes")
+        made = made.join(sizes, "key")
+        few = made.filter((F.col("count") <= hot) | F.lit(last)).select("key", "id", "h0", "h1")
+        x, y = few.toDF("key", "a", "a0", "a1"), few.toDF("key", "b", "b0", "b1")
+        apart = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
+        found = x.join(y, "key").filter((F.col("a") < F.col("b")) & (apart <= radius)).select("a", "b", apart.alias("bits"))
+        pairs = found if pairs is None else pairs.unionByName(found)
+        # blocks differ in size by a bit at most: what is left is cut to the shortest rest
+        width -= max(b - a for a, b in zip(edges[:-1], edges[1:], strict=True))
+        rows = made.filter(F.col("count") > hot).select("id", "h0", "h1", "rest", "key")
+        if last or rows.isEmpty():
+            break
+    named = base.select("id", "fingerprint")
+    pairs = pairs.distinct().join(named.toDF("a", "fa"), "a").join(named.toDF("b", "fb"), "b")
+    return pairs.select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b"), "bits")
+
+
+def run_bounds(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (id, text hash) at which the corpus, in their order, is cut into runs: each the largest of its run.
+
+    Only keys are sorted; every so many of a sorted range, one comes to the driver: at
+    most about a million of them, 16 bytes each.
+    """
+    n = docs.count()
+    step = max(RUN_ROWS, n >> 20)
+    ranges = docs.select("_k", "_h").repartitionByRange("_k", "_h").sortWithinPartitions("_k", "_h").withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    got = ranges.filter(F.col("_i") % step == step - 1).select("_k", "_h").unionByName(docs.agg(F.max(F.struct("_k", "_h")).alias("m")).select("m.*").filter("_k is not null"))
+    got = got.distinct().toArrow().sort_by([("_k", "ascending"), ("_h", "ascending")])
+    return got.column("_k").to_numpy(), got.column("_h").to_numpy()
+
+
+def places_of(keys: np.ndarray, hashes: np.ndarray, bounds: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The run of each key: that of the first bound not below it."""
+    low, high = np.searchsorted(bounds[0], keys), np.searchsorted(bounds[0], keys, side="right")
+    for i in np.flatnonzero(low < high):  # keys that bounds have too, mostly one each
+        low[i] += np.searchsorted(bounds[1][low[i] : high[i]], hashes[i])
+    return low
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """Add ``fingerprint`` and the following document's ``next_text`` and ``next_fingerprint``.
 
     Documents follow one another by descending doc_id, the first after the last;
-    rows of one id are ordered by their text, ids that are null come last.  The
-    corpus is cut into runs of ids; the head of each run also travels to the run
-    before it, so no window is larger than a run.  With no known id at all, next
-    texts are empty.
+    rows of one id are ordered by a hash of their text, ids that are null come last.
+    The corpus is cut into runs of keys, so that repeated or missing ids are spread
+    too; the head of each run also travels to the run before it, so no window is
+    larger than a run.  A single document follows itself.
     """
-    bounds = run_bounds(docs)
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    keyed = keyed.withColumns({"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_h": F.xxhash64("text")})
+    bounds = run_bounds(keyed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in textnum.blocks(batches):
             fp = pa.array([x.tobytes() for x in fingerprints(data, offsets)], pa.binary())
-            ids = rows.column("doc_id")
-            known = np.array(ids.fill_null(bounds[0] if len(bounds) else 0))
-            place = np.searchsorted(bounds, known)
-            out = pa.RecordBatch.from_arrays(
-                [ids, rows.column("text"), fp, pa.array(place, pa.int32()), pa.array(np.zeros(len(place), np.int32))],
-                ["doc_id", "text", "fingerprint", "run", "ghost"],
-            )
+            keys, hashes = np.array(rows.column("_k")), np.array(rows.column("_h"))
+            place = places_of(keys, hashes, bounds)
+            names = ["doc_id", "text", "_k", "_h", "fingerprint", "run", "ghost"]
+            kept = [rows.column(c) for c in names[:4]]
+            out = pa.RecordBatch.from_arrays([*kept, fp, pa.array(place, pa.int32()), pa.array(np.zeros(len(place), np.int32))], names)
             yield out
-            heads = np.flatnonzero((bounds[np.minimum(place, len(bounds) - 1)] == known) & ~np.array(ids.is_null())) if len(bounds) else []
+            heads = np.flatnonzero((bounds[0][place] == keys) & (bounds[1][place] == hashes))
             if len(heads):
                 ghosts = out.take(pa.array(heads))
-                moved = pa.array((place[heads] + 1) % len(bounds), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [ghosts.column(0), ghosts.column(1), ghosts.column(2), moved, pa.array(np.ones(len(heads), np.int32))], out.schema.names
-                )
+                moved = pa.array((place[heads] + 1) % len(bounds[0]), pa.int32())
+                yield pa.RecordBatch.from_arrays([*ghosts.columns[:5], moved, pa.array(np.ones(len(heads), np.int32))], names)
 
-    placed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
-        run, "doc_id long, text string, fingerprint binary, run int, ghost int"
-    )
-    order = Window.partitionBy("run").orderBy("ghost", F.col("doc_id").desc_nulls_last(), "text")
+    placed = keyed.mapInArrow(run, "doc_id long, text string, _k long, _h long, fingerprint binary, run int, ghost int")
+    order = Window.partitionBy("run").orderBy("ghost", F.desc("_k"), F.desc("_h"), "text")
     out = placed.withColumns({"next_text": F.lead("text").over(order), "next_fingerprint": F.lead("fingerprint").over(order)})
-    return out.filter("ghost = 0").select(
-        "doc_id", "text", "fingerprint", F.coalesce("next_text", F.lit("")).alias("next_text"),
-        F.coalesce("next_fingerprint", F.lit(bytes(BITS // 8))).alias("next_fingerprint"),
-    )
+    return out.filter("ghost = 0").select("doc_id", "text", "fingerprint", "next_text", "next_fingerprint")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
