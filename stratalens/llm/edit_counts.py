@@ -24,18 +24,32 @@ LEAF = 32
 class CountTree:
     """Words of one text with sums of characters and tokens.
 
-    Words follow the vocabulary's own rule, which looks one character past a word
-    at most, so a word that ends before an edit begins is not changed by it.
+    ``lengths`` and ``counts``, if given, are those of the text's words from an earlier
+    time: then nothing of it is encoded.  Words follow the vocabulary's own rule, which
+    looks some characters past a word at most, so a word that ends that far before an
+    edit is not changed by it.
     """
 
-    def __init__(self, encode: tokens.WordIds, text: str):
-        self.encode, self.encoded = encode, 0
-        words = tokens.WORDS.findall(text)
+    def __init__(self, encode: tokens.WordIds, text: str, lengths: list[int] | None = None, counts: list[int] | None = None, special: bool = True):
+        self.encode, self.encoded, self.special = encode, 0, special
+        self.look = tokens.LOOK if special else 1
+        if lengths is None:
+            words = self._counted(encode.cut(text, special))
+        else:
+            ends = np.cumsum(lengths).tolist()
+            words = list(zip((text[a:b] for a, b in zip([0, *ends], ends, strict=False)), counts, strict=True))
         self.leaves = [words[i : i + LEAF] for i in range(0, len(words), LEAF)] or [[]]
         self._grow()
 
-    def _count(self, words: list[str]) -> tuple[int, int]:
-        return sum(map(len, words)), sum(len(self.encode[w]) for w in words) // 4
+    def _counted(self, words: list[str]) -> list[tuple[str, int]]:
+        return [(w, len(self.encode[w]) // 4) for w in words]
+
+    @staticmethod
+    def _count(words: list[tuple[str, int]]) -> tuple[int, int]:
+        return sum(len(w) for w, _ in words), sum(n for _, n in words)
+
+    def words(self) -> list[tuple[str, int]]:
+        return [w for leaf in self.leaves for w in leaf]
 
     def _grow(self) -> None:
         """Build the sums over all leaves."""
@@ -46,7 +60,7 @@ class CountTree:
         for i in range(self.base - 1, 0, -1):
             self.chars[i], self.tokens[i] = self.chars[2 * i] + self.chars[2 * i + 1], self.tokens[2 * i] + self.tokens[2 * i + 1]
 
-    def _set(self, leaf: int, words: list[str]) -> None:
+    def _set(self, leaf: int, words: list[tuple[str, int]]) -> None:
         self.leaves[leaf] = words
         i = self.base + leaf
         self.chars[i], self.tokens[i] = self._count(words)
@@ -68,19 +82,18 @@ class CountTree:
     def total(self) -> int:
         return int(self.tokens[1])
 
-    @staticmethod
-    def _context(words: list[str], at: int, start: int) -> tuple[int, int]:
+    def _context(self, words: list[tuple[str, int]], at: int, start: int) -> tuple[int, int]:
         """The first word that an edit at ``start`` can change, and its place.
 
-        That is the first to end there or later; a run of white space before it
+        That is the first to end within reach of it; a run of white space before it
         counts as one, since how it is cut depends on what follows it.
         """
         edges, k = [at], 0
-        for w in words:
+        for w, _ in words:
             edges.append(edges[-1] + len(w))
-        while k < len(words) and edges[k + 1] < start:
+        while k < len(words) and edges[k + 1] + self.look <= start:
             k += 1
-        while k > 0 and words[k - 1].isspace():
+        while k > 0 and not words[k - 1][0].strip():
             k -= 1
         return k, edges[k]
 
@@ -101,18 +114,18 @@ class CountTree:
         shift = len(inserted) - removed
         settled = start + len(inserted) - begin  # what follows is old text
         while True:
-            old = "".join(words[k:])
+            old = "".join(w for w, _ in words[k:])
             new = old[: start - begin] + inserted + old[start - begin + removed :]
             bounds, place = set(), 0
-            for w in words[k:]:
+            for w, _ in words[k:]:
                 bounds.add(place + shift)
                 place += len(w)
             fresh, done = [], 0
-            for m in tokens.WORDS.finditer(new + self._peek(high + 1)):
-                if m.start() >= settled and m.start() in bounds or m.end() > len(new):
+            for a, b in self.encode.spans(new + self._peek(high + 1), self.special):
+                if a >= settled and a in bounds or b > len(new):
                     break
-                fresh.append(m[0])
-                done = m.end()
+                fresh.append(new[a:b])
+                done = b
             # scanning from an old word's beginning gives the old words again
             if done == len(new) or done >= settled and done in bounds:
                 break
@@ -123,8 +136,8 @@ class CountTree:
         for w in words[k:]:
             if place >= done and place >= settled:
                 kept.append(w)
-            place += len(w)
-        merged = words[:k] + fresh + kept
+            place += len(w[0])
+        merged = words[:k] + self._counted(fresh) + kept
         if len(merged) > 4 * LEAF * (high - low + 1):
             self.leaves[low : high + 1] = [merged[i : i + LEAF] for i in range(0, len(merged), LEAF)]
             self._grow()  # sums are laid out anew; words and their counts stay as they are
@@ -136,47 +149,84 @@ class CountTree:
     def _peek(self, leaf: int) -> str:
         """Enough of what follows to see whether a word goes on."""
         out = ""
-        while leaf < len(self.leaves) and len(out) < 2:
-            out += "".join(self.leaves[leaf])
+        while leaf < len(self.leaves) and len(out) <= self.look:
+            out += "".join(w for w, _ in self.leaves[leaf])
             leaf += 1
         return out
 
 
+TREES = "doc_id long, text string, lengths array<int>, counts array<int>"
 COUNTS = "doc_id long, n_chars long, n_tokens long, edited_chars long, edited_tokens long, encoded_chars long"
 
 
-def count_edits(docs: DataFrame, path: str | None = None, ranks_path: str | None = None) -> DataFrame:
-    """Tokens of each text before and after its ``edits`` (array of (start, removed, inserted), applied in turn).
+def _vocabulary(path: str | None, ranks_path: str | None) -> tuple[str, str]:
+    return path or tokens.vocabulary("byte_bpe_50k.json"), ranks_path or tokens.vocabulary("byte_bpe_50k.tiktoken")
 
-    Null texts count as empty and null edits as none; edits beyond a text's end are
-    cut to it.  ``encoded_chars`` is what the edits caused to be encoded again.
-    Texts outside the plain character range are counted whole, before and after.
+
+def build_trees(docs: DataFrame, path: str | None = None, ranks_path: str | None = None) -> DataFrame:
+    """The words of each text with their tokens: (doc_id, text, lengths, counts), which can be stored.
+
+    Null texts count as empty.  An empty table gives no trees; a very long text is one
+    list of words.  Other columns than doc_id and text stay, whatever their names.
     """
-    path = path or tokens.vocabulary("byte_bpe_50k.json")
-    ranks_path = ranks_path or tokens.vocabulary("byte_bpe_50k.tiktoken")
+    paths = _vocabulary(path, ranks_path)
+    added = [f for f in docs.schema if f.name not in ("doc_id", "text", "lengths", "counts")]
+    names = [f.name for f in added]
+    schema = f"{TREES}{''.join(f', `{f.name}` {f.dataType.simpleString()}' for f in added)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(path, ranks_path)
+        encode = tokens.encoder(*paths)
         for batch in batches:
-            rows = []
-            for doc, raw, edits in zip(batch.column("doc_id"), batch.column("text"), batch.column("edits"), strict=True):
-                text = after = raw.as_py() or ""
-                steps = [(e["start"] or 0, e["removed"] or 0, e["inserted"] or "") for e in edits.as_py() or [] if e]
-                for start, removed, inserted in steps:
-                    start = min(max(start, 0), len(after))
-                    after = after[:start] + inserted + after[start + max(removed, 0) :]
-                if encode.plain(text) and all(encode.plain(x[2]) for x in steps) and tokens.SPECIAL not in after:
-                    tree = CountTree(encode, text)
-                    before = tree.total
-                    for step in steps:
-                        tree.replace(*step)
-                    rows.append((doc.as_py(), len(text), before, len(after), tree.total, tree.encoded))
-                else:
-                    rows.append((doc.as_py(), len(text), len(encode.ids(text)) // 4, len(after), len(encode.ids(after)) // 4, len(after)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], [x.split()[0] for x in COUNTS.split(", ")])
-
-    return docs.select("doc_id", "text", "edits").mapInArrow(run, COUNTS)
+            lengths, counts = [], []
+            for raw in batch.column("text"):
+                cut = encode.cut(raw.as_py() or "", True)
+                lengths.append(np.array([len(w) for w in cut], np.int32))
+                counts.append(np.array([len(encode[w]) // 4 for w in cut], np.int32))
+            lists = [pa.array(x, pa.list_(pa.int32())) for x in (lengths, counts)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("text").fill_null(""), *lists, *(batch.column(c) for c in names)], ["doc_id", "text", "lengths", "counts", *names])
+
+    return docs.select("doc_id", "text", *names).mapInArrow(run, schema)
+
+
+def _steps(edits: pa.Scalar) -> list[tuple[int, int, str]]:
+    return [(e["start"] or 0, e["removed"] or 0, e["inserted"] or "") for e in edits.as_py() or [] if e]
+
+
+def apply_edits(trees: DataFrame, path: str | None = None, ranks_path: str | None = None, keep: bool = False) -> DataFrame:
+    """Tokens of each tree's text before and after its ``edits`` (array of (start, removed, inserted), applied in turn).
+
+    Old words aren't encoded again: their counts come from the tree.  Null edits count
+    as none; edits beyond a text's end are cut to it.  ``encoded_chars`` is what the
+    edits caused to be encoded.  With ``keep``, the edited trees' columns follow.
+    """
+    paths = _vocabulary(path, ranks_path)
+    schema = COUNTS + (", " + TREES.removeprefix("doc_id long, ") if keep else "")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = tokens.encoder(*paths)
+        for batch in batches:
+            rows: list[list] = []
+            for doc, raw, lengths, counts, edits in zip(*(batch.column(c) for c in ("doc_id", "text", "lengths", "counts", "edits")), strict=True):
+                text, steps = raw.as_py(), _steps(edits)
+                special = "<" in text or any("<" in s[2] for s in steps)  # else the special token's string can't come up
+                tree = CountTree(encode, text, lengths.values.to_pylist(), counts.values.to_pylist(), special)
+                before = tree.total
+                for step in steps:
+                    tree.replace(*step)
+                row = [doc.as_py(), len(text), before, int(tree.chars[1]), tree.total, tree.encoded]
+                if keep:
+                    words = tree.words()
+                    row += ["".join(w for w, _ in words), [len(w) for w, _ in words], [n for _, n in words]]
+                rows.append(row)
+            kinds = [*[pa.int64()] * 6, *([pa.string(), *[pa.list_(pa.int32())] * 2] if keep else [])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [x.split()[0] for x in schema.split(", ")])
+
+    return trees.select("doc_id", "text", "lengths", "counts", "edits").mapInArrow(run, schema)
+
+
+def count_edits(docs: DataFrame, path: str | None = None, ranks_path: str | None = None) -> DataFrame:
+    """Trees of texts (doc_id, text, edits) built and edited in one go; any text and any character goes through its tree."""
+    return apply_edits(build_trees(docs.select("doc_id", "text", "edits"), path, ranks_path), path, ranks_path)
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
