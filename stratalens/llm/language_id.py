@@ -21,8 +21,6 @@ from . import common, textnum
 
 #: Labelled texts a model is fitted on, at most, for each language.
 MAX_TEXTS = 2000
-#: Languages known at most: the most frequent labels of the training table.
-MAX_LANGUAGES = 64
 BINS = 1 << 14
 #: A text's log-likelihood counts as that of so many trigrams at most: neighbouring trigrams are not independent.
 EFFECTIVE = 40.0
@@ -50,23 +48,27 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 def fit(texts: DataFrame, max_texts: int = MAX_TEXTS) -> tuple[list[str], np.ndarray]:
     """Languages and log-probabilities of trigram bins, from (lang, text) rows.
 
-    The rows of a language are thinned by a hash of the text so that ``max_texts``
-    or a few more are left.  Bins are counted by grouped aggregation; languages
-    times bins come to the driver.
+    Every label counts.  The distinct texts of a language are thinned by their hash
+    so that ``max_texts`` or a few more are left, each once however often it occurs.
+    Bins are counted by grouped aggregation; the number of labels times bins comes to
+    the driver.  Without any label there is one language, ``und``.
     """
-    sizes = texts.filter("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    texts = texts.filter("lang is not null").withColumn("_h", F.xxhash64("text"))
+    sizes = texts.groupBy("lang").agg(F.count_distinct("_h").alias("count")).collect()
     langs = sorted(r["lang"] for r in sizes)
     if not langs:
         return ["und"], np.full((1, BINS), -np.log(BINS))
+    number = {x: i for i, x in enumerate(langs)}
     share = {r["lang"]: max_texts / r["count"] for r in sizes}
     keep = F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, v)])
-    thinned = texts.filter(F.col("lang").isin(langs) & (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < keep[F.col("lang")] * (1 << 20)))
+    thinned = texts.filter(F.pmod("_h", F.lit(1 << 20)) < keep[F.col("lang")] * (1 << 20))
+    thinned = thinned.groupBy("lang", "_h").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = np.zeros((len(langs), BINS), np.int64)
         for rows, data, offsets in textnum.blocks(batches):
             bins, row = trigrams(data, offsets)
-            lang = np.array([langs.index(x) for x in rows.column("lang").to_pylist()])
+            lang = np.array([number[x] for x in rows.column("lang").to_pylist()])
             tally += np.bincount(lang[row] * BINS + bins, minlength=tally.size).reshape(tally.shape) if len(bins) else 0
         at = np.flatnonzero(tally)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(tally.ravel()[at])], ["at", "n"])
