@@ -135,6 +135,27 @@ def feature_rows(docs: DataFrame) -> DataFrame:
     return docs.select("label", "text").mapInArrow(run, "label int, x array<double>")
 
 
+def thin_below(rows: DataFrame, most: int) -> int:
+    """A bound on the 60-bit hash ``_h`` under which there are ``most`` rows at most, the same whatever the partitioning.
+
+    Rows are counted by the hash's first 12 bits; where even the first such slice
+    holds too many, that slice is looked into by the next 12 bits.
+    """
+    for shift in range(48, -1, -12):
+        tally = rows.filter(F.col("_h") < 1 << (shift + 12)).groupBy(F.shiftright("_h", shift).alias("k")).count().orderBy("k").collect()
+        room, below = most, 0
+        for r in tally:
+            room -= r["count"]
+            if room < 0:
+                break
+            below = r["k"] + 1
+        if room >= 0:
+            return 1 << (shift + 12)
+        if below:
+            return below << shift
+    return 0
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> Model:
     """Fit on labelled rows that are not held out, ``max_rows`` of them at most.
 
@@ -142,15 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> M
     """
     known = labels.filter(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("label"))
-    # thin by hash: a thousandth at a time, so the same rows are taken whatever the partitioning
-    tally = known.groupBy((F.pmod(F.xxhash64("doc_id"), F.lit(4096))).alias("k")).count().orderBy("k").collect()
-    room, below = max_rows, 0
-    for r in tally:
-        room -= r["count"]
-        if room < 0 and below:
-            break
-        below = r["k"] + 1
-    known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(4096)) < below).select("doc_id", F.col("label").cast("int").alias("label"))
+    known = known.select("doc_id", F.col("label").cast("int").alias("label"), F.shiftrightunsigned(F.xxhash64("doc_id"), 4).alias("_h"))
+    known = known.filter(F.col("_h") < thin_below(known, max_rows)).drop("_h")
     # at most max_rows pairs of two numbers: small enough to send to every task
     rows = feature_rows(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")).toArrow()
     x = np.array(rows.column("x").to_pylist(), float).reshape(-1, len(NAMES))
