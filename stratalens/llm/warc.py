@@ -203,5 +203,5 @@ def read_packages(manifest: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page through a written and re-read archive."""
     records = plan_records(common.table(spark, sf_dir, "pages"))
-    folder = f"{common.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = f"{common.shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     return read_packages(write_packages(records, folder))
