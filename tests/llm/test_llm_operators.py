@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratalens.llm import common, components, edit_counts, hilbert_shards, language_id, ngram_join, packing, phrase_index, quality, simhash, suffix_repeats, tokens, warc, zip_reader
+from stratalens.llm import common, components, edit_counts, hilbert_shards, language_id, ngram_join, packing, phrase_index, quality, simhash, suffix_repeats, textnum, tokens, warc, zip_reader
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SYLLABLES = ["tho", "ren", "ing", "sha", "é", "ble", "ont", "ere", "dal", "ku"]
@@ -147,45 +147,82 @@ def test_quality_learns_and_defines_every_case(spark, docs, none):
     got = quality.score_documents(docs, model).collect()
     assert len(got) == len(ROWS) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)
     assert quality.score_documents(none, model).count() == 0
+    hashes = spark.range(100_000).select(F.shiftrightunsigned(F.xxhash64("id"), 4).alias("_h"))
+    for most in (1, 5, 20, 1000, 100_000):
+        taken = hashes.filter(F.col("_h") < quality.thin_below(hashes, most)).count()
+        assert 0.1 * most <= taken <= most
     empty = quality.train(texts, labels.filter("false"))
     assert {r["predicted"] for r in quality.score_documents(texts, empty).collect()} == {1}
 
 
-def test_simhash_order_and_edits(spark, docs, none, monkeypatch):
-    monkeypatch.setattr(simhash, "RUN_ROWS", 4)
-    rows = sorted([(r[0], r[1] or "") for r in ROWS if r[0] is not None], key=lambda r: (-r[0], r[1]))
-    alone = [r for r in rows if Counter(x[0] for x in rows)[r[0]] == 1]
-    frame = spark.createDataFrame(alone, "doc_id long, text string")
-    nexts = {a[0]: b[1] for a, b in zip(alone, [*alone[1:], alone[0]], strict=True)}
-    got = {r["doc_id"]: r for r in simhash.with_next(frame).collect()}
-    assert {k: r["next_text"] for k, r in got.items()} == nexts
-    assert simhash.with_next(docs).count() == len(ROWS) and simhash.with_next(none).count() == 0
-    same = defaultdict(set)
-    for r in got.values():
-        same[r["text"]].add(bytes(r["fingerprint"]))
-    assert all(len(v) == 1 for v in same.values())
+def brute_fingerprint(text):
+    """Votes of a text's neighbouring words on 128 bits, one word pair at a time."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    start, end, row = textnum.words(data, np.array([0, len(data)]), textnum.SPACE)
+    hashes = textnum.word_hashes(data, start, end)
+    sizes = [min(int(e - s), simhash.MAX_WEIGHT // 2) for s, e in zip(start, end, strict=True)]
+    if not len(start):
+        return bytes(16)
+    terms, _ = textnum.shingle_hashes(hashes, row, 2, 1)
+    weights = [a + b for a, b in zip(sizes, sizes[1:], strict=False)] or [simhash.MAX_WEIGHT]
+    votes = [0] * 128
+    for t, w in zip(terms.tolist(), weights, strict=True):
+        both = t.to_bytes(8, "little") + int(textnum.mix(np.array([t], np.uint64) ^ np.uint64(0x5851F42D4C957F2D))[0]).to_bytes(8, "little")
+        for k in range(128):
+            votes[k] += w if both[k // 8] >> (7 - k % 8) & 1 else -w
+    return bytes(sum((votes[8 * i + j] > 0) << (7 - j) for j in range(8)) for i in range(16))
+
+
+def brute_op4(spark, rows):
+    """The contract's columns of op4 for (doc_id, text) rows."""
+    frame = spark.createDataFrame([(t or "",) for _, t in rows], "t string").select(F.xxhash64("t"))
+    keyed = [(i if i is not None else -(1 << 63), h[0], t or "", i) for (i, t), h in zip(rows, frame.collect(), strict=True)]
+    order = sorted(keyed, key=lambda r: (-r[0], -r[1], r[2]))
+    out = []
+    for (_, _, t, i), (_, _, following, _) in zip(order, [*order[1:], *order[:1]], strict=True):
+        third = len(t) // 3
+        edited = t[: len(t) - third] + following[:third]
+        a, b, c = (brute_fingerprint(x) for x in (t, edited, following))
+        like = lambda x, y: 1 - bin(int.from_bytes(x) ^ int.from_bytes(y)).count("1") / 128
+        out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), a.hex(), b.hex(), like(a, b), like(a, c)))
+    return out
+
+
+@pytest.mark.parametrize("run_rows", [4, simhash.RUN_ROWS])
+def test_simhash_query(spark, tmp_path, monkeypatch, run_rows):
+    monkeypatch.setattr(simhash, "RUN_ROWS", run_rows)
+    rows = [(r[0], r[1]) for r in ROWS] + [(None, None), (None, "a b"), (None, "c d e"), (55, "same id"), (55, "same id"), (55, "another"), (55, None)]
+    for name, some in (("many", rows), ("one", rows[3:4]), ("none", [])):
+        spark.createDataFrame(some, "doc_id long, text string").withColumn("run", F.lit(1)).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got = [tuple(r) for r in simhash.query(spark, f"{tmp_path}/{name}").collect()]
+        assert sorted(got, key=repr) == sorted(brute_op4(spark, some), key=repr)
 
 
-def test_simhash_near_pairs(spark):
+@pytest.mark.parametrize("hot", [simhash.HOT_BLOCK, 8, 2])
+def test_simhash_near_pairs(spark, hot):
     rnd = np.random.default_rng(4)
     base = rnd.integers(0, 256, (30, 16), dtype=np.uint8)
+    base[10:, :5] = base[0, :5]  # many share a block, some two
+    base[20:, 5:9] = base[0, 5:9]
     fps = [b.tobytes() for b in base]
     for b in base[:15]:
         for flips in (1, 3, 4):
             bits = np.unpackbits(b)
             bits[rnd.choice(128, flips, replace=False)] ^= 1
             fps.append(np.packbits(bits).tobytes())
-    want = {(a, b) for a in set(fps) for b in set(fps) if a < b and bin(int.from_bytes(a) ^ int.from_bytes(b)).count("1") <= 3}
-    frame = spark.createDataFrame([(bytearray(f),) for f in fps] + [(None,)], "fingerprint binary")
-    for extra in (1, 2):
-        got = {(bytes(r["a"]), bytes(r["b"])) for r in simhash.near_pairs(frame, 3, extra).collect()}
-        assert got == want
+    want = {(a, b): n for a in set(fps) for b in set(fps) if a < b and (n := bin(int.from_bytes(a) ^ int.from_bytes(b)).count("1")) <= 3}
+    frame = spark.createDataFrame([(bytearray(f),) for f in [*fps, *fps[:9]]] + [(None,)], "fingerprint binary").withColumn("key", F.lit(1))
+    found = simhash.near_pairs(frame, 3, hot).collect()
+    assert {(bytes(r["a"]), bytes(r["b"])): r["bits"] for r in found} == want and len(found) == len(want)
+    assert simhash.near_pairs(frame.filter("false"), 3, hot).count() == 0
 
 
 def test_token_ids_equal_the_library():
     encode = tokens.encoder(tokens.vocabulary("byte_bpe_50k.json"), tokens.vocabulary("byte_bpe_50k.tiktoken"))
     rnd = random.Random(2)
     samples = [r[1] or "" for r in ROWS] + ["", " ", "a b", "x<|endoftext|>y", "漢字 and 🙂", "don't  stop\n\n now", "½ cup", "\x1c\x1d tab\t", "“quoted” – dash"]
+    odd = ["a", " ", "  ", "я", "漢", "٣", "Ⅷ", "\u00a0", "\u3000", "\u0085", "\x1c", "🙂", "\u0301", "ß", "!", "'s", "<", "<|endoftext|>", "|>", "\n", "ﬁ", "١a", "\ufeff", "\u200d"]
+    samples += ["".join(rnd.choice(odd) for _ in range(30)) for _ in range(300)]
     samples += ["".join(rnd.choice(["a", " ", "\n", "'s", "1", "é", "!", "\t"]) for _ in range(60)) for _ in range(100)]
     for text in samples:
         want = encode.whole.encode(text, add_special_tokens=False).ids
@@ -195,8 +232,10 @@ def test_token_ids_equal_the_library():
 def test_edit_counts(spark, docs, none):
     encode = tokens.encoder(tokens.vocabulary("byte_bpe_50k.json"), tokens.vocabulary("byte_bpe_50k.tiktoken"))
     rnd = random.Random(5)
-    parts = ["a", "b", " ", "  ", "\n", "'s", "'", "12", "!", "é", "the ", "\n\n", " x"]
-    for t in range(400):
+    plain = ["a", "b", " ", "  ", "\n", "'s", "'", "12", "!", "é", "the ", "\n\n", " x"]
+    odd = [*plain, "я", "漢字", "🙂", "\u00a0", "<|endoftext|>", "<|", "endoftext", "|>", "<", "\u0301", " \u3000"]
+    for t in range(800):
+        parts = plain if t < 300 else odd
         text = "".join(rnd.choice(parts) for _ in range(rnd.randrange(300 if t % 5 == 0 else 30)))
         tree = edit_counts.CountTree(encode, text)
         for _ in range(4):
@@ -204,12 +243,20 @@ def test_edit_counts(spark, docs, none):
             new = "".join(rnd.choice(parts) for _ in range(rnd.randrange(6)))
             text = text[:at] + new + text[at + gone :]
             tree.replace(at, gone, new)
-            assert "".join(w for leaf in tree.leaves for w in leaf) == text
-            assert tree.total == len(encode.ids(text)) // 4
+            assert "".join(w for w, _ in tree.words()) == text
+            assert tree.total == len(encode.whole.encode(text, add_special_tokens=False).ids)
     long = " ".join(words(rnd, 5000))
     tree = edit_counts.CountTree(encode, long)
     tree.replace(9000, 3, "zz")
     assert tree.encoded < 100
+    # an edit of a stored tree encodes nothing of the old text
+    stored = edit_counts.build_trees(spark.createDataFrame([(1, long, "x"), (2, None, "y"), (3, "<|endoftext", "z")], "doc_id long, text string, lang string"))
+    steps = F.expr("array(struct(9000L AS start, 3L AS removed, if(doc_id = 3, '|>', 'zz') AS inserted))")
+    kept = {r["doc_id"]: r for r in edit_counts.apply_edits(stored.withColumn("edits", steps), keep=True).collect()}
+    assert kept[1]["encoded_chars"] < 100 and kept[2]["text"] == "zz" and kept[3]["edited_tokens"] == 1
+    again = spark.createDataFrame([kept[1]]).select("doc_id", "text", F.col("lengths").cast("array<int>"), F.col("counts").cast("array<int>"), F.lit(None).cast("array<struct<start:long,removed:long,inserted:string>>").alias("edits"))
+    r = edit_counts.apply_edits(again).first()
+    assert r["n_tokens"] == r["edited_tokens"] == len(encode.ids(kept[1]["text"])) // 4 and r["encoded_chars"] == 0
     got = edit_counts.count_edits(edit_counts.with_edits(docs)).collect()
     count = lambda t: len(encode.ids(t)) // 4
     assert Counter((r["doc_id"], r["n_tokens"]) for r in got) == Counter((r[0], count(r[1] or "")) for r in ROWS)
@@ -246,6 +293,11 @@ def test_language_evidence(spark):
     nothing = spark.createDataFrame([], "page_id long, url string, html string")
     assert language_id.identify(nothing, langs, model).count() == 0
     assert language_id.fit(texts.filter("false"))[0] == ["und"]
+    many = spark.range(80).select(F.concat(F.lit("l"), "id").alias("lang"), F.repeat(F.concat(F.lit("word"), "id"), 9).alias("text"))
+    hot = spark.createDataFrame([("l0", "a hot text")], "lang string, text string").crossJoin(spark.range(5000)).drop("id")
+    langs, once = language_id.fit(many, 2)
+    assert len(langs) == 80
+    assert np.allclose(language_id.fit(many.unionByName(hot), 10**6)[1][0], language_id.fit(many.unionByName(hot.limit(1)), 10**6)[1][0])
 
 
 @pytest.mark.parametrize("hot", [suffix_repeats.HOT, 12, 2])
