@@ -1,12 +1,14 @@
 """The registered queries of this subpackage and their SQL."""
 
 from . import edit_counts, hilbert_shards, language_id, ngram_join, packing, phrase_index, quality, simhash, suffix_repeats, warc
+from .oracles import ORACLES  # noqa: F401
 
 QUERIES = {
     "op1_hilbert_shards": hilbert_shards.query,
     "op2_ngram_join": ngram_join.query,
     "op3_preference_quality": quality.query,
     "op4_simhash": simhash.query,
+    "fingerprint_neighbours": simhash.neighbours_query,
     "op5_edit_counts": edit_counts.query,
     "op6_language_evidence": language_id.query,
     "op7_suffix_repeats": suffix_repeats.query,
@@ -14,4 +16,3 @@ QUERIES = {
     "op9_zip_warc": warc.query,
     "op10_cutting_stock": packing.query,
 }
-ORACLES: dict[str, str] = {}

@@ -188,3 +188,24 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )
+
+
+def neighbours(docs: DataFrame, radius: int = 3) -> DataFrame:
+    """(doc_id, class_id, near): each document's class of equal fingerprints and the classes within ``radius`` bits of it.
+
+    ``class_id`` is the smallest doc_id with that fingerprint; ``near`` lists class ids,
+    ascending.  Rows without a doc_id belong to a class but don't name one.
+    """
+    fps = common.materialise(docs.select("doc_id", simhash(F.col("text")).alias("fingerprint")), "fingerprints")
+    classes = common.materialise(fps.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id")), "fingerprint-classes")
+    pairs = near_pairs(classes, radius)
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    names = classes.select(F.col("fingerprint").alias("b"), F.col("class_id").alias("n"))
+    lists = both.join(names, "b").groupBy(F.col("a").alias("fingerprint")).agg(F.array_sort(F.collect_list("n")).alias("near"))
+    named = classes.join(lists, "fingerprint", "left").withColumn("near", F.coalesce("near", F.array().cast("array<long>")))
+    return fps.join(named, "fingerprint").select("doc_id", "class_id", "near")
+
+
+def neighbours_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint classes of all documents and their neighbours within 3 bits."""
+    return neighbours(common.table(spark, sf_dir, "documents"))
