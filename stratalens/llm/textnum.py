@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; one longer text makes a block of its own.
-BLOCK = 1_000_000
+BLOCK = 300_000
 BLOCK_ROWS = 4096
 
 _ODD = 0x9E3779B97F4A7C15
