@@ -256,7 +256,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     0.75 or more; ``component_id`` is the smallest doc_id in reach.  A text with
     fewer than ``width`` words is one shingle; null, empty or blank texts have none
     and are alone.  Equal sets are one node, so copies cost no pairs; null ids
-    take part and get the component of the others.
+    take part and get the component of the others.  An empty table gives an empty
+    result; a very long text is a chunk of its own; other columns aren't read.
     """
     size = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     chunks = max(12, size // CHUNK_BYTES)
@@ -278,12 +279,14 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     more = common.materialise(verify(across(postings, roots), classes), "ngram-links")
     roots = components.connected(links.unionByName(more)).withColumnRenamed("node", "id")
 
+    # components are settled for each set; documents join that table once, on a key that adaptive execution can split
+    sets = found.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
     ids = classes.select("sig", "id").join(roots, "id", "left").select("sig", F.coalesce("root", "id").alias("root"))
-    members = found.filter("n > 0").join(ids, "sig").select("doc_id", "n", "root")
-    least = members.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = members.join(least, "root").select("doc_id", "n", "component_id")
-    alone = found.filter("n > 0").join(ids.select("sig"), "sig", "left_anti").unionByName(found.filter("n = 0"))
-    alone = alone.select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    sets = common.materialise(sets.join(ids, "sig", "left"), "ngram-roots")
+    least = sets.filter("root is not null").groupBy("root").agg(F.min("least").alias("component_id"))
+    sets = sets.join(least, "root", "left").select("sig", F.coalesce("component_id", "least").alias("component_id"))
+    linked = found.filter("n > 0").join(common.materialise(sets, "ngram-components"), "sig").select("doc_id", "n", "component_id")
+    alone = found.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumnRenamed("n", "n_shingles")
 
 
