@@ -191,31 +191,36 @@ def frequencies(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     return out
 
 
-def item_blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """Items with some words, in blocks of at most ``block_words`` words (a longer item is a block of its own)."""
+def item_blocks(items: DataFrame, block_words: int, width: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """Items with some words, in blocks of ``block_words`` words or little more; a long item's parts overlap by all but one word of a window."""
     block: list[tuple[int, np.ndarray]] = []
-    size = 0
+    size, step = 0, max(1, block_words)
     for r in items.select("item_id", "text").filter("item_id is not null").toLocalIterator():
         words = item_words(r["text"])
-        if not len(words):
-            continue
-        if block and size + len(words) > block_words:
-            yield block
-            block, size = [], 0
-        block.append((r["item_id"], words))
-        size += len(words)
+        for at in range(0, max(len(words) - width + 1, min(len(words), 1)), step):
+            part = words[at : at + step + width - 1]
+            if block and size + len(part) > block_words:
+                yield block
+                block, size = [], 0
+            block.append((r["item_id"], part))
+            size += len(part)
     if block:
         yield block
 
 
 def find_phrases(index: DataFrame, items: DataFrame, width: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Runs of document words (``first`` to ``past`` in the shard's numbering) that windows of an item cover."""
+    """Runs of document words (``first`` to ``past`` in the shard's numbering) that windows of an item cover.
+
+    Test items are a stated set of queries: they pass through the driver in blocks of
+    bounded size, and each block is broadcast.  Items without an id are left out.
+    """
     found = None
-    for block in item_blocks(items, block_words):
+    for block in item_blocks(items, block_words, width):
         windows = windows_of(block, width)
-        windows = by_rarity(windows, frequencies(index, windows.vocabulary))
+        sent = index.sparkSession.sparkContext.broadcast(by_rarity(windows, frequencies(index, windows.vocabulary)))
 
-        def run(batches: Iterator[pa.RecordBatch], windows: Windows = windows) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            windows = sent.value
             for batch in batches:
                 for number, _, shard in shards(batch):
                     which, start = shard.phrases(windows)
@@ -255,7 +260,10 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> Dat
     """One row per document row: its words, those inside a test phrase, and the items found.
 
     Contaminated: some word is hit, and hit words are a twentieth or more.
-    Rows that are equal, or that share an id, are judged each on its own text.
+    Rows that are equal, or that share an id, are judged each on its own text.  Items
+    without an id or without words find nothing; an item id may have several rows.
+    Empty tables give an empty result, or no hits; a very long text is a shard of its
+    own; other columns of either table aren't read.
     """
     index = build_index(docs)
     spans = find_phrases(index, items, width).groupBy("shard", "doc").agg(
