@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BITS = 4
+BITS = 5
 SHARDS = 24
 
 
@@ -58,12 +58,12 @@ def with_hilbert(df: DataFrame, coords: list[Column], bits: int) -> DataFrame:
 
 
 def grid(source: Column, lang: Column, length: Column) -> list[Column]:
-    """The default dimensions: origin and language by hash class, length by powers of two."""
+    """The default dimensions: origin and language by hash class, length by half powers of two; nulls count as empty or 0."""
     side = 1 << BITS
     return [
         F.pmod(F.xxhash64(F.coalesce(source, F.lit(""))), F.lit(side)).cast("int"),
         F.pmod(F.xxhash64(F.coalesce(lang, F.lit(""))), F.lit(side)).cast("int"),
-        F.least(F.lit(side - 1), F.floor(F.log2(F.coalesce(length, F.lit(0)) + 1))).cast("int"),
+        F.least(F.lit(side - 1), F.floor(1.5 * F.log2(F.coalesce(length, F.lit(0)) + 1))).cast("int"),
     ]
 
 
@@ -115,12 +115,30 @@ def prune(shards: DataFrame, bounds: dict[str, tuple]) -> DataFrame:
     return shards.select("shard")
 
 
+def cells_of(spark: SparkSession, source: str | None = None, lang: str | None = None, chars: tuple[int, int] | None = None) -> dict[str, tuple[int, int]]:
+    """A filter on real columns as bounds for ``prune``: the grid's classes of a source, a language and a range of text lengths."""
+    low, high = chars or (0, 0)
+    made = [grid(F.lit(source or ""), F.lit(lang or ""), F.lit(n)) for n in (low, high)]
+    row = spark.range(1).select(made[0][0].alias("s"), made[0][1].alias("g"), made[0][2].alias("a"), made[1][2].alias("b")).first()
+    asked = {"dim0": (source, (row["s"], row["s"])), "dim1": (lang, (row["g"], row["g"])), "dim2": (chars, (row["a"], row["b"]))}
+    return {c: bounds for c, (value, bounds) in asked.items() if value is not None}
+
+
 def shard_documents(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
+    """Documents' keys, sizes and metadata with ``hilbert``, ``shard`` and ``slot``, without their texts.
+
+    Null texts count as empty, null metadata as a class of their own, equal rows get
+    distinct slots; an empty table gives an empty result; columns of other names than
+    doc_id, text, source and lang aren't read.
+    """
     text = common.text_bytes(F.col("text"))
     small = docs.select(
         "doc_id",
         (F.octet_length(text) + 8).cast("long").alias("bytes"),
         F.crc32(text).cast("long").alias("text_crc32"),
+        "source",
+        "lang",
+        F.length("text").alias("chars"),
         *[c.alias(f"dim{i}") for i, c in enumerate(grid(F.col("source"), F.col("lang"), F.length("text")))],
     )
     small = common.materialise(small, "shard-keys")  # texts are read once
@@ -143,4 +161,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
         "hilbert",
+        "source",
+        "lang",
+        "chars",
+        *[f"dim{i}" for i in range(3)],
     )
