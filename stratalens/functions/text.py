@@ -31,7 +31,11 @@ def clean(x: Column) -> Column:
 
 def content_hash(x: Column) -> Column:
     """SHA-256 of the cleaned text in lower case."""
-    return F.sha2(F.lower(clean(x)).cast("binary"), 256)
+    return hashed(F.lower(clean(x)))
+
+
+def hashed(lowered: Column) -> Column:
+    return F.sha2(lowered.cast("binary"), 256)
 
 
 def chunks(x: Column, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> Column:

@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from ..functions import labels, scores, text
 from ..operators import audit, corpus, dedup, monitors, recommend, router, search, signals
 from ..rules import SAMPLE as PACK
-from ..session import stored
+from ..session import read_table, stored
 from ..sources import feeds, pages
 
 AS_OF = "2024-02-15 00:00:00"
+#: Tables whose rows take much work each.
+TEXTS = ("documents", "pages", "conversations")
 TOKENS = ("/th", "/on", "/de", "/le", "/un")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return read_table(spark, path) if name in TEXTS else spark.read.parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,9 +76,8 @@ def q_dedup_either(spark, d):
 
 
 def q_topic_counts(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", text.clean(F.col("text")).alias("clean_text"), text.content_hash(F.col("text")).alias("content_hash"))
-    rows = rows.withColumn("_low", F.lower("clean_text"))
-    rows = rows.withColumn("topic", labels.first_match(F.col("_low"), PACK.topics, PACK.default_topic)).drop("clean_text", "_low")
+    rows = table(spark, d, "documents").select("doc_id", F.lower(text.clean(F.col("text"))).alias("_low")).withColumn("content_hash", text.hashed(F.col("_low")))
+    rows = rows.withColumn("topic", labels.first_match(F.col("_low"), PACK.topics, PACK.default_topic)).drop("_low")
     return dedup.first_by(rows, "content_hash", "doc_id").groupBy("topic").agg(F.count("*").alias("documents")).orderBy(F.desc("documents"), "topic").limit(10)
 
 

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes for each core up to which a table may be dealt out anew.
+SMALL_BYTES = 32 << 20
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which driver and executors share.
 
@@ -35,6 +39,18 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table; one that comes in fewer files than there are cores, and is small, is dealt to all of them.
+
+    A file with a single row group is one task otherwise, whatever is computed from it.
+    """
+    df, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    summary = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder)
+    small = summary.getFileCount() < cores and summary.getLength() < cores * SMALL_BYTES
+    return df.repartition(cores) if small else df
+
+
 def read_df(spark: SparkSession, query: str, *params) -> DataFrame:
     """A parametrised SQL query."""
     return spark.sql(query, args=list(params)) if params else spark.sql(query)
