@@ -12,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import read_table, shared_folder
 
 #: Rows of a batch that goes to Python, where the session has the default of 10,000: texts are long.
 BATCH_ROWS = 2000
@@ -38,7 +38,7 @@ def ship(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
