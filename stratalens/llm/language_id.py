@@ -174,7 +174,9 @@ def identify(pages: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame
     prior.  Without text, declaration or host the language is the corpus's most
     frequent; ties go to the first language in alphabetical order.  A hot host is
     a skewed key of one join with a small row on the other side, which adaptive
-    execution splits.
+    execution splits.  Null urls and html count as empty; every row has a result of its
+    own, equal rows equal ones; an empty table gives none.  A very long page is a block
+    of its own; columns other than page_id, url and html aren't read.
     """
     rows = text_likelihoods(evidence(pages), model)
     country = F.create_map(*[F.lit(x) for kv in SUFFIX_LANGUAGE.items() for x in kv])

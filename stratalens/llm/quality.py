@@ -159,7 +159,10 @@ def thin_below(rows: DataFrame, most: int) -> int:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> Model:
     """Fit on labelled rows that are not held out, ``max_rows`` of them at most.
 
-    Rows with a null id, label or no matching text are passed over.
+    Rows with a null id, label or no matching text are passed over; of several labels
+    of one id the better counts, and each row of a repeated id is a text of its own.
+    Without labelled rows every score is on the good side of the cut.  Columns of other
+    names aren't read.
     """
     known = labels.filter(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("label"))
@@ -172,7 +175,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> M
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` plus ``score`` and ``predicted``; null texts count as empty."""
+    """All columns of ``docs`` plus ``score`` and ``predicted`` (columns of these names are replaced); null texts count as empty.
+
+    Equal texts have equal scores, an empty table gives an empty result, and a very long
+    text is a block of its own in its task.
+    """
     from pyspark.sql.pandas.functions import arrow_udf
 
     @arrow_udf("double")

@@ -42,13 +42,14 @@ def plan_records(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     Null html is an empty payload.  Of equal payloads of ``min_bytes`` or more, the
     row with the largest page_id is kept as a response (a null id is less than any;
     rows that share the largest id are all responses) and the others refer to it.
-    Only digests that occur twice take part in the join; a hot one is a skewed key
-    of a plain join, which adaptive execution splits.
+    Only digests that occur twice take part in the join; they are stored first, so a
+    hot one is a skewed key of a plain join, which adaptive execution splits.  An empty
+    table gives no records; a very long page is one record; other columns aren't read.
     """
     rows = pages.select("page_id", "url", common.text_bytes(F.col("html")).alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "long": F.octet_length("payload") >= min_bytes})
     counted = rows.filter("long").groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n"))
-    twice = counted.filter("n > 1 and kept is not null").select("digest", "kept", F.lit(True).alias("long"))
+    twice = common.materialise(counted.filter("n > 1 and kept is not null").select("digest", "kept", F.lit(True).alias("long")), "equal-payloads")
     rows = rows.join(twice, ["digest", "long"], "left")
     return rows.select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("kept")), F.col("kept")).alias("refers_to"))
 
