@@ -48,8 +48,7 @@ def test_stage_cuts_a_passage_of_51_words(spark):
     assert got == {i: (t, len(t)) for i, t in enumerate(want)}
 
 
-@pytest.mark.parametrize("hot", [suffix_repeats.HOT, 12, 2])
-@pytest.mark.parametrize("n_words", [25, 51])
+@pytest.mark.parametrize(("hot", "n_words"), [(suffix_repeats.HOT, 51), (12, 25), (2, 51)])
 def test_passages_against_brute_force(spark, hot, n_words):
     rnd = random.Random(6)
     parts = [" ".join(words(rnd, n)) for n in (n_words, n_words + 1, n_words - 1, n_words + 5)]

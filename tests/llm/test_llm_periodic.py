@@ -26,8 +26,7 @@ def made(seed, n):
     return texts
 
 
-@pytest.mark.parametrize("hot", [suffix_repeats.HOT, 6, 1])
-@pytest.mark.parametrize("n_words", [None, 51, 30])
+@pytest.mark.parametrize(("hot", "n_words"), [(suffix_repeats.HOT, None), (suffix_repeats.HOT, 51), (6, 51), (1, 30)])
 def test_against_brute_force(spark, hot, n_words):
     texts = made(11, 70)
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
