@@ -78,7 +78,7 @@ def quality_scorecard(facts: DataFrame) -> DataFrame:
     )
     return facts.select(
         "documents", *[F.col(c).cast("int").alias(c) for c in ("sources", "chunks", "signals")],
-        F.round(per_rec, 2).alias("evidence_per_recommendation"), F.round("trust", 3).alias("avg_trust"), "topics", F.round(total, 3).alias("quality_score"),
+        F.round(per_rec, 2).alias("evidence_per_recommendation"), F.round("trust", 3).alias("avg_trust"), "topics", F.round(total.cast("decimal(18,9)"), 3).cast("double").alias("quality_score"),
     )
 
 

@@ -195,10 +195,10 @@ ORACLES = {
     "data_gaps": f"""WITH {DOCS}, {GAPPY} SELECT count(*) FILTER (url IS NULL) + count(*) FILTER (coalesce(url, '') = '') AS without_url,
         count(*) FILTER (topic IS NULL) + count(*) FILTER (coalesce(topic, '') = '') AS without_topic, count(*) FILTER (length(clean_text) < 250) AS short_text,
         count(*) FILTER (trust_score IS NULL) AS without_trust, count(*) - count(DISTINCT coalesce(content_hash, '')) AS duplicates FROM gappy""",
-    "quality_scorecard": f"""WITH {COUNTS}, m AS (SELECT avg(coalesce(trust_score::DOUBLE, 0.5)) AS trust, count(DISTINCT coalesce(topic, 'Unknown')) AS topics FROM docs)
+    "quality_scorecard": f"""WITH {COUNTS}, m AS (SELECT avg(coalesce(trust_score, 0.5::DECIMAL(9,4))) AS trust, count(DISTINCT coalesce(topic, 'Unknown')) AS topics FROM docs)
         SELECT documents, sources::INT AS sources, chunks::INT AS chunks, signals::INT AS signals, round(evidence::DOUBLE / recommendations, 2) AS evidence_per_recommendation, round(trust, 3) AS avg_trust, topics,
         round((0.18 * least(sources / 25.0, 1.0) + 0.18 * least(documents / 100.0, 1.0) + 0.14 * least(chunks::DOUBLE / greatest(documents, 1), 1.0) + 0.16 * least(signals::DOUBLE / greatest(documents, 1), 1.0)
-          + 0.18 * least(evidence::DOUBLE / recommendations / 5, 1.0) + 0.08 * least(trust, 1.0) + 0.08 * least(topics / 8.0, 1.0))::DOUBLE, 3) AS quality_score FROM facts, m""",
+          + 0.18 * least(evidence::DOUBLE / recommendations / 5, 1.0) + 0.08 * least(trust, 1.0) + 0.08 * least(topics / 8.0, 1.0))::DECIMAL(18,9), 3)::DOUBLE AS quality_score FROM facts, m""",
     "evaluation_checks": f"WITH {COUNTS}, {CHECKS} SELECT * FROM checks",
     "evaluation_summary": f"""WITH {COUNTS}, {CHECKS}, t AS (SELECT count(*) AS total, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS failed FROM checks),
         u AS (SELECT *, passed::DOUBLE / total AS score FROM t) SELECT total, passed, failed, round(score, 3) AS score, {GRADE} AS grade FROM u""",

@@ -179,7 +179,7 @@ def _facts(spark: SparkSession, d: str) -> DataFrame:
     return audit.one_row(
         docs.agg(
             F.count("*").alias("documents"), F.countDistinct("source_name").alias("sources"), F.sum(signals.chunk_count(F.col("clean_text"))).alias("chunks"),
-            F.avg(F.coalesce(F.col("trust_score").cast("double"), F.lit(0.5))).alias("trust"), F.count_distinct(F.coalesce("topic", F.lit("Unknown"))).alias("topics"),
+            F.avg(F.coalesce("trust_score", scores.dec("0.5"))).cast("double").alias("trust"), F.count_distinct(F.coalesce("topic", F.lit("Unknown"))).alias("topics"),
         ),
         found.agg(F.count("*").alias("signals")),
         links.agg(F.sum("links").alias("evidence"), F.count_if(F.col("links") == 0).alias("unsupported"), F.count("*").alias("recommendations")),
