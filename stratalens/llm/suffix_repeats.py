@@ -37,6 +37,8 @@ HOT = 5_000
 FAN = 7
 #: Bytes of text in one bucket of the stored table of distinct texts, about.
 BUCKET_BYTES = 8_000_000
+#: Bytes of one text that are sampled at once.
+PIECE_BYTES = 2_000_000
 #: Low bits of a sorting key that hold a position; a text has fewer bytes than this allows.
 PLACE = 32
 
@@ -174,6 +176,18 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
+def seeds_of_long(data: np.ndarray, words: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``seeds`` of one very long text, piece by piece: pieces overlap by more than a window and its neighbours."""
+    parts = []
+    for at in range(0, len(data), PIECE_BYTES):
+        piece = data[at : at + PIECE_BYTES + LENGTH + 2]
+        pos, hashes, own = seeds(piece, np.array([0, len(piece)]), LENGTH, words)
+        parts.append((pos + at, hashes, own + np.array([at, at, 0])))
+    pos, hashes, own = (np.concatenate(x) for x in zip(*parts, strict=True))
+    pos, first = np.unique(pos, return_index=True)
+    return pos, hashes[first], own
+
+
 SAMPLED = "seed long, key binary, pos int, past int, kind int"
 
 
@@ -182,7 +196,8 @@ def sampled(texts: DataFrame, words: int | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in textnum.blocks(batches):
-            pos, hashes, own = seeds(data, offsets, LENGTH, words)
+            long = rows.num_rows == 1 and len(data) > PIECE_BYTES
+            pos, hashes, own = seeds_of_long(data, words) if long else seeds(data, offsets, LENGTH, words)
             place = np.append(pos, own[:, 0])
             row = np.searchsorted(offsets, place, side="right") - 1
             n, m = len(pos), len(own)
@@ -534,8 +549,8 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, words: int | None = None, st
 
     A text with a copy elsewhere loses all its bytes if it has 400 (or enough words);
     null and empty texts lose none.  Matches never cross texts.  An empty table gives
-    an empty result.  A very long text is a block of its own, held some thirty times
-    over in a task.  Other columns of ``docs``, whatever their names, aren't read.
+    an empty result.  A very long text is sampled in overlapping pieces.  Other columns
+    of ``docs``, whatever their names, aren't read.
     """
     texts = distinct_texts(docs)
     spans = cover(texts, hot, words).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))

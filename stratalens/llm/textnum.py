@@ -16,6 +16,8 @@ import pyarrow as pa
 #: Bytes of text handled at once; one longer text makes a block of its own.
 BLOCK = 300_000
 BLOCK_ROWS = 4096
+#: Bytes of one text whose words are hashed at once.
+LONG = 4_000_000
 
 _ODD = 0x9E3779B97F4A7C15
 _lower = np.arange(256, dtype=np.uint8)
@@ -104,7 +106,15 @@ def words(data: np.ndarray, offsets: np.ndarray, delimiter: np.ndarray) -> tuple
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z as a-z if ``lower``."""
+    """A 64-bit hash of each word (ascending and apart), A-Z as a-z if ``lower``; a very long text is taken piece by piece."""
+    if len(data) > LONG and len(start):
+        heads = np.unique(np.append(0, np.searchsorted(start, np.arange(LONG, len(data), LONG))))
+        heads = heads[heads < len(start)]
+        return np.concatenate([_word_hashes(data[start[a] : end[b - 1]], start[a:b] - start[a], end[a:b] - start[a], lower) for a, b in zip(heads, [*heads[1:], len(start)], strict=True)])
+    return _word_hashes(data, start, end, lower)
+
+
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
     up, down = powers(len(data))
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0

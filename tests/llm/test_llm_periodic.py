@@ -8,7 +8,7 @@ import pytest
 from test_llm_operators import words
 from test_llm_passages import brute_cut, results
 
-from stratalens.llm import suffix_repeats
+from stratalens.llm import ngram_join, packing, phrase_index, quality, simhash, suffix_repeats, textnum
 
 
 def periodic(rnd):
@@ -53,3 +53,39 @@ def test_strings_only_counts_passages(spark):
         r = got[hashlib.md5(t.encode()).digest()]
         has = passage in t
         assert (r["n_removed"], r["n_spans"], bytes(r["kept"]), r["n_passages"], r["n_repeated"]) == (0, 0, t.encode(), int(has), len(passage.encode()) * has)
+
+
+def test_very_long_texts_in_pieces(monkeypatch):
+    """Pieces of a text sample at least what its windows need, at the same places, and words hash alike."""
+    rnd = random.Random(9)
+    text = " ".join([*words(rnd, 400), *["Is onhe."] * 200, *words(rnd, 500), "z" * 900, *words(rnd, 300)]).encode()
+    data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    start, end, _ = textnum.words(data, offsets, textnum.SPACE)
+    whole = textnum.word_hashes(data, start, end)
+    for n_words in (None, 51):
+        pos, hashes, _ = suffix_repeats.seeds(data, offsets, words=n_words)
+        monkeypatch.setattr(suffix_repeats, "PIECE_BYTES", 1000)
+        got, same, own = suffix_repeats.seeds_of_long(data, n_words)
+        assert set(zip(pos.tolist(), hashes.tolist(), strict=True)) <= set(zip(got.tolist(), same.tolist(), strict=True)) and len(set(got.tolist())) == len(got)
+        assert all(text[a:b] in text[:a] + text[a + 1 :] or b - a > 400 for a, b, _ in own.tolist())
+    for size in (1, 50, 900, 5000):
+        monkeypatch.setattr(textnum, "LONG", size)
+        assert (textnum.word_hashes(data, start, end) == whole).all()
+
+
+def test_a_text_of_megabytes_through_the_operators(spark):
+    rnd = random.Random(6)
+    vocabulary = words(rnd, 5000)
+    passage = " ".join(words(rnd, 60))
+    long = " ".join(rnd.choice(vocabulary) for _ in range(900_000))
+    rows = spark.createDataFrame([(1, long + " " + passage), (2, passage + " " + " ".join(words(rnd, 80))), (3, long)], "doc_id long, text string")
+    cut = {r["n_bytes"]: r for r in suffix_repeats.remove_repeats(rows, words=51).drop("kept").collect()}
+    assert len(cut) == 3 and all(r["n_passages"] >= 1 for r in cut.values())
+    assert sorted(r["n_removed"] for r in cut.values())== [len(passage.encode()), len(long.encode()), len(long.encode()) + len(passage.encode())]
+    assert ngram_join.near_duplicates(rows).count() == 3
+    found = {r["doc_id"]: r for r in phrase_index.contamination(rows, spark.createDataFrame([(7, passage)], "item_id long, text string")).collect()}
+    assert found[1]["n_hit"] >= 60 and found[2]["contaminated"] and not found[1]["contaminated"]
+    assert simhash.with_next(rows).count() == 3
+    model = quality.Model(np.zeros(51), np.ones(51), np.zeros(51), 0.0)
+    assert quality.score_documents(rows, model).count() == 3
+    assert packing.pack_documents(rows.filter("doc_id < 3")).count() > 900
