@@ -285,5 +285,11 @@ ORACLES |= {
     "evidence_pack": f"""WITH {LOG} SELECT id, to_json({{'question': question, 'query_route': {{'intent': intent, 'topic': topic, 'business_area': business_area, 'region': region}}, 'answer_confidence_from_pipeline': confidence_score,
         'retrieved_evidence': [{{'rank': 1, 'snippet': {short("coalesce(answer, '')", 500)}}}], 'strategic_signals': [], 'existing_recommendations': [], 'partner_options': []}})::VARCHAR AS pack FROM log""",
 }
+# One row at a time, with the urls and hashes taken so far.
+_free = "NOT (list_contains(s.urls, r.url) OR list_contains(s.hashes, r.content_hash))"
+ORACLES["dedup_url_or_hash"] = f"""WITH RECURSIVE {DOCS}, r AS MATERIALIZED (SELECT row_number() OVER (ORDER BY id) AS i, id AS seq, url, {content_hash('clean_text')} AS content_hash FROM docs),
+    s AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS urls, []::VARCHAR[] AS hashes, false AS ok
+      UNION ALL SELECT r.i, CASE WHEN {_free} THEN list_append(s.urls, r.url) ELSE s.urls END, CASE WHEN {_free} THEN list_append(s.hashes, r.content_hash) ELSE s.hashes END, {_free} FROM s JOIN r ON r.i = s.i + 1)
+    SELECT seq, url, content_hash FROM r JOIN s USING (i) WHERE ok"""
 # An older name of the same query.
 ORACLES["page_links_full"] = ORACLES["page_links"]
