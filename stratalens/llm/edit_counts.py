@@ -30,31 +30,38 @@ class CountTree:
     edit is not changed by it.
     """
 
-    def __init__(self, encode: tokens.WordIds, text: str, lengths: list[int] | None = None, counts: list[int] | None = None, special: bool = True):
-        self.encode, self.encoded, self.special = encode, 0, special
+    def __init__(self, encode: tokens.WordIds, text: str, lengths: np.ndarray | None = None, counts: np.ndarray | None = None, special: bool = True):
+        self.encode, self.encoded, self.special, self.text = encode, 0, special, text
         self.look = tokens.LOOK if special else 1
         if lengths is None:
-            words = self._counted(encode.cut(text, special))
-        else:
-            ends = np.cumsum(lengths).tolist()
-            words = list(zip((text[a:b] for a, b in zip([0, *ends], ends, strict=False)), counts, strict=True))
-        self.leaves = [words[i : i + LEAF] for i in range(0, len(words), LEAF)] or [[]]
+            cut = encode.cut(text)
+            lengths, counts = [len(w) for w in cut], [len(encode[w]) // 4 for w in cut]
+        # characters and tokens before each old word
+        self.place, self.before = ([0, *np.cumsum(x, dtype=np.int64).tolist()] for x in (lengths, counts))
+        # a leaf is a range of old words until an edit comes to it, and then a list of (word, tokens)
+        n = len(self.place) - 1
+        self.leaves: list[range | list[tuple[str, int]]] = [range(i, min(i + LEAF, n)) for i in range(0, n, LEAF)] or [[]]
         self._grow()
 
-    def _counted(self, words: list[str]) -> list[tuple[str, int]]:
-        return [(w, len(self.encode[w]) // 4) for w in words]
-
-    @staticmethod
-    def _count(words: list[tuple[str, int]]) -> tuple[int, int]:
-        return sum(len(w) for w, _ in words), sum(n for _, n in words)
+    def _words(self, leaf: int) -> list[tuple[str, int]]:
+        held = self.leaves[leaf]
+        if isinstance(held, range):
+            held = [(self.text[self.place[i] : self.place[i + 1]], self.before[i + 1] - self.before[i]) for i in held]
+            self.leaves[leaf] = held
+        return held
 
     def words(self) -> list[tuple[str, int]]:
-        return [w for leaf in self.leaves for w in leaf]
+        return [w for i in range(len(self.leaves)) for w in self._words(i)]
+
+    def _count(self, held: range | list[tuple[str, int]]) -> tuple[int, int]:
+        if isinstance(held, range):
+            return self.place[held.stop] - self.place[held.start], self.before[held.stop] - self.before[held.start]
+        return sum(len(w) for w, _ in held), sum(n for _, n in held)
 
     def _grow(self) -> None:
         """Build the sums over all leaves."""
         self.base = 1 << max(0, (len(self.leaves) - 1).bit_length())
-        self.chars, self.tokens = np.zeros(2 * self.base, np.int64), np.zeros(2 * self.base, np.int64)
+        self.chars, self.tokens = [0] * (2 * self.base), [0] * (2 * self.base)
         for i, leaf in enumerate(self.leaves):
             self.chars[self.base + i], self.tokens[self.base + i] = self._count(leaf)
         for i in range(self.base - 1, 0, -1):
@@ -74,13 +81,13 @@ class CountTree:
         while i < self.base:
             i *= 2
             if place >= before + self.chars[i] and i + 1 < 2 * self.base and self.chars[i + 1]:
-                before += int(self.chars[i])
+                before += self.chars[i]
                 i += 1
         return min(i - self.base, len(self.leaves) - 1), before
 
     @property
     def total(self) -> int:
-        return int(self.tokens[1])
+        return self.tokens[1]
 
     def _context(self, words: list[tuple[str, int]], at: int, start: int) -> tuple[int, int]:
         """The first word that an edit at ``start`` can change, and its place.
@@ -99,17 +106,17 @@ class CountTree:
 
     def replace(self, start: int, removed: int, inserted: str) -> None:
         """Put ``inserted`` in place of ``removed`` characters at ``start``."""
-        size = int(self.chars[1])
+        size = self.chars[1]
         start = min(max(start, 0), size)
         removed = min(max(removed, 0), size - start)
         low, at = self._leaf(max(start - 1, 0))
         high = max(low, self._leaf(min(start + removed, max(size - 1, 0)))[0])
-        words = [w for leaf in self.leaves[low : high + 1] for w in leaf]
+        words = [w for i in range(low, high + 1) for w in self._words(i)]
         k, begin = self._context(words, at, start)
         while k == 0 and low > 0:
             low -= 1
-            words = self.leaves[low] + words
-            at -= int(self.chars[self.base + low])
+            words = self._words(low) + words
+            at -= self.chars[self.base + low]
             k, begin = self._context(words, at, start)
         shift = len(inserted) - removed
         settled = start + len(inserted) - begin  # what follows is old text
@@ -130,14 +137,14 @@ class CountTree:
             if done == len(new) or done >= settled and done in bounds:
                 break
             high += 1
-            words += self.leaves[high]
+            words += self._words(high)
         self.encoded += sum(map(len, fresh))
         kept, place = [], shift
         for w in words[k:]:
             if place >= done and place >= settled:
                 kept.append(w)
             place += len(w[0])
-        merged = words[:k] + self._counted(fresh) + kept
+        merged = words[:k] + [(w, len(self.encode[w]) // 4) for w in fresh] + kept
         if len(merged) > 4 * LEAF * (high - low + 1):
             self.leaves[low : high + 1] = [merged[i : i + LEAF] for i in range(0, len(merged), LEAF)]
             self._grow()  # sums are laid out anew; words and their counts stay as they are
@@ -150,7 +157,7 @@ class CountTree:
         """Enough of what follows to see whether a word goes on."""
         out = ""
         while leaf < len(self.leaves) and len(out) <= self.look:
-            out += "".join(w for w, _ in self.leaves[leaf])
+            out += "".join(w for w, _ in self._words(leaf))
             leaf += 1
         return out
 
@@ -179,9 +186,9 @@ def build_trees(docs: DataFrame, path: str | None = None, ranks_path: str | None
         for batch in batches:
             lengths, counts = [], []
             for raw in batch.column("text"):
-                cut = encode.cut(raw.as_py() or "", True)
-                lengths.append(np.array([len(w) for w in cut], np.int32))
-                counts.append(np.array([len(encode[w]) // 4 for w in cut], np.int32))
+                cut = encode.cut(raw.as_py() or "")
+                lengths.append(np.fromiter(map(len, cut), np.int32, len(cut)))
+                counts.append(np.fromiter(map(len, map(encode.__getitem__, cut)), np.int32, len(cut)) // 4)
             lists = [pa.array(x, pa.list_(pa.int32())) for x in (lengths, counts)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("text").fill_null(""), *lists, *(batch.column(c) for c in names)], ["doc_id", "text", "lengths", "counts", *names])
 
@@ -209,11 +216,11 @@ def apply_edits(trees: DataFrame, path: str | None = None, ranks_path: str | Non
             for doc, raw, lengths, counts, edits in zip(*(batch.column(c) for c in ("doc_id", "text", "lengths", "counts", "edits")), strict=True):
                 text, steps = raw.as_py(), _steps(edits)
                 special = "<" in text or any("<" in s[2] for s in steps)  # else the special token's string can't come up
-                tree = CountTree(encode, text, lengths.values.to_pylist(), counts.values.to_pylist(), special)
+                tree = CountTree(encode, text, lengths.values.to_numpy(), counts.values.to_numpy(), special)
                 before = tree.total
                 for step in steps:
                     tree.replace(*step)
-                row = [doc.as_py(), len(text), before, int(tree.chars[1]), tree.total, tree.encoded]
+                row = [doc.as_py(), len(text), before, tree.chars[1], tree.total, tree.encoded]
                 if keep:
                     words = tree.words()
                     row += ["".join(w for w, _ in words), [len(w) for w, _ in words], [n for _, n in words]]
