@@ -109,6 +109,7 @@ def test_hilbert_shards(docs, none, tmp_path):
     kept = {r["shard"] for r in hilbert_shards.prune(made, {"dim2": (10, 15)}).collect()}
     assert {r["shard"] for r in rows if r["dim2"] >= 10} <= kept
     made = hilbert_shards.manifest(out, ["dim0", "dim1", "dim2"])
+    made = docs.sparkSession.createDataFrame(made.collect(), made.schema)
     for asked in ({"source": "hot"}, {"lang": "fr"}, {"chars": (100, 600)}, {"source": "s1", "lang": "en", "chars": (0, 50)}):
         kept = {r["shard"] for r in hilbert_shards.prune(made, hilbert_shards.cells_of(docs.sparkSession, **asked)).collect()}
         fits = lambda r, a=asked: all((r["chars"] or 0) >= v[0] and (r["chars"] or 0) <= v[1] if k == "chars" else r[k] == v for k, v in a.items())
