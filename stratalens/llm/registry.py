@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import edit_counts, hilbert_shards, language_id, ngram_join, packing, phrase_index, quality, simhash, suffix_repeats, warc
+from . import edit_counts, hilbert_shards, language_id, ngram_join, packing, phrase_index, piece_codec, quality, simhash, suffix_repeats, warc
 from .oracles import ORACLES  # noqa: F401
 
 QUERIES = {
@@ -15,4 +15,5 @@ QUERIES = {
     "op8_phrase_index": phrase_index.query,
     "op9_zip_warc": warc.query,
     "op10_cutting_stock": packing.query,
+    "op11_piece_backtracking": piece_codec.query,
 }
