@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import edit_counts, hilbert_shards, language_id, merkle, ngram_join, packing, phrase_index, piece_codec, quality, simhash, suffix_repeats, warc
+from . import edit_counts, hilbert_shards, language_id, merkle, ngram_join, packing, phrase_index, piece_codec, quality, simhash, spelling, suffix_repeats, warc
 from .oracles import ORACLES  # noqa: F401
 
 QUERIES = {
@@ -17,4 +17,5 @@ QUERIES = {
     "op10_cutting_stock": packing.query,
     "op11_piece_backtracking": piece_codec.query,
     "op12_merkle_manifest": merkle.query,
+    "op13_spelling_variants": spelling.query,
 }
