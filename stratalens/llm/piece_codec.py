@@ -44,14 +44,16 @@ class Pairs(dict):
 
     def merged(self, text: str) -> list[str]:
         """What merging makes of a short text."""
-        parts, none = list(text), len(self.ranks)
-        while len(parts) > 1:
-            found = [self.ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
-            best = min(found)
-            if best == none:
-                break
-            i = found.index(best)
+        parts, rank, none = list(text), self.ranks.get, len(self.ranks)
+        joint = [rank(a + b, none) for a, b in zip(parts, parts[1:])]
+        while joint and (best := min(joint)) != none:
+            i = joint.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del joint[i]
+            if i:
+                joint[i - 1] = rank(parts[i - 1] + parts[i], none)
+            if i < len(joint):
+                joint[i] = rank(parts[i] + parts[i + 1], none)
         return parts
 
     def __missing__(self, pair: tuple[str, str]) -> bool:
@@ -61,6 +63,18 @@ class Pairs(dict):
         return fits
 
 
+class Shorter(dict):
+    """Piece -> the longest other piece that it begins with; '' for a single character."""
+
+    def __init__(self, pieces: dict[str, bytes]):
+        super().__init__()
+        self.pieces = pieces
+
+    def __missing__(self, piece: str) -> str:
+        self[piece] = found = next((piece[:k] for k in range(len(piece) - 1, 0, -1) if piece[:k] in self.pieces), "")
+        return found
+
+
 class PieceModel(dict):
     """A vocabulary file.  As a mapping: a word of normalised text -> its ids as little-endian unsigned 32-bit bytes."""
 
@@ -71,7 +85,7 @@ class PieceModel(dict):
         super().__init__()
         self.library = lib = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces, size = [], lib.vocab_size()
-        self.controls = {i for i in range(size) if lib.is_control(i)}
+        self.control = np.array([lib.is_control(i) for i in range(size)])
         self.bytes_of, self.byte_ids = [], {}
         for i in range(size):
             text = lib.id_to_piece(i)
@@ -97,9 +111,10 @@ class PieceModel(dict):
         self.packed |= {c: self._raw(c) for c in self.known if c not in self.packed}
         self.starts = ahocorasick.Automaton()
         for p in self.packed:
-            self.starts.add_word(p, len(p) - 1)
+            if len(p) > 1:
+                self.starts.add_word(p, len(p) - 1)
         self.starts.make_automaton()
-        self.shorter: dict[str, str] = {}
+        self.shorter = Shorter(self.packed)
         self.older: dict[str, bytes] = {}  # words of the generation before
         # no piece goes on with a space after something else, or over a line's end: words can be looked at alone
         self.parts = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p, _ in pieces)
@@ -111,43 +126,37 @@ class PieceModel(dict):
     def _raw(self, text: str) -> bytes:
         return np.array([self.byte_ids[b] for b in text.encode()], "<u4").tobytes()
 
-    def _next_shorter(self, piece: str) -> str:
-        """The longest piece that ``piece`` begins with, other than itself; '' for a single character."""
-        found = self.shorter.get(piece)
-        if found is None:
-            found = next((piece[:k] for k in range(len(piece) - 1, 0, -1) if piece[:k] in self.packed), "")
-            self.shorter[piece] = found
-        return found
-
     def lay(self, text: str) -> list[str]:
         """The pieces of a text all of whose characters are known."""
         n = len(text)
-        # matches come by rising ends, so the last one at a start is its longest
+        # matches come by rising ends, so the last one at a start is its longest; a place without one starts a single character
+        until: dict[int, int] | np.ndarray
         if n <= LONG_WORD:
             until = {end - more: end + 1 for end, more in self.starts.iter(text)}
         else:
-            until = np.zeros(n, np.int32)
+            until = np.arange(1, n + 1, dtype=np.int32)
             for end, more in self.starts.iter(text):
                 until[end - more] = end + 1
+        longest = until.get if isinstance(until, dict) else lambda at, _: int(until[at])
         failed = bytearray((n >> 3) + 1)
         out: list[str] = []
-        at, last, fits = 0, "", self.fits
-        piece = text[: until[0]] if n else ""
+        at, last, fits, shorter = 0, "", self.fits, self.shorter
+        piece = text[: longest(0, 1)] if n else ""
         while at < n:
             end = at + len(piece)
             if not failed[end >> 3] >> (end & 7) & 1 and fits[last, piece]:
                 out.append(piece)
                 at, last = end, piece
                 if at < n:
-                    piece = text[at : until[at]]
+                    piece = text[at : longest(at, at + 1)]
                 continue
-            piece = self._next_shorter(piece)
+            piece = shorter[piece]
             while not piece:
                 failed[at >> 3] |= 1 << (at & 7)
                 whole = out.pop()
                 at -= len(whole)
                 last = out[-1] if out else ""
-                piece = self._next_shorter(whole)
+                piece = shorter[whole]
         return out
 
     def _encode(self, word: str) -> bytes:
@@ -177,18 +186,22 @@ class PieceModel(dict):
         packed = b"".join(map(self.__getitem__, self.words.findall(text))) if self.parts else self[text] if text else b""
         return np.frombuffer(packed, "<u4")
 
-    def text(self, ids: list[int]) -> str:
+    def text(self, ids: np.ndarray) -> str:
         """The text of ids: control ids are nothing, the space put before a text goes, bytes that aren't UTF-8 are U+FFFD each."""
-        held = self.bytes_of
-        parts = [held[i] for i in ids]
-        if self.prefixed and (first := next((i for i, p in enumerate(parts) if p), None)) is not None and ids[first] in self.spaced:
+        breaks = np.flatnonzero(self.control[ids])
+        if len(breaks) and breaks[0] == 0:
+            ids, breaks = ids[1:], breaks[1:] - 1
+        if len(breaks) and breaks[-1] == len(ids) - 1:
+            ids, breaks = ids[:-1], breaks[:-1]
+        parts = list(map(self.bytes_of.__getitem__, ids.tolist()))
+        first = next((i for i, p in enumerate(parts) if p), None)
+        if self.prefixed and first is not None and int(ids[first]) in self.spaced:
             parts[first] = parts[first][1:]
-        inner = parts[1:-1]
-        if b"" not in inner:
+        if not len(breaks):
             return b"".join(parts).decode("utf-8", "one-each")
         # bytes on both sides of a control id don't make a character
-        breaks = [-1, *(i for i, p in enumerate(parts) if not p and ids[i] in self.controls), len(parts)]
-        return "".join(b"".join(parts[a + 1 : b]).decode("utf-8", "one-each") for a, b in zip(breaks, breaks[1:]))
+        edges = [-1, *breaks.tolist(), len(parts)]
+        return "".join(b"".join(parts[a + 1 : b]).decode("utf-8", "one-each") for a, b in zip(edges, edges[1:]))
 
 
 @functools.cache
@@ -225,7 +238,7 @@ def decode_pieces(rows: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
-            texts = [m.text(x.as_py() or []) for x in batch.column("ids")]
+            texts = [m.text(np.array(x.as_py() or [], np.int32)) for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     rows = rows.select("doc_id", "ids")
@@ -244,7 +257,7 @@ def digests(rows: DataFrame, path: str) -> DataFrame:
                 ids = np.array(x.as_py() or [], np.int32) if x.values is None else x.values.to_numpy()
                 counts.append(len(ids))
                 packed.append(hashlib.sha256(ids.astype("<u4")).hexdigest())
-                decoded.append(hashlib.sha256(m.text(ids.tolist()).encode()).hexdigest())
+                decoded.append(hashlib.sha256(m.text(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(packed, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = rows.select("doc_id", "ids")
