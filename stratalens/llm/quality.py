@@ -124,15 +124,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def feature_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, label, x) of labelled texts."""
+    """(label, _h, x) of labelled texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in textnum.blocks(batches):
             x = features(data, offsets)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([rows.column("label"), flat], ["label", "x"])
+            yield pa.RecordBatch.from_arrays([rows.column("label"), rows.column("_h"), flat], ["label", "_h", "x"])
 
-    return docs.select("label", "text").mapInArrow(run, "label int, x array<double>")
+    return docs.select("label", "_h", "text").mapInArrow(run, "label int, _h long, x array<double>")
 
 
 def thin_below(rows: DataFrame, most: int) -> int:
@@ -160,7 +160,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> M
     """Fit on labelled rows that are not held out, ``max_rows`` of them at most.
 
     Rows with a null id, label or no matching text are passed over; of several labels
-    of one id the better counts, and each row of a repeated id is a text of its own.
+    of one id the better counts, and each different text of a repeated id is a row of its
+    own, while equal rows count once.  Ids are thinned before texts are joined, and what
+    the join gives, as numbers, once more, so that a repeated id keeps to the bound too.
     Without labelled rows every score is on the good side of the cut.  Columns of other
     names aren't read.
     """
@@ -169,7 +171,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> M
     known = known.select("doc_id", F.col("label").cast("int").alias("label"), F.shiftrightunsigned(F.xxhash64("doc_id"), 4).alias("_h"))
     known = known.filter(F.col("_h") < thin_below(known, max_rows)).drop("_h")
     # at most max_rows pairs of two numbers: small enough to send to every task
-    rows = feature_rows(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")).toArrow()
+    joined = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    joined = joined.withColumn("_h", F.shiftrightunsigned(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), 4))
+    made = common.materialise(feature_rows(joined), "labelled-features")
+    bound = thin_below(made.select("_h").distinct(), max_rows)
+    rows = made.filter(F.col("_h") < bound).dropDuplicates(["_h"]).toArrow().sort_by("_h")
     x = np.array(rows.column("x").to_pylist(), float).reshape(-1, len(NAMES))
     return fit(x, np.array(rows.column("label").to_pylist(), int))
 
