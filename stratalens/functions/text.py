@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,11 +104,53 @@ def snippet(x: Column, keywords, size: int = 550, before: int = 140) -> Column:
     return snippet_of(flat(x), F.lower(flat(x)), keywords, size, before)
 
 
+#: A character reference of a page, whether it means anything or not.
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+#: Code points above which there are no characters, and what stands for one that can't be.
+_LAST, _LOST = 0x10FFFF, "\ufffd"
+
+
+def _numeric() -> dict[int, str]:
+    """What numeric references of control characters mean: the old Windows characters, or nothing."""
+    out = {c: bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(0x80, 0xA0)} | {0: _LOST, 0x0D: "\r"}
+    nothing = [*range(1, 9), 0x0B, *range(0x0E, 0x20), 0x7F, *range(0xFDD0, 0xFDF0), *(p << 16 | e for p in range(17) for e in (0xFFFE, 0xFFFF))]
+    return dict.fromkeys(nothing, "") | out
+
+
+def _map(pairs: dict) -> Column:
+    """A constant map of strings, made from one literal."""
+    return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in pairs.items())), F.lit("\x01"), F.lit("\x02"))
+
+
+def _character(code: Column) -> Column:
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+
+def _meaning(reference: Column) -> Column:
+    """What one reference stands for; itself, if it means nothing."""
+    digits = F.regexp_extract(reference, "^&#[xX]?0*([0-9a-fA-F]*);?$", 1)
+    is_hex = F.rlike(reference, F.lit("^&#[xX]"))
+    code = F.when(digits == "", 0).when(F.length(digits) > 8, _LAST + 1)
+    code = code.when(is_hex, F.conv(digits, 16, 10).cast("long")).otherwise(F.conv(digits, 10, 10).cast("long"))
+    special = _map(_numeric())[code.cast("string")]
+    number = F.when((code > _LAST) | code.between(0xD800, 0xDFFF), _LOST).otherwise(F.coalesce(special, _character(code)))
+    names, whole = _map(html5), F.substring(reference, F.lit(2), F.length(reference))
+    # names that need no semicolon also count at the beginning of others, the longest first
+    open_names = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
+    head = F.regexp_extract(reference, f"^&({'|'.join(open_names)})", 1)
+    named = F.coalesce(names[whole], F.when(head != "", F.concat(names[head], F.substring(whole, F.length(head) + 1, F.length(whole)))), reference)
+    return F.when(F.startswith(reference, F.lit("&#")), number).otherwise(named)
+
+
 def unescape(x: Column) -> Column:
-    """The basic HTML entities, the ampersand last."""
-    for name, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        x = F.replace(x, F.lit(name), F.lit(mark))
-    return x
+    """All HTML character references, numeric and named, in one pass from left to right: what comes out isn't read again.
+
+    The table of names is Python's own copy of the standard's.  A reference without its
+    semicolon counts where the standard lets it.
+    """
+    between, found = F.split(x, _REFERENCE, -1), F.regexp_extract_all(x, F.lit(_REFERENCE), F.lit(0))
+    decoded = F.transform(found, lambda r, i: F.concat(_meaning(r), F.get(between, i + 1)))
+    return F.when(F.contains(x, F.lit("&")), F.concat(F.get(between, F.lit(0)), F.array_join(decoded, ""))).otherwise(x)
 
 
 def escape(x: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Documents, signals and evidence with their sources, and rows appended to the stored tables.
+"""Documents, signals and evidence with their sources.
 
 The ``sources`` table grows slowly, so joins leave it to Spark's size threshold whether
 it is broadcast.  A document without a source row keeps null source columns.
@@ -6,12 +6,12 @@ it is broadcast.  A document without a source row keeps null source columns.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.schemas import SCHEMAS
 from .dedup import top_per
 
+
 def with_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Add ``source_name`` by ``source_id``: a left join."""
     return rows.join(sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name")), "source_id", "left")
@@ -68,21 +68,3 @@ def iso(time: Column) -> Column:
 
 def by_id(rows: DataFrame, value: int, column: str = "id") -> DataFrame:
     return rows.filter(F.col(column) == value)
-
-
-def shaped(spark: SparkSession, rows: DataFrame, table: str) -> DataFrame:
-    """``rows`` with the columns and types of a stored table, missing ones null, and ``created_at`` now.
-
-    Rows without an id get one after the table's largest: each partition counts on
-    from its own start, so ids are unique but may leave gaps.
-    """
-    schema = spark.createDataFrame([], SCHEMAS[table]).schema
-    last = spark.table(table).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if spark.catalog.tableExists(table) else 0
-    made = {"id": F.lit(last + 1) + F.monotonically_increasing_id(), "created_at": F.current_timestamp()}
-    columns = [F.col(f.name) if f.name in rows.columns else made.get(f.name, F.lit(None)) for f in schema]
-    return rows.select(*[c.cast(f.dataType).alias(f.name) for c, f in zip(columns, schema, strict=True)])
-
-
-def append(rows: DataFrame, table: str) -> None:
-    """Append rows (chunks, signals, recommendations, evidence, answers) to a stored table."""
-    shaped(rows.sparkSession, rows, table).write.mode("append").saveAsTable(table)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels, scores
 from ..rules.pack import Pack
+from ..sources.store import Generation
 from .dedup import top_per
 
 #: Signals a recommendation is scored on, those kept as evidence, and the fewest it needs.
@@ -57,6 +58,18 @@ def evidence(signals: DataFrame, pack: Pack) -> DataFrame:
     return out.select("recommendation_id", "rank", "document_id", F.lit(None).cast("long").alias("chunk_id"), strength.cast("double").alias("evidence_strength"))
 
 
+def store(tables: Generation, recs: DataFrame, evidence_rows: DataFrame, batch: str) -> None:
+    """Append recommendations and their evidence under a batch's name; evidence then names its recommendation by the stored id.
+
+    A recommendation's title stands for its text too where there is none.  Run again,
+    it adds nothing; a recommendation that is stored already keeps its id.
+    """
+    titled = recs.withColumn("title", F.col("recommendation"))
+    ids = tables.append("recommendations", titled, batch)
+    numbers = titled.select("recommendation_id", "title").join(ids, "title").select("recommendation_id", "id")
+    tables.append("recommendation_evidence", evidence_rows, batch, {"recommendation_id": numbers})
+
+
 def top_evidence(evidence_rows: DataFrame, n: int = 5) -> DataFrame:
     """The strongest evidence of each recommendation."""
     return top_per(evidence_rows.withColumnRenamed("rank", "signal_rank"), "recommendation_id", n, F.desc("evidence_strength"), "signal_rank")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,18 +25,18 @@ def chunk_count(clean_text: Column, min_chars: int = 40) -> Column:
     return F.when(F.length(clean_text) > 50, F.size(kept)).otherwise(0)
 
 
-def dense_ids(chunks: DataFrame, name: str = "faiss_id") -> DataFrame:
-    """Number chunks gaplessly by (document_id, chunk_index).
+def dense_ids(rows: DataFrame, name: str = "faiss_id", order: Sequence[str] = ("document_id", "chunk_index"), first: int = 0) -> DataFrame:
+    """Number rows gaplessly in an order, from ``first``.
 
-    Chunks are dealt into sorted ranges of about equal size and stored; a row's number
+    Rows are dealt into sorted ranges of about equal size and stored; a row's number
     within its range is in its partition's running id, and only the few ranges' counts
     are summed in one place.
     """
-    ranges = chunks.repartitionByRange("document_id", "chunk_index").sortWithinPartitions("document_id", "chunk_index")
+    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     ranges = stored(ranges.withColumn("_id", F.monotonically_increasing_id()))
     place, within = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
     counts = ranges.groupBy(place.alias("_range")).agg(F.count("*").alias("_n"))
-    starts = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    starts = counts.select("_range", (F.lit(first) + F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_start"))
     numbered = ranges.withColumn("_range", place).join(F.broadcast(starts), "_range")  # a row per partition
     return numbered.withColumn(name, F.col("_start") + within).drop("_range", "_start", "_id")
 
