@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels, scores, text
@@ -94,12 +94,11 @@ class Profile:
 def related_to_unit(recs: DataFrame, unit: Unit, columns: list[str], fallback: int = 3) -> DataFrame:
     """Recommendations that name a keyword or topic of the unit; the first few if none does."""
     hit = text.contains_any(text.blob([F.col(c) for c in columns]), [*unit.keywords, *(t.lower() for t in unit.topics)])
-    marked = recs.withColumn("hit", hit)
-    some = marked.agg(F.coalesce(F.bool_or("hit"), F.lit(False)).alias("some"))
-    ordered = marked.crossJoin(F.broadcast(some)).filter("hit or not some")  # one row
     order = [labels.priority_rank(F.col("priority")), F.desc("confidence_score"), F.col("recommendation_id")]
-    first = ordered.filter("not some").orderBy(*order).limit(fallback)
-    return ordered.filter("some").unionByName(first).drop("hit", "some").orderBy(*order)
+    # recommendations are a pack's few: the windows over all of them read them once
+    every = Window.partitionBy(F.lit(0))
+    marked = recs.withColumn("hit", F.coalesce(hit, F.lit(False))).withColumns({"some": F.max("hit").over(every), "place": F.row_number().over(every.orderBy(*order))})
+    return marked.filter(F.col("hit") | (~F.col("some") & (F.col("place") <= fallback))).drop("hit", "some", "place").orderBy(*order)
 
 
 def profile(pack: Pack, name: str, docs: DataFrame, signals: DataFrame, recs: DataFrame) -> Profile:

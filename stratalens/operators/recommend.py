@@ -97,7 +97,7 @@ def related(recs: DataFrame, topic: str | None, question: str, limit: int = 6) -
     for word in question.lower().split():
         if len(word) >= 5:
             score = score + F.contains(low, F.lit(word)).cast("int")
-    ranked = recs.withColumn("match", score)
-    best = ranked.agg(F.max("match").alias("best"))
-    ranked = ranked.crossJoin(F.broadcast(best)).filter((F.col("match") > 0) | (F.col("best") == 0)).drop("best")  # one row
+    # recommendations are a pack's few: the window over all of them reads them once
+    ranked = recs.withColumn("match", score).withColumn("best", F.max("match").over(Window.partitionBy(F.lit(0))))
+    ranked = ranked.filter((F.col("match") > 0) | (F.col("best") == 0)).drop("best")
     return ranked.orderBy(F.desc("match"), F.desc("confidence_score"), labels.priority_rank(F.col("priority")), "recommendation_id").limit(limit)

@@ -266,7 +266,8 @@ ORACLES |= {
     "retrieval_hits": f"""WITH {CHUNKS}, {_numbered}, v AS (SELECT * FROM ({SCORED}) ORDER BY score DESC, vec_id LIMIT 40)
         SELECT vec_id, document_id, chunk_index::INT AS chunk_index, topic, source_type, round(score, 5) AS score FROM v JOIN numbered USING (vec_id) JOIN docs d ON d.id = document_id
         WHERE topic = 'English' ORDER BY v.score DESC, vec_id LIMIT 8""",
-    "retrieval_without_index": "SELECT vec_id, vec_id AS document_id, 0.5::DOUBLE AS score FROM embeddings WHERE false",
+    "retrieval_stored_index": f"""WITH {CHUNKS}, {_numbered}, v AS (SELECT * FROM ({SCORED}) ORDER BY score DESC, vec_id LIMIT 25)
+        SELECT vec_id, document_id, chunk_index::INT AS chunk_index, round(score, 5) AS score FROM v JOIN numbered USING (vec_id) ORDER BY v.score DESC, vec_id LIMIT 5""",
     "retrieval_probes": f"WITH {CHUNKS}, {_numbered} " + " UNION ALL ".join(
         f"""SELECT {i}::INT AS probe, count(*) AS results, coalesce(round(avg(score), 3), 0) AS mean_score,
         array_to_string(list_filter({array(sorted(terms))}, lambda t: contains(coalesce(string_agg(lower(chunk_text), ' '), ''), t)), ', ') AS matched,
@@ -291,5 +292,3 @@ ORACLES["dedup_url_or_hash"] = f"""WITH RECURSIVE {DOCS}, r AS MATERIALIZED (SEL
     s AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS urls, []::VARCHAR[] AS hashes, false AS ok
       UNION ALL SELECT r.i, CASE WHEN {_free} THEN list_append(s.urls, r.url) ELSE s.urls END, CASE WHEN {_free} THEN list_append(s.hashes, r.content_hash) ELSE s.hashes END, {_free} FROM s JOIN r ON r.i = s.i + 1)
     SELECT seq, url, content_hash FROM r JOIN s USING (i) WHERE ok"""
-# An older name of the same query.
-ORACLES["page_links_full"] = ORACLES["page_links"]

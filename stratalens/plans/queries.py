@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels, scores, text
 from ..operators import audit, corpus, dedup, monitors, recommend, router, search, signals
 from ..rules import SAMPLE as PACK
-from ..session import read_table, stored
+from ..session import read_table, shared_folder, stored
 from ..sources import feeds, pages
 
 AS_OF = "2024-02-15 00:00:00"
@@ -385,9 +387,13 @@ def q_retrieval(spark, d):
     return out.select("vec_id", "document_id", "chunk_index", "topic", "source_type", F.round("score", 5).alias("score"))
 
 
-def q_no_index(spark, d):
-    _, chunks, docs = _memory(spark, d)
-    return search.retrieve(search.load_vectors(spark, f"{d}/no such table.parquet"), chunks, docs, [0.0] * 64).select("vec_id", "document_id", "score")
+def q_stored_index(spark, d):
+    """Vectors kept as a table of their own, looked up where they are there."""
+    path = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    vectors, chunks, docs = _memory(spark, d)
+    vectors.write.parquet(path)
+    out = search.retrieve(search.load_vectors(spark, path), chunks, docs, _query_vector(spark, d), 5)
+    return out.select("vec_id", "document_id", "chunk_index", F.round("score", 5).alias("score"))
 
 
 def q_probes(spark, d):
@@ -481,7 +487,6 @@ QUERIES = {
     "recency_bands": q_recency,
     "page_title_paragraphs": q_pages,
     "page_links": q_links,
-    "page_links_full": q_links,
     "trust_by_name": q_trust,
     "snippet_short": q_short,
     "recent_feed": q_feed,
@@ -496,7 +501,7 @@ QUERIES = {
     "latest_update": q_latest,
     "document_lookup": q_lookup,
     "retrieval_hits": q_retrieval,
-    "retrieval_without_index": q_no_index,
+    "retrieval_stored_index": q_stored_index,
     "retrieval_probes": q_probes,
     "qa_log": q_qa_log,
     "qa_recent": q_qa_recent,

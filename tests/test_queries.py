@@ -6,8 +6,7 @@ import os
 import duckdb
 import pytest
 
-from stratalens.plans.oracles import ORACLES
-from stratalens.plans.queries import QUERIES
+from stratalens.plans.registry import ORACLES, QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
