@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from stratalens.operators import audit, dedup, monitors, recommend, router, search, signals
 from stratalens.rules import DOMAIN
 from stratalens.sources import feeds, pages, schemas
-from stratalens.streaming import ingest
 
 AS_OF = "2026-06-23 00:59:00"
 DOCS = "id long, title string, clean_text string, topic string, trust_score double, source_type string, source_name string, published timestamp"
@@ -155,16 +154,3 @@ def test_dense_ids(spark):
     got = signals.dense_ids(spark.createDataFrame(rows, "document_id long, chunk_index int")).orderBy("document_id", "chunk_index").collect()
     assert [r["faiss_id"] for r in got] == list(range(600))
     assert signals.dense_ids(spark.createDataFrame([], "document_id long, chunk_index int")).count() == 0
-
-
-def test_streaming_ingest(spark, tmp_path):
-    landed, store, point = (str(tmp_path / x) for x in ("landed", "store", "point"))
-    rows = [(1, "u1", "same text", "2024-01-01 00:00:00"), (2, "u2", "same  text", "2024-01-01 00:00:00"), (3, "u1", "other", "2024-01-01 00:00:00")]
-    frame = lambda x: spark.createDataFrame(x, "seq long, url string, text string, collected_at string").withColumn("collected_at", F.to_timestamp("collected_at"))
-    frame(rows).write.parquet(landed)
-    ingest.ingest(spark, landed, store, point).awaitTermination()
-    assert [r["seq"] for r in spark.read.parquet(store).collect()] == [1]  # of equal texts or urls the first
-    frame([(4, "u9", "new text", "2024-01-02 00:00:00"), (5, "u1", "yet another", "2024-01-02 00:00:00")]).write.mode("append").parquet(landed)
-    ingest.ingest(spark, landed, store, point).awaitTermination()
-    both = spark.read.parquet(store).collect()
-    assert sorted(r["seq"] for r in both) == [1, 4]
