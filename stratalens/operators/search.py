@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .dedup import top_per
+from .signals import dense_ids
 
 
 def inner_product(vector: Column, query: Sequence[float]) -> Column:
@@ -83,6 +89,61 @@ def probe(vectors: DataFrame, chunks: DataFrame, docs: DataFrame, probes: Sequen
     )
 
 
+#: Queries of one scan: their matrix, and as many heaps of k, are what a task holds beside a batch of vectors.
+QUERY_BLOCK = 4096
+
+
+def search_many(vectors: DataFrame, queries: DataFrame, k: int = 8, key: str = "vec_id", block: int = QUERY_BLOCK) -> DataFrame:
+    """The ``k`` nearest vectors by inner product for each query (query_id, embedding): (query_id, rank, key, score), ties by key.
+
+    Queries go in blocks, each a matrix that is sent to the tasks: a batch of vectors times
+    a block is one product, of which a task keeps k for each query, so a block takes one
+    scan and shuffles k rows of each query and task.  Vectors or queries of another
+    length than most queries, or with a null, are near nothing; without queries or vectors there are
+    no rows.  Query ids are unique.
+    """
+    spark = vectors.sparkSession
+    usable = lambda c, n: (F.size(c) == n) & ~F.exists(c, lambda x: x.isNull())
+    sizes = queries.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    empty = spark.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, rank int, `{key}` {vectors.schema[key].dataType.simpleString()}, score double")
+    if sizes is None or sizes["n"] is None or sizes["n"] < 1:
+        return empty
+    size = sizes["n"]
+    numbered = stored(dense_ids(queries.filter(usable("embedding", size)).select("query_id", "embedding"), "_n", ["query_id"]))
+    rows, out = vectors.filter(usable("embedding", size)).select(F.col(key).alias("_key"), "embedding"), []
+    for start in range(0, numbered.count(), block):
+        part = numbered.filter(F.col("_n").between(start, start + block - 1)).orderBy("_n").toArrow()  # one block
+        asked = np.array(part.column("embedding").combine_chunks().flatten(), np.float64).reshape(-1, size)
+        found = rows.mapInArrow(_scan(spark.sparkContext.broadcast(asked), k), f"_q int, _key {vectors.schema[key].dataType.simpleString()}, score double")
+        best = top_per(found, "_q", k, F.desc("score"), "_key")
+        named = numbered.filter(F.col("_n").between(start, start + block - 1)).select((F.col("_n") - start).cast("int").alias("_q"), "query_id")
+        out.append(best.join(named, "_q").select("query_id", "rank", F.col("_key").alias(key), "score"))
+    return functools.reduce(DataFrame.unionByName, out) if out else empty
+
+
+def _scan(asked: Broadcast, k: int):
+    """What a task does with its vectors: the best k of each query so far are kept from batch to batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = asked.value
+        held = None  # (keys, scores), k columns for each query
+        for batch in batches:
+            keys = batch.column("_key").to_numpy(zero_copy_only=False)
+            x = np.asarray(batch.column("embedding").flatten(), np.float64).reshape(len(keys), -1)
+            for at in range(0, len(keys), 1024):
+                # einsum, as a threaded BLAS can stall beside a JVM
+                scores, own = np.einsum("qd,nd->qn", q, x[at : at + 1024]), np.broadcast_to(keys[at : at + 1024], (len(q), len(keys[at : at + 1024])))
+                if held is not None:
+                    own, scores = np.concatenate((held[0], own), axis=1), np.concatenate((held[1], scores), axis=1)
+                order = np.lexsort((own, -scores), axis=1)[:, :k]
+                held = np.take_along_axis(own, order, 1), np.take_along_axis(scores, order, 1)
+        if held is not None:
+            number = np.repeat(np.arange(len(q), dtype=np.int32), held[0].shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(held[0].ravel()), pa.array(held[1].ravel())], ["_q", "_key", "score"])
+
+    return run
+
+
 def encode(text: Column, encoder, returns: str = "array<float>") -> Column:
     """Vectors from a pluggable encoder: a function of a list of texts that gives a list of vectors."""
     @F.pandas_udf(returns)

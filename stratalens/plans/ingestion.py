@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels, scores, text
-from ..operators import dedup, monitors, recommend, router
+from ..operators import browse, dedup, monitors, recommend, router, search, summaries
 from ..rules import SAMPLE as PACK
 from ..session import shared_folder, stored
-from ..sources import feeds
+from ..sources import archives, feeds
 from ..sources.store import Store
-from .queries import TOKENS, found_signals, qa_log, table
-from .queries import documents as corpus_documents
+from .queries import AS_OF, TOKENS, found_signals, qa_log, table
 from .queries import _as_double as as_double
+from .queries import _gappy as gappy
+from .queries import _recs as recommendation_rows
+from .queries import documents as corpus_documents
 
 HREF = r'(?i)href="([^"]*)"'
 
@@ -164,7 +167,54 @@ def q_unit_profile(spark, d):
     return out
 
 
+def q_page_archives(spark, d):
+    """All pages through archives and back."""
+    path = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
+    archives.write(table(spark, d, "pages"), path)
+    return archives.read(spark, path).select("page_id", "url", F.sha2("html", 256).alias("html_sha"))
+
+
+def q_vector_topk_many(spark, d):
+    """The eight nearest of all vectors for every vector whose id 20 divides."""
+    vectors = table(spark, d, "embeddings")
+    asked = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return search.search_many(vectors, asked, 8).select("query_id", "rank", "vec_id", F.round("score", 5).alias("score"))
+
+
+def q_indexed_browser(spark, d):
+    """Keywords found by the trigram index: a common one, one of a topic, a rare one, and one that is too short for the index."""
+    path = browse.new_path(shared_folder(spark))
+    browse.build(corpus_documents(spark, d), path)
+    out = None
+    for i, (keyword, topic) in enumerate((("License", None), ("tionen", "German"), ("XQZ", None), ("@", "Contact"), ("therre", None))):
+        part = browse.search(spark, path, keyword, topic, 40).select(F.lit(i).alias("search"), "id", "topic")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def q_kept_summaries(spark, d):
+    """Summaries after three batches of the corpus, each added once: (section, label, documents, mean, others)."""
+    docs = stored(gappy(corpus_documents(spark, d)))
+    path = f"{shared_folder(spark)}/summaries-{uuid.uuid4().hex}"
+    for n in range(3):
+        summaries.update(path, docs.filter(F.col("id") % 3 == n), PACK, AS_OF, n)
+    row = lambda section, label, documents, mean, others: [F.lit(section).alias("section"), label.alias("label"), documents.cast("long").alias("documents"), mean.cast("double").alias("mean"), others.cast("long").alias("others")]
+    gaps = summaries.data_gaps(spark, path)
+    card = summaries.quality_scorecard(spark, path, PACK, recommendation_rows(spark))
+    parts = [
+        summaries.source_type_summary(spark, path).select(*row("type", F.col("source_type"), F.col("documents"), F.col("avg_trust"), F.col("sources"))),
+        summaries.topic_coverage(spark, path).select(*row("topic", F.concat_ws(": ", "topic", "source_types"), F.col("documents"), F.col("avg_confidence"), F.col("signals"))),
+        gaps.select(F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).alias("v")) for c in gaps.columns])).alias("g")).select(*row("gaps", F.col("g.k"), F.col("g.v"), F.lit(None), F.lit(None))),
+        card.select(*row("score", F.lit("quality"), F.col("documents"), F.col("quality_score"), F.col("chunks"))),
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 QUERIES = {
+    "kept_summaries": q_kept_summaries,
+    "page_archives": q_page_archives,
+    "vector_topk_many": q_vector_topk_many,
+    "indexed_browser": q_indexed_browser,
     "feed_items": q_feed_items,
     "feed_news": q_feed_news,
     "official_crawl": q_crawl,

@@ -40,7 +40,34 @@ THOUGHT = "'<Think>first' || chr(10) || '\"a\" & <b></think>  ' || text || chr(1
 STRIPPED = "regexp_replace(regexp_replace({0}, '(?is)<think>.*?</think>', '', 'g'), '^\\s+|\\s+$', '', 'g')"
 FLAT = "replace(replace(replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;'), chr(10), '<br>'), '**', '')"
 
+SEARCHES = " UNION ALL ".join(
+    f"(SELECT {i}::INT AS search, id, topic FROM docs WHERE contains(lower(clean_text), '{k}') {t} ORDER BY id LIMIT 40)"
+    for i, (k, t) in enumerate((("license", ""), ("tionen", "AND topic = 'German'"), ("xqz", ""), ("@", "AND topic = 'Contact'"), ("therre", "")))
+)
+
+# The corpus with its gaps, in place of the whole one.
+GAPPY = f"""gappy AS (SELECT * REPLACE (CASE WHEN id % 7 = 0 THEN NULL WHEN id % 11 = 0 THEN '' ELSE url END AS url, CASE WHEN id % 13 = 0 THEN NULL ELSE topic END AS topic),
+  CASE WHEN id % 17 = 0 THEN NULL ELSE {content_hash('clean_text')} END AS content_hash FROM docs)"""
+GAPPY_RECS = RECS.replace("FROM docs WHERE length(clean_text) > 40", "FROM (SELECT * REPLACE (coalesce(topic, 'General') AS topic) FROM gappy) WHERE length(clean_text) > 40").replace("\nlow AS", f"\n{GAPPY},\nlow AS")
+WINDOWS = f"SELECT length(trim(substr(c, 1 + 1550 * i, 1800))) AS n FROM (SELECT c, unnest(range(0, 1 + greatest(0, ceil((length(c) - 1800) / 1550.0))::INT)) AS i FROM (SELECT {clean('clean_text')} AS c FROM docs WHERE length(clean_text) > 50) WHERE length(c) > 0)"
+
 ORACLES = {
+    "kept_summaries": f"""WITH {GAPPY_RECS},
+        f AS (SELECT (SELECT count(*) FROM gappy) AS documents, (SELECT count(DISTINCT source_name) FROM gappy) AS sources, (SELECT count(*) FROM ({WINDOWS}) WHERE n >= 40) AS chunks, (SELECT count(*) FROM signals) AS signals,
+          (SELECT count(*) FROM evidence) / 3.0 AS per_rec, (SELECT avg(coalesce(trust_score, 0.5::DECIMAL(9,4))) FROM gappy) AS trust, (SELECT count(DISTINCT coalesce(topic, 'Unknown')) FROM gappy) AS topics),
+        t AS (SELECT topic, string_agg(DISTINCT source_type, ', ' ORDER BY source_type) AS types, count(*) AS documents FROM gappy WHERE topic IS NOT NULL GROUP BY 1),
+        u AS (SELECT topic, count(*) AS n, round(avg(confidence_score::DOUBLE), 6) AS mean FROM signals GROUP BY 1),
+        g AS (SELECT count(*) FILTER (url IS NULL) + count(*) FILTER (coalesce(url, '') = '') AS without_url, count(*) FILTER (topic IS NULL) + count(*) FILTER (coalesce(topic, '') = '') AS without_topic,
+          count(*) FILTER (length(clean_text) < 250) AS short_text, count(*) FILTER (trust_score IS NULL) AS without_trust, count(*) - count(DISTINCT coalesce(content_hash, '')) AS duplicates FROM gappy)
+        SELECT 'type' AS section, source_type AS label, count(*) AS documents, round(avg(trust_score::DOUBLE), 6) AS mean, count(DISTINCT source_name) AS others FROM gappy GROUP BY ALL
+        UNION ALL SELECT 'topic', t.topic || ': ' || types, documents, coalesce(mean, 0), coalesce(n, 0) FROM t LEFT JOIN u USING (topic)
+        UNION ALL SELECT 'gaps', k, v, NULL, NULL FROM (SELECT unnest(['without_url', 'without_topic', 'short_text', 'without_trust', 'duplicates']) AS k, unnest([without_url, without_topic, short_text, without_trust, duplicates]) AS v FROM g)
+        UNION ALL SELECT 'score', 'quality', documents, round((0.18 * least(sources / 25.0, 1.0) + 0.18 * least(documents / 100.0, 1.0) + 0.14 * least(chunks::DOUBLE / documents, 1.0) + 0.16 * least(signals::DOUBLE / documents, 1.0)
+          + 0.18 * least(per_rec / 5, 1.0) + 0.08 * least(trust, 1.0) + 0.08 * least(topics / 8.0, 1.0))::DECIMAL(18,9), 3)::DOUBLE, chunks FROM f""",
+    "page_archives": "SELECT page_id, url, sha256(html) AS html_sha FROM pages",
+    "vector_topk_many": """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)
+        SELECT query_id, rank::INT AS rank, vec_id, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 8""",
+    "indexed_browser": f"WITH {DOCS} {SEARCHES}",
     "feed_items": f"""WITH RECURSIVE {ENTRIES}, a AS (SELECT * REPLACE ({TITLE} AS title) FROM {FIRST.format('entries')}),
         b AS (SELECT *, {content_hash(f"concat_ws(' ', title, url, {SUMMARY})")} AS content_hash FROM a WHERE length(title) >= 5), {admitted('b')}
         SELECT seq, title, 'news' AS source_type, {TOPIC.format(f"lower(concat_ws(' ', title, {SUMMARY}, query))")} AS topic,
