@@ -2,10 +2,11 @@
 
 The index is a stored table of shards of whole documents: the sorted terms of a
 shard, and for each the positions of its occurrences.  A phrase is found by
-taking the postings of its rarest term (over the whole corpus), shifted by the
+taking the postings of the term that is rarest in the shard, shifted by the
 term's place in the phrase, and keeping those that the next rarest terms'
-postings confirm.  Test items come in blocks of bounded size, each sent to all
-shards, so neither postings nor pairs are ever shuffled.
+postings confirm.  Tasks cut test items into phrases and store them in blocks of
+bounded size; each block is sent to all shards, so neither postings nor pairs are
+ever shuffled.
 """
 
 from __future__ import annotations
@@ -65,11 +66,10 @@ def build_index(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Windows:
-    """Phrases of one block: term numbers (into ``vocabulary``) and places, rarest first; -1 fills short ones up."""
+    """Phrases of one block: term numbers (into ``vocabulary``), -1 to fill short ones up, their lengths and items."""
 
     vocabulary: np.ndarray
     terms: np.ndarray
-    places: np.ndarray
     lengths: np.ndarray
     items: np.ndarray
 
@@ -93,15 +93,8 @@ def windows_of(items: list[tuple[int, np.ndarray]], width: int) -> Windows:
     length = np.array(lengths, np.int64)
     inside = np.arange(width) < length[:, None]
     vocabulary = np.unique(table[inside])
-    terms = np.where(inside, np.searchsorted(vocabulary, table), -1)
-    return Windows(vocabulary, terms, np.tile(np.arange(width), (len(length), 1)), length, np.array(owners, np.int64))
-
-
-def by_rarity(w: Windows, frequency: np.ndarray) -> Windows:
-    """The same phrases with each one's terms in ascending corpus frequency."""
-    weight = np.where(w.terms >= 0, np.append(frequency, 0)[w.terms], np.iinfo(np.int64).max)
-    order = np.argsort(weight, axis=1, kind="stable")
-    return Windows(w.vocabulary, np.take_along_axis(w.terms, order, 1), np.take_along_axis(w.places, order, 1), w.lengths, w.items)
+    terms = np.where(inside, np.searchsorted(vocabulary, table), -1).astype(np.int32)
+    return Windows(vocabulary, terms, length, np.array(owners, np.int64))
 
 
 class Shard:
@@ -142,14 +135,21 @@ class Shard:
         local = self.local(w.vocabulary)
         terms = np.where(w.terms >= 0, local[w.terms], 0)
         able = np.flatnonzero((terms >= 0).all(axis=1)) if len(terms) else np.zeros(0, int)
-        owner, position = self.occurrences(terms[able, 0]) if len(able) else (np.zeros(0, int), np.zeros(0, int))
-        which = able[owner] if len(able) else owner
-        start = position - w.places[which, 0]
-        for k in range(1, w.terms.shape[1]):
+        if not len(able):
+            return able, able
+        terms, used = terms[able], w.terms[able] >= 0
+        # each phrase's terms from the rarest here; what fills short ones up comes last
+        weight = np.where(used, self.heads[terms + 1] - self.heads[terms], np.iinfo(np.int64).max)
+        places = np.argsort(weight, axis=1, kind="stable")
+        terms, used = np.take_along_axis(terms, places, 1), np.take_along_axis(used, places, 1)
+        which, position = self.occurrences(terms[:, 0])
+        start = position - places[which, 0]
+        for k in range(1, terms.shape[1]):
             if not len(which):
                 break
-            keep = (w.terms[which, k] < 0) | self.stands(terms[which, k], start + w.places[which, k])
+            keep = ~used[which, k] | self.stands(terms[which, k], start + places[which, k])
             which, start = which[keep], start[keep]
+        which = able[which]
         whole = (start >= 0) & (self.doc(start) == self.doc(start + w.lengths[which] - 1)) if len(which) else np.zeros(0, bool)
         return which[whole], start[whole]
 
@@ -191,33 +191,57 @@ def frequencies(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     return out
 
 
-def item_blocks(items: DataFrame, block_words: int, width: int) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """Items with some words, in blocks of ``block_words`` words or little more; a long item's parts overlap by all but one word of a window."""
-    block: list[tuple[int, np.ndarray]] = []
-    size, step = 0, max(1, block_words)
-    for r in items.select("item_id", "text").filter("item_id is not null").toLocalIterator():
-        words = item_words(r["text"])
-        for at in range(0, max(len(words) - width + 1, min(len(words), 1)), step):
-            part = words[at : at + step + width - 1]
-            if block and size + len(part) > block_words:
-                yield block
-                block, size = [], 0
-            block.append((r["item_id"], part))
-            size += len(part)
-    if block:
-        yield block
+BLOCKS = "vocabulary binary, terms binary, lengths binary, items binary"
+
+
+def item_blocks(items: DataFrame, block_words: int, width: int) -> DataFrame:
+    """Phrases of items with some words in stored blocks of ``block_words`` words or little more.
+
+    Tasks make them; a long item's parts overlap by all but one word of a window.
+    Items without an id are left out.
+    """
+    kept = items.select("item_id", "text").filter("item_id is not null")
+    size = kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    step = max(1, block_words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: list[tuple[int, np.ndarray]] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            w = windows_of(block, width)
+            block.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (w.vocabulary, w.terms, w.lengths, w.items)], ["vocabulary", "terms", "lengths", "items"])
+
+        for batch in batches:
+            for item, text in zip(batch.column("item_id"), batch.column("text"), strict=True):
+                words = item_words(text.as_py())
+                for at in range(0, max(len(words) - width + 1, min(len(words), 1)), step):
+                    part = words[at : at + step + width - 1]
+                    if block and held + len(part) > block_words:
+                        yield flush()
+                        held = 0
+                    block.append((item.as_py(), part))
+                    held += len(part)
+        if block:
+            yield flush()
+
+    # about as many tasks as blocks, at six bytes a word
+    return common.materialise(kept.repartition(max(1, min(size // (6 * step), 10_000))).mapInArrow(run, BLOCKS), "phrase-blocks")
 
 
 def find_phrases(index: DataFrame, items: DataFrame, width: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Runs of document words (``first`` to ``past`` in the shard's numbering) that windows of an item cover.
 
-    Test items are a stated set of queries: they pass through the driver in blocks of
-    bounded size, and each block is broadcast.  Items without an id are left out.
+    Test items are a stated set of queries: their blocks are stored, and one after the
+    other is broadcast, at most ``block_words`` words with their windows; a block takes one
+    scan of the index.  Items without an id are left out.
     """
-    found = None
-    for block in item_blocks(items, block_words, width):
-        windows = windows_of(block, width)
-        sent = index.sparkSession.sparkContext.broadcast(by_rarity(windows, frequencies(index, windows.vocabulary)))
+    found, spark = None, index.sparkSession
+    for r in item_blocks(items, block_words, width).toLocalIterator():
+        terms = np.frombuffer(r["terms"], np.int32).reshape(-1, width)
+        vocabulary, lengths, owners = (np.frombuffer(r[c], np.int64) for c in ("vocabulary", "lengths", "items"))
+        sent = spark.sparkContext.broadcast(Windows(vocabulary, terms, lengths, owners))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             windows = sent.value
