@@ -1,10 +1,12 @@
 """Language of web pages from fused evidence.
 
 Each page has the likelihood of its text under byte-trigram models, a declared
-markup language and an address suffix; its host gives a prior.  Host priors are
-smoothed towards their domain's, those towards their suffix's and those towards
-the whole corpus's, all counted by grouped aggregation.  Everything is combined
-as a sum of logarithms and normalised.
+markup language and an address suffix; its host gives a prior.  How likely a
+declaration or a suffix is under each language is counted over all pages, by what their
+texts say, without the page itself.  Host priors are smoothed towards their domain's, those
+towards their suffix's and those towards the whole corpus's.  All counts are grouped
+aggregations of (label, language, share) rows.  Everything is combined as a sum of
+logarithms and normalised.
 """
 
 from __future__ import annotations
@@ -26,11 +28,6 @@ BINS = 1 << 14
 EFFECTIVE = 40.0
 #: Pseudo-counts with which a level's shares are drawn to the level above.
 STRENGTH = 10.0
-#: How often a declaration, or a country suffix, names the page's language.
-DECLARED_RIGHT, SUFFIX_RIGHT = 0.9, 0.7
-
-# Country suffixes and the main language of each.
-SUFFIX_LANGUAGE = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "uk": "en", "us": "en", "au": "en"}
 
 
 def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,8 +47,8 @@ def fit(texts: DataFrame, max_texts: int = MAX_TEXTS) -> tuple[list[str], np.nda
 
     Every label counts.  The distinct texts of a language are thinned by their hash
     so that ``max_texts`` or a few more are left, each once however often it occurs.
-    Bins are counted by grouped aggregation; the number of labels times bins comes to
-    the driver.  Without any label there is one language, ``und``.
+    Bins are counted by grouped aggregation as (language, bin, n) rows; labels times bins
+    numbers come to the driver.  Without any label there is one language, ``und``.
     """
     texts = texts.filter("lang is not null").withColumn("_h", F.xxhash64("text"))
     sizes = texts.groupBy("lang").agg(F.count_distinct("_h").alias("count")).collect()
@@ -59,9 +56,8 @@ def fit(texts: DataFrame, max_texts: int = MAX_TEXTS) -> tuple[list[str], np.nda
     if not langs:
         return ["und"], np.full((1, BINS), -np.log(BINS))
     number = {x: i for i, x in enumerate(langs)}
-    share = {r["lang"]: max_texts / r["count"] for r in sizes}
-    keep = F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, v)])
-    thinned = texts.filter(F.pmod("_h", F.lit(1 << 20)) < keep[F.col("lang")] * (1 << 20))
+    share = texts.sparkSession.createDataFrame([(r["lang"], max_texts / r["count"]) for r in sizes], "lang string, share double")
+    thinned = texts.join(F.broadcast(share), "lang").filter(F.pmod("_h", F.lit(1 << 20)) < F.col("share") * (1 << 20))  # a row for each language
     thinned = thinned.groupBy("lang", "_h").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,13 +80,14 @@ def text_likelihoods(pages: DataFrame, model: np.ndarray) -> DataFrame:
     """Add ``loglik``: for each language, the text's mean log-likelihood times its effective length."""
     schema = pages.drop("text").schema.add("loglik", T.ArrayType(T.DoubleType()))
     names = [f.name for f in schema][:-1]
+    sent = pages.sparkSession.sparkContext.broadcast(model)  # languages times bins
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in textnum.blocks(batches):
             bins, row = trigrams(data, offsets)
             n = np.bincount(row, minlength=rows.num_rows)
             weight = np.minimum(n, EFFECTIVE) / np.maximum(n, 1)
-            total = np.stack([np.bincount(row, weights=m[bins], minlength=rows.num_rows) * weight for m in model], axis=1)
+            total = np.stack([np.bincount(row, weights=m[bins], minlength=rows.num_rows) * weight for m in sent.value], axis=1)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, total.size + 1, total.shape[1]), pa.int32()), pa.array(total.ravel()))
             yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), lists], [*names, "loglik"])
 
@@ -131,15 +128,41 @@ def _shares(weights: Column) -> Column:
     return F.transform(weights, lambda x: x / total)
 
 
-def _naming(label: Column, langs: list[str], right: float) -> Column:
-    """Log-probability of a label under each language; an absent or unknown label says nothing."""
-    wrong = (1 - right) / max(1, len(langs) - 1)
-    rows = [F.log(F.when(label.isin(langs), F.when(label == x, right).otherwise(wrong)).otherwise(1.0)) for x in langs]
-    return F.array(*rows)
+def _constant(values: np.ndarray) -> Column:
+    """An array of numbers as one literal."""
+    return F.split(F.lit(" ".join(map(repr, map(float, values)))), " ").cast("array<double>")
+
+
+def _sums(rows: DataFrame, keys: list[str], column: str = "soft") -> DataFrame:
+    """(keys, s): arrays summed place by place, as rows of (keys, place, number)."""
+    each = rows.select(*keys, F.posexplode(column).alias("_i", "_x")).groupBy(*keys, "_i").agg(F.sum("_x").alias("_x"))
+    held = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda r: r["_x"])
+    return each.groupBy(*keys).agg(held.alias("s"))
+
 
+def _whole(sums: DataFrame, n: int) -> np.ndarray:
+    """The sum of all arrays: one number for each language."""
+    first = _sums(sums, [], "s").first()
+    return np.zeros(n) if first is None or not first["s"] else np.array(first["s"])
 
-def _sums(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.array(*[F.sum(F.get("soft", F.lit(i))) for i in range(n)]).alias("s"))
+
+def with_naming(rows: DataFrame, label: str, out: str, n: int) -> DataFrame:
+    """Add ``out``: the log-probability of each row's ``label`` under each language, by what other rows' texts say.
+
+    Counts are drawn to the label's share of the corpus, so that a rare label says little; an
+    absent one says nothing.
+    """
+    counts = common.materialise(_sums(rows.filter(F.col(label) != ""), [label], "said"), "label-counts")
+    whole = _whole(counts, n)
+    total = float(whole.sum()) or 1.0
+    sums = F.aggregate("s", F.lit(0.0), lambda a, x: a + x)
+    table = counts.select(F.col(label), F.col("s").alias("_s"), (sums / total).alias("_q"))
+    own = F.zip_with("_s", "said", lambda c, x: F.greatest(c - x, F.lit(0.0)) + STRENGTH * F.col("_q"))
+    left = F.zip_with(_constant(whole), "said", lambda c, x: F.greatest(c - x, F.lit(0.0)) + STRENGTH)
+    # the table has a row for each label: it is broadcast where Spark finds it small
+    joined = rows.join(table, label, "left")
+    told = F.zip_with(own, left, lambda a, b: F.log(a / b))
+    return joined.withColumn(out, F.coalesce(told, F.transform("said", lambda _: F.lit(0.0)))).drop("_s", "_q")
 
 
 def host_priors(rows: DataFrame, n: int) -> DataFrame:
@@ -154,14 +177,11 @@ def host_priors(rows: DataFrame, n: int) -> DataFrame:
         total = F.aggregate(F.col(own), F.lit(0.0), lambda a, x: a + x)
         return F.zip_with(own, above, lambda x, p: (x + STRENGTH * p) / (total + STRENGTH))
 
-    def level(below: DataFrame, keys: list[str]) -> DataFrame:
-        return _sums(below.withColumnRenamed("s", "soft"), keys, n)
-
-    hosts = common.materialise(_sums(rows, ["host", "domain", "suffix"], n), "host-counts")
-    domains = level(hosts, ["domain", "suffix"])
-    suffixes = level(domains, ["suffix"])
-    whole = np.array([x or 0.0 for x in level(suffixes, []).first()["s"]]) + 1.0  # one number for each language
-    suffixes = suffixes.withColumn("top", F.array(*[F.lit(float(x)) for x in whole / whole.sum()]))
+    hosts = common.materialise(_sums(rows, ["host", "domain", "suffix"]), "host-counts")
+    domains = common.materialise(_sums(hosts, ["domain", "suffix"], "s"), "domain-counts")
+    suffixes = _sums(domains, ["suffix"], "s")
+    whole = _whole(domains, n) + 1.0
+    suffixes = suffixes.withColumn("top", _constant(whole / whole.sum()))
     suffixes = suffixes.select("suffix", drawn("s", "top").alias("p_suffix"))
     domains = domains.join(suffixes, "suffix").select("domain", "suffix", drawn("s", "p_suffix").alias("p_domain"))
     return hosts.join(domains, ["domain", "suffix"]).select("host", F.col("s").alias("own"), F.col("p_domain").alias("prior"))
@@ -178,14 +198,14 @@ def identify(pages: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame
     own, equal rows equal ones; an empty table gives none.  A very long page is a block
     of its own; columns other than page_id, url and html aren't read.
     """
+    n = len(langs)
     rows = text_likelihoods(evidence(pages), model)
-    country = F.create_map(*[F.lit(x) for kv in SUFFIX_LANGUAGE.items() for x in kv])
-    by_suffix = _naming(F.coalesce(country[F.col("suffix")], F.lit("")), langs, SUFFIX_RIGHT)
-    naming = _add(_naming(F.col("declared"), langs, DECLARED_RIGHT), by_suffix)
-    rows = rows.withColumn("evidence", _add(F.col("loglik"), naming))
+    rows = common.materialise(rows.withColumn("said", _shares(_normalise(F.col("loglik")))), "page-texts")
+    rows = with_naming(with_naming(rows, "declared", "by_declared", n), "suffix", "by_suffix", n)
+    rows = rows.withColumn("evidence", _add(F.col("loglik"), _add(F.col("by_declared"), F.col("by_suffix")))).drop("by_declared", "by_suffix", "said")
     rows = rows.withColumn("soft", _shares(_normalise(F.col("evidence"))))
     rows = common.materialise(rows, "page-evidence")
-    priors = host_priors(rows, len(langs))
+    priors = host_priors(rows, n)
     joined = rows.join(priors.hint("merge"), "host")
     others = F.zip_with("own", "soft", lambda o, s: F.greatest(o - s, F.lit(0.0)))
     joined = joined.withColumn("others", others)
@@ -193,7 +213,7 @@ def identify(pages: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame
     joined = joined.withColumn("mine", F.zip_with("others", "prior", lambda o, p: (o + STRENGTH * p) / (total + STRENGTH)))
     logs = _add(F.col("evidence"), F.transform("mine", lambda p: F.log(p)))
     joined = joined.withColumn("posterior", _shares(_normalise(logs)))
-    names = F.array(*[F.lit(x) for x in langs])
+    names = F.split(F.lit("\x01".join(langs)), "\x01")
     best = lambda c: F.get(names, (F.array_position(c, F.array_max(c)) - 1).cast("int"))
     return joined.select("page_id", "host", "declared", best(F.col("loglik")).alias("text_lang"), best(F.col("posterior")).alias("lang"), F.array_max("posterior").alias("confidence"))
 

@@ -303,6 +303,8 @@ def test_language_evidence(spark):
     hot = spark.createDataFrame([("l0", "a hot text")], "lang string, text string").crossJoin(spark.range(5000)).drop("id")
     langs, once = language_id.fit(many, 2)
     assert len(langs) == 80
+    found = language_id.identify(many.select(F.substring("lang", 2, 9).cast("long").alias("page_id"), F.lit("http://h.example/").alias("url"), F.concat(F.lit('<html lang="xx">'), "text").alias("html")), langs, once).collect()
+    assert sum(r["lang"] == f"l{r['page_id']}" for r in found) > 70  # as many languages as pages
     assert np.allclose(language_id.fit(many.unionByName(hot), 10**6)[1][0], language_id.fit(many.unionByName(hot.limit(1)), 10**6)[1][0])
 
 

@@ -133,15 +133,28 @@ def test_language_posteriors(spark, rows):
             np.add.at(counts, bins, 1)
         assert np.allclose(model[k], np.log(counts / counts.sum()))
     pages = language_id.evidence(spark.read.parquet(f"{SF_DIR}/pages.parquet")).collect()
-    naming = lambda label, right: np.array([0.0 if label not in langs else np.log(right if label == x else (1 - right) / max(1, n - 1)) for x in langs])
-    soft, own = {}, {}
+    loglik, said = {}, {}
     for p in pages:
         raw = p["text"].encode()
         bins, _ = language_id.trigrams(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-        loglik = model[:, bins].sum(axis=1) * min(len(bins), language_id.EFFECTIVE) / max(len(bins), 1)
-        logs = loglik + naming(p["declared"], language_id.DECLARED_RIGHT) + naming(language_id.SUFFIX_LANGUAGE.get(p["suffix"], ""), language_id.SUFFIX_RIGHT)
+        logs = model[:, bins].sum(axis=1) * min(len(bins), language_id.EFFECTIVE) / max(len(bins), 1)
         e = np.exp(logs - logs.max())
-        soft[p["page_id"]], own[p["page_id"]] = e / e.sum(), logs
+        loglik[p["page_id"]], said[p["page_id"]] = logs, e / e.sum()
+    own = dict(loglik)
+    for kind in ("declared", "suffix"):
+        counts = defaultdict(lambda: np.zeros(n))
+        for p in pages:
+            if p[kind]:
+                counts[p[kind]] += said[p["page_id"]]
+        whole = sum(counts.values(), np.zeros(n))
+        for p in pages:
+            if p[kind]:
+                x, q = said[p["page_id"]], counts[p[kind]].sum() / whole.sum()
+                own[p["page_id"]] = own[p["page_id"]] + np.log((np.maximum(counts[p[kind]] - x, 0) + language_id.STRENGTH * q) / (np.maximum(whole - x, 0) + language_id.STRENGTH))
+    soft = {}
+    for i, logs in own.items():
+        e = np.exp(logs - logs.max())
+        soft[i] = e / e.sum()
     sums = [defaultdict(lambda: np.zeros(n)) for _ in range(4)]
     keys = lambda p: (p["host"], (p["domain"], p["suffix"]), p["suffix"], None)
     for p in pages:
