@@ -144,11 +144,12 @@ def with_next(docs: DataFrame) -> DataFrame:
     rows of one id are ordered by a hash of their text, ids that are null come last.
     The corpus is cut into runs of keys, so that repeated or missing ids are spread
     too; the head of each run also travels to the run before it, so no window is
-    larger than a run.  A single document follows itself.
+    larger than a run.  A single document follows itself.  An empty table gives no rows;
+    a very long text is a block of its own; other columns aren't read.
     """
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = keyed.withColumns({"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_h": F.xxhash64("text")})
-    bounds = run_bounds(keyed)
+    bounds = run_bounds(common.materialise(keyed.select("_k", "_h"), "document-keys"))  # texts are read once for their keys, and once more below
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in textnum.blocks(batches):
@@ -193,6 +194,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def neighbours(docs: DataFrame, radius: int = 3) -> DataFrame:
     """(doc_id, class_id, near): each document's class of equal fingerprints and the classes within ``radius`` bits of it.
 
+    A radius of 3 is for texts that differ in form or in a word or so: texts whose
+    five-word shingles have a likeness of 0.75 are mostly 8 to 18 bits apart, and
+    finding those is the work of the n-gram join.  Null and empty texts share a class, an
+    empty table gives no rows, a very long text has one fingerprint like any other, and columns
+    other than doc_id and text aren't read.
     ``class_id`` is the smallest doc_id with that fingerprint; ``near`` lists class ids,
     ascending.  Rows without a doc_id belong to a class but don't name one.
     """
