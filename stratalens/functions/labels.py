@@ -8,10 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..rules.pack import Rule
-from .text import contains_any
+from .terms import Walked, has
+from .text import contains_any, count_terms
 
 
-def first_match(lowered: Column, rules: Sequence[Rule], default: str | None) -> Column:
+def first_match(lowered: Column | Walked, rules: Sequence[Rule], default: str | None) -> Column:
     """The first rule's label with any keyword in the text."""
     out = F
     for rule in rules:
@@ -19,7 +20,7 @@ def first_match(lowered: Column, rules: Sequence[Rule], default: str | None) ->
     return F.lit(default) if out is F else out.otherwise(F.lit(default))
 
 
-def all_matches(lowered: Column, rules: Sequence[Rule]) -> Column:
+def all_matches(lowered: Column | Walked, rules: Sequence[Rule]) -> Column:
     """Labels of all rules that match, in order."""
     return F.array_compact(F.array(*[F.when(contains_any(lowered, r.keywords), F.lit(r.label)) for r in rules]))
 
@@ -32,16 +33,16 @@ def first_value(lowered: Column, table: Sequence[tuple[str, str]], default: str)
     return out.otherwise(F.lit(default).cast("decimal(6,4)")) if out is not F else F.lit(default).cast("decimal(6,4)")
 
 
-def entities(text: Column, names: Sequence[str]) -> Column:
+def entities(text: Column | Walked, names: Sequence[str]) -> Column:
     """Names found in the text whatever their case, sorted."""
-    low = F.lower(text)
-    return F.array_sort(F.array_compact(F.array(*[F.when(F.contains(low, F.lit(n.lower())), F.lit(n)) for n in names])))
+    low = text if isinstance(text, Walked) else F.lower(text)
+    return F.array_sort(F.array_compact(F.array(*[F.when(has(low, n), F.lit(n)) for n in names])))
 
 
-def sentiment(text: Column, positive: Sequence[str], negative: Sequence[str]) -> Column:
+def sentiment(text: Column | Walked, positive: Sequence[str], negative: Sequence[str]) -> Column:
     """Whether more positive or more negative terms occur."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    score = sum((F.contains(low, F.lit(t)).cast("int") for t in positive), F.lit(0)) - sum((F.contains(low, F.lit(t)).cast("int") for t in negative), F.lit(0))
+    low = text if isinstance(text, Walked) else F.lower(F.coalesce(text, F.lit("")))
+    score = count_terms(low, positive) - count_terms(low, negative)
     return F.when(score > 0, "Positive").when(score < 0, "Negative").otherwise("Neutral")
 
 

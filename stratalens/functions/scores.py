@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..rules.pack import Pack
+from .terms import Walked
 from .text import count_terms
 
 
@@ -61,7 +62,7 @@ def confidence(trust: Column, recent: Column, strength: Column, source_type: Col
     return F.round(clamp(total), 3)
 
 
-def impact(topic: Column, kind: Column, lowered: Column, pack: Pack) -> Column:
+def impact(topic: Column, kind: Column, lowered: Column | Walked, pack: Pack) -> Column:
     base = F
     for name, value in pack.impact_base.items():
         base = base.when(topic == name, dec(value))
@@ -70,7 +71,7 @@ def impact(topic: Column, kind: Column, lowered: Column, pack: Pack) -> Column:
     return F.round(clamp(base + dec("0.02") * count_terms(lowered, pack.impact_terms) + extra), 3)
 
 
-def urgency(lowered: Column, recent: Column, pack: Pack) -> Column:
+def urgency(lowered: Column | Walked, recent: Column, pack: Pack) -> Column:
     return F.round(clamp(dec("0.45") + dec("0.04") * count_terms(lowered, pack.urgency_terms) + dec("0.20") * recent), 3)
 
 

@@ -7,6 +7,8 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .terms import Walked, has
+
 #: Characters that count as white space, Unicode included.
 _SPACES = r"\s\p{Z}\x1c-\x1f\x85"
 SPACE = f"[{_SPACES}]+"
@@ -72,19 +74,19 @@ def short(x: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.regexp_replace(F.substring(text, 1, n), " [^ ]*$", ""), F.lit("..."))).otherwise(text)
 
 
-def contains_any(lowered: Column, keywords) -> Column:
+def contains_any(lowered: Column | Walked, keywords) -> Column:
     """Whether any keyword (in lower case) is a substring."""
     out = F.lit(False)
     for k in keywords:
-        out = out | F.contains(lowered, F.lit(k.lower()))
+        out = out | has(lowered, k)
     return out
 
 
-def count_terms(lowered: Column, terms) -> Column:
+def count_terms(lowered: Column | Walked, terms) -> Column:
     """How many of the terms are substrings."""
     out = F.lit(0)
     for t in terms:
-        out = out + F.contains(lowered, F.lit(t.lower())).cast("int")
+        out = out + has(lowered, t).cast("int")
     return out
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels, scores, text
+from ..functions.terms import Walked
 from ..rules.pack import Pack
 from ..session import stored
 
@@ -45,14 +46,14 @@ def detect(docs: DataFrame, pack: Pack, as_of: str) -> DataFrame:
     """One row per document and matching signal rule, with its scores.
 
     ``docs`` has id, title, clean_text, topic, trust_score, source_type and
-    published (timestamp).  Rules are tested in one projection over each document
-    and the matches exploded: no join is needed.
+    published (timestamp).  One walk over a text finds the terms of all rules, names and
+    scores; rules are tested in one projection and the matches exploded: no join is needed.
     """
     whole = F.concat_ws(". ", F.coalesce("title", F.lit("")), F.coalesce("clean_text", F.lit("")))
     rows = docs.filter(F.length("clean_text") > 40).withColumn("whole", whole)
     rows = rows.withColumns(
         {
-            "low": F.lower("whole"),
+            "terms": pack.terms.walk(F.lower("whole")),
             "line": text.flat(F.col("whole")),
             "topic": F.coalesce("topic", F.lit(pack.default_topic)),
             "source_type": F.coalesce("source_type", F.lit("unknown")),
@@ -61,9 +62,10 @@ def detect(docs: DataFrame, pack: Pack, as_of: str) -> DataFrame:
         }
     )
     rows = rows.withColumn("line_low", F.lower("line"))  # prepared once, read by every rule
+    held = Walked(F.col("terms"), pack.terms)
     matches = []
     for ord_, rule in enumerate(pack.signals):
-        hit = F.col("topic").isin(list(rule.topics)) | text.contains_any(F.col("low"), rule.keywords)
+        hit = F.col("topic").isin(list(rule.topics)) | text.contains_any(held, rule.keywords)
         found = F.struct(
             F.lit(ord_).alias("rule"),
             F.lit(rule.kind).alias("signal_type"),
@@ -81,9 +83,9 @@ def detect(docs: DataFrame, pack: Pack, as_of: str) -> DataFrame:
         "topic",
         "m.title",
         "m.description",
-        labels.entities(F.col("whole"), pack.entities).alias("entities"),
-        scores.impact(F.col("topic"), F.col("m.signal_type"), F.col("low"), pack).alias("impact_score"),
-        scores.urgency(F.col("low"), F.col("recent"), pack).alias("urgency_score"),
+        labels.entities(held, pack.entities).alias("entities"),
+        scores.impact(F.col("topic"), F.col("m.signal_type"), held, pack).alias("impact_score"),
+        scores.urgency(held, F.col("recent"), pack).alias("urgency_score"),
         scores.confidence(F.col("trust"), F.col("recent"), F.col("m.strength"), F.col("source_type"), pack).alias("confidence_score"),
         "m.evidence_text",
         *[c for c in ("source_name",) if c in docs.columns],

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
+
+from ..functions.terms import Terms
 
 
 @dataclass(frozen=True)
@@ -57,3 +60,10 @@ class Pack:
     name_trust: tuple[tuple[str, str], ...] = ()
     default_name_trust: str = "0.65"
     probes: tuple[tuple[str, tuple[str, ...]], ...] = field(default=())
+
+    @cached_property
+    def terms(self) -> Terms:
+        """Everything that is looked for in texts."""
+        rules = [*self.topics, *self.signals, *self.units]
+        names = [*self.entities, *self.radar, *(name for name, _ in self.partners), *self.positive, *self.negative, *self.impact_terms, *self.urgency_terms]
+        return Terms([*(k for r in rules for k in r.keywords), *names])
