@@ -93,11 +93,11 @@ def q_stored_sources(spark, d):
     """The registry's sources stored first, then the corpus's own, in two batches: names that are there keep their row."""
     tables = _generation(spark)
     tables.append("sources", feeds.registry(spark), "registry")
-    seen = table(spark, d, "documents").select(F.col("source").alias("name"), F.lit("news").alias("source_type"), feeds.news_trust(F.col("source")).alias("trust_score")).distinct()
-    again = spark.createDataFrame([("NATO", "other", 0.1)], "name string, source_type string, trust_score double")
+    seen = table(spark, d, "documents").select(F.col("source").alias("name"), F.lit("news").alias("source_type"), F.lit(None).cast("string").alias("base_url"), feeds.news_trust(F.col("source")).alias("trust_score")).distinct()
+    again = spark.createDataFrame([("NATO", "other", None, 0.1)], "name string, source_type string, base_url string, trust_score double")
     for batch in ("corpus", "corpus"):
         tables.append("sources", seen.unionByName(again), batch)
-    return tables.read("sources").select("id", "name", "source_type", "trust_score")
+    return tables.read("sources").select("id", "name", "source_type", "base_url", "trust_score")
 
 
 ROUTES = (("risk_analysis", "English"), ("opportunity_analysis", None), ("partnership_strategy", "German"), ("general_strategy", "Romance"))

@@ -34,8 +34,10 @@ HREF = "(?i)href=\"([^\"]*)\""
 RANKED = "confidence_score DESC, impact_score DESC, urgency_score DESC, document_id, rule"
 IN_UNIT = "(topic IN ('German', 'Romance') OR contains({0}, 'ung ') OR contains({0}, 'que '))"
 PRIORITY = "CASE priority WHEN 'High' THEN 1 WHEN 'Medium' THEN 2 ELSE 3 END"
-REGISTRY = """registry(name, source_type, trust_score) AS (VALUES ('Airbus Newsroom', 'official', 0.95), ('Airbus Defence', 'official', 0.95), ('Reuters Aerospace and Defence', 'news', 0.90), ('Defense News', 'news', 0.82),
-  ('Breaking Defense', 'news', 0.82), ('NATO', 'policy', 0.90), ('European Defence Agency', 'policy', 0.88), ('Dassault Aviation', 'competitor', 0.85), ('BAE Systems', 'competitor', 0.85), ('Boeing Defense', 'competitor', 0.85))"""
+REGISTRY = """registry(name, source_type, base_url, trust_score) AS (VALUES ('Airbus Newsroom', 'official', 'https://www.airbus.com/en/newsroom', 0.95), ('Airbus Defence', 'official', 'https://www.airbus.com/en/products-services/defence', 0.95),
+  ('Reuters Aerospace and Defence', 'news', 'https://www.reuters.com/business/aerospace-defense/', 0.90), ('Defense News', 'news', 'https://www.defensenews.com', 0.82), ('Breaking Defense', 'news', 'https://breakingdefense.com', 0.82),
+  ('NATO', 'policy', 'https://www.nato.int', 0.90), ('European Defence Agency', 'policy', 'https://eda.europa.eu', 0.88), ('Dassault Aviation', 'competitor', 'https://www.dassault-aviation.com', 0.85),
+  ('BAE Systems', 'competitor', 'https://www.baesystems.com', 0.85), ('Boeing Defense', 'competitor', 'https://www.boeing.com/defense', 0.85))"""
 THOUGHT = "'<Think>first' || chr(10) || '\"a\" & <b></think>  ' || text || chr(10) || '**so**'"
 STRIPPED = "regexp_replace(regexp_replace({0}, '(?is)<think>.*?</think>', '', 'g'), '^\\s+|\\s+$', '', 'g')"
 FLAT = "replace(replace(replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;'), chr(10), '<br>'), '**', '')"
@@ -97,8 +99,8 @@ ORACLES = {
     "stored_recommendations": f"""WITH {RECS}, ids AS (SELECT *, row_number() OVER (ORDER BY recommendation) AS id FROM recs)
         SELECT i.id::BIGINT AS recommendation_id, recommendation AS title, priority, i.confidence_score, document_id, evidence_strength FROM evidence e JOIN ids i USING (recommendation_id)""",
     "stored_sources": f"""WITH {REGISTRY}, own AS (SELECT DISTINCT source AS name, 'news' AS source_type, 0.72 AS trust_score FROM documents)
-        SELECT row_number() OVER (ORDER BY name)::BIGINT AS id, name, source_type, trust_score::DOUBLE AS trust_score FROM registry
-        UNION ALL SELECT 10 + row_number() OVER (ORDER BY name), name, source_type, trust_score FROM own""",
+        SELECT row_number() OVER (ORDER BY name)::BIGINT AS id, name, source_type, base_url, trust_score::DOUBLE AS trust_score FROM registry
+        UNION ALL SELECT 10 + row_number() OVER (ORDER BY name), name, source_type, NULL, trust_score FROM own""",
     "route_signals": f"""WITH {SIGNALS}, k AS (SELECT document_id, rule, signal_type, topic, confidence_score, impact_score, urgency_score FROM signals)
         SELECT route, document_id, rule, signal_type, topic, confidence_score::DOUBLE AS confidence_score FROM (
           (SELECT 0 AS route, * FROM k WHERE topic = 'English' AND signal_type = 'risk' ORDER BY {RANKED} LIMIT 10) UNION ALL

@@ -6,9 +6,12 @@ from collections.abc import Iterable
 
 from ..rules import SAMPLE as PACK
 from ..rules import router as R
-from ..functions.scores import OLDER, RECENCY, UNDATED
-from ..operators.audit import GRADES, LOWEST_GRADE
-from .queries import AS_OF, TOKENS
+
+# Written out here, so that a changed constant of the engine shows.
+AS_OF = "2024-02-15 00:00:00"
+TOKENS = ("/th", "/on", "/de", "/le", "/un")
+RECENCY, OLDER, UNDATED = ((30, "1.0"), (90, "0.85"), (180, "0.70"), (365, "0.55")), "0.40", "0.55"
+GRADES, LOWEST_GRADE = ((0.90, "Production-demo ready"), (0.75, "Strong prototype"), (0.60, "Needs improvement")), "Not ready"
 
 
 def s(x: str) -> str:

@@ -9,17 +9,24 @@ from ..functions import labels, scores, text
 from ..rules.pack import Pack
 from . import pages
 
-# Registered sources with type and trust.
+# Registered sources with type, address and trust.
 SOURCES = (
-    ("Airbus Newsroom", "official", 0.95), ("Airbus Defence", "official", 0.95), ("Reuters Aerospace and Defence", "news", 0.90), ("Defense News", "news", 0.82),
-    ("Breaking Defense", "news", 0.82), ("NATO", "policy", 0.90), ("European Defence Agency", "policy", 0.88), ("Dassault Aviation", "competitor", 0.85),
-    ("BAE Systems", "competitor", 0.85), ("Boeing Defense", "competitor", 0.85),
-)
+    ("Airbus Newsroom", "official", "https://www.airbus.com/en/newsroom", 0.95),
+    ("Airbus Defence", "official", "https://www.airbus.com/en/products-services/defence", 0.95),
+    ("Reuters Aerospace and Defence", "news", "https://www.reuters.com/business/aerospace-defense/", 0.90),
+    ("Defense News", "news", "https://www.defensenews.com", 0.82),
+    ("Breaking Defense", "news", "https://breakingdefense.com", 0.82),
+    ("NATO", "policy", "https://www.nato.int", 0.90),
+    ("European Defence Agency", "policy", "https://eda.europa.eu", 0.88),
+    ("Dassault Aviation", "competitor", "https://www.dassault-aviation.com", 0.85),
+    ("BAE Systems", "competitor", "https://www.baesystems.com", 0.85),
+    ("Boeing Defense", "competitor", "https://www.boeing.com/defense", 0.85),
+)
 TRUSTED_NEWS = ("reuters", "airbus", "nato", "defense news", "breaking defense")
 
 
 def registry(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(SOURCES)], "seq int, name string, source_type string, trust_score double")
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(SOURCES)], "seq int, name string, source_type string, base_url string, trust_score double")
 
 
 def query_url(query: Column, base: str = "https://news.example/rss/search?q=") -> Column:
