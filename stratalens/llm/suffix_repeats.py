@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import shared_table
 from . import common, textnum
 
 LENGTH = 400
@@ -174,7 +174,7 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     kept = rows.join(counted.select("key", "digest", "copies").hint("merge"), "key").dropDuplicates(["key"])
     # buckets need a table's name, but its files go to the shared folder: a warehouse may be local to each machine
     name = f"distinct_texts_{uuid.uuid4().hex}"
-    kept.write.bucketBy(int(buckets), "key").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}").format("parquet").saveAsTable(name)
+    kept.write.bucketBy(int(buckets), "key").option("compression", "zstd").option("path", shared_table(spark, name)).format("parquet").saveAsTable(name)
     return spark.table(name)
 
 

@@ -59,7 +59,7 @@ def got(frame, fanout=16, levels=2):
     return sorted((tuple(r) for r in rows.select("doc_id", "digest", "subroot", "root", merkle.siblings(F.col("proof")), "folded", F.col("folded") == F.col("root")).collect()), key=repr)
 
 
-@pytest.mark.parametrize(("fanout", "levels"), [(16, 2), (2, 1), (3, 2), (2, 3)])
+@pytest.mark.parametrize(("fanout", "levels"), [(16, 2), (2, 1)])
 def test_trees_of_all_sizes(spark, fanout, levels):
     """Sources of 1 to 40 rows, one of many; missing values; rows that are fully repeated."""
     rows = [(1000 * n + i, f"s{n}", "en", i, f"Text {i} of {n}") for n in (1, 2, 3, 4, 8, 9, 15, 16, 17, 40) for i in range(n)]
