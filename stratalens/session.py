@@ -12,8 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 SMALL_BYTES = 32 << 20
 
 
+#: Catalog tables whose files are in the shared folder.
+_TABLES: set[str] = set()
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which driver and executors share.
+    """This application's folder in ``spark.checkpoint.dir``, which driver and executors share.
 
     Only a session on this machine alone (as in tests) gets a local folder where none is set.
     """
@@ -24,12 +28,22 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
         path = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    return f"{path.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def shared_table(spark: SparkSession, name: str) -> str:
+    """Where the files of a catalog table go that ``clean`` will drop."""
+    _TABLES.add(name)
+    return f"{shared_folder(spark)}/{name}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+def clean(spark: SparkSession) -> None:
+    """Delete what this application has stored, once its results are written: frames that read it can't be computed any more."""
+    for name in sorted(_TABLES):
+        spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+    _TABLES.clear()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stored(df: DataFrame) -> DataFrame:
