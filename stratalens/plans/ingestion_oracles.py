@@ -58,10 +58,10 @@ ORACLES = {
         f AS (SELECT (SELECT count(*) FROM gappy) AS documents, (SELECT count(DISTINCT source_name) FROM gappy) AS sources, (SELECT count(*) FROM ({WINDOWS}) WHERE n >= 40) AS chunks, (SELECT count(*) FROM signals) AS signals,
           (SELECT count(*) FROM evidence) / 3.0 AS per_rec, (SELECT avg(coalesce(trust_score, 0.5::DECIMAL(9,4))) FROM gappy) AS trust, (SELECT count(DISTINCT coalesce(topic, 'Unknown')) FROM gappy) AS topics),
         t AS (SELECT topic, string_agg(DISTINCT source_type, ', ' ORDER BY source_type) AS types, count(*) AS documents FROM gappy WHERE topic IS NOT NULL GROUP BY 1),
-        u AS (SELECT topic, count(*) AS n, round(avg(confidence_score::DOUBLE), 6) AS mean FROM signals GROUP BY 1),
+        u AS (SELECT topic, count(*) AS n, round((sum(confidence_score)::DOUBLE / count(*))::DECIMAL(18,9), 6)::DOUBLE AS mean FROM signals GROUP BY 1),
         g AS (SELECT count(*) FILTER (url IS NULL) + count(*) FILTER (coalesce(url, '') = '') AS without_url, count(*) FILTER (topic IS NULL) + count(*) FILTER (coalesce(topic, '') = '') AS without_topic,
           count(*) FILTER (length(clean_text) < 250) AS short_text, count(*) FILTER (trust_score IS NULL) AS without_trust, count(*) - count(DISTINCT coalesce(content_hash, '')) AS duplicates FROM gappy)
-        SELECT 'type' AS section, source_type AS label, count(*) AS documents, round(avg(trust_score::DOUBLE), 6) AS mean, count(DISTINCT source_name) AS others FROM gappy GROUP BY ALL
+        SELECT 'type' AS section, source_type AS label, count(*) AS documents, round((sum(trust_score)::DOUBLE / count(trust_score))::DECIMAL(18,9), 6)::DOUBLE AS mean, count(DISTINCT source_name) AS others FROM gappy GROUP BY ALL
         UNION ALL SELECT 'topic', t.topic || ': ' || types, documents, coalesce(mean, 0), coalesce(n, 0) FROM t LEFT JOIN u USING (topic)
         UNION ALL SELECT 'gaps', k, v, NULL, NULL FROM (SELECT unnest(['without_url', 'without_topic', 'short_text', 'without_trust', 'duplicates']) AS k, unnest([without_url, without_topic, short_text, without_trust, duplicates]) AS v FROM g)
         UNION ALL SELECT 'score', 'quality', documents, round((0.18 * least(sources / 25.0, 1.0) + 0.18 * least(documents / 100.0, 1.0) + 0.14 * least(chunks::DOUBLE / documents, 1.0) + 0.16 * least(signals::DOUBLE / documents, 1.0)

@@ -14,6 +14,8 @@ SMALL_BYTES = 32 << 20
 
 #: Catalog tables whose files are in the shared folder.
 _TABLES: set[str] = set()
+#: Folders of local sessions that have none set, by application.
+_LOCAL: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,8 +28,8 @@ def shared_folder(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
-        path = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
+        own = spark.sparkContext.applicationId
+        path = _LOCAL[own] = _LOCAL.get(own) or f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
     return f"{path.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 

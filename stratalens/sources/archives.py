@@ -133,6 +133,12 @@ class PageArchives(DataSource):
         return Writer(self.options["path"], overwrite)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the file system that Spark takes it to be in."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def register(spark: SparkSession) -> None:
     """Make the format known to a session; tasks get this module with it."""
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -142,10 +148,10 @@ def register(spark: SparkSession) -> None:
 def write(pages: DataFrame, path: str, mode: str = "append") -> None:
     """Pages (page_id, url, html) as archives, one for each partition that has rows."""
     register(pages.sparkSession)
-    pages.select(*KINDS).write.format(FORMAT).option("path", path).mode(mode).save()
+    pages.select(*KINDS).write.format(FORMAT).option("path", qualified(pages.sparkSession, path)).mode(mode).save()
 
 
 def read(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     register(spark)
-    rows = spark.read.format(FORMAT).option("path", path)
+    rows = spark.read.format(FORMAT).option("path", qualified(spark, path))
     return (rows.option("columns", ",".join(columns)) if columns else rows).load()

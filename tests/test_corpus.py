@@ -124,15 +124,26 @@ def test_bands(spark):
     assert one(feeds.trust_by_name(F.lit("src7 and others"), SAMPLE)) == 0.72
 
 
-def test_what_was_stored_can_be_cleaned_up(spark, tmp_path):
-    own = spark.newSession()
-    own.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    kept = session.stored(own.range(5).toDF("id"))
-    own.range(3).write.option("path", session.shared_table(own, "for_now")).saveAsTable("for_now")
-    assert kept.count() == 5 and own.table("for_now").count() == 3 and len(list(tmp_path.iterdir())) == 1
-    session._TABLES.intersection_update({"for_now"})
-    session.clean(own)
-    assert list(tmp_path.iterdir()) == [] and not own.catalog.tableExists("for_now")
+def test_what_was_stored_can_be_cleaned_up(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_folder", lambda _: f"file://{tmp_path}/app")
+    monkeypatch.setattr(session, "_TABLES", set())
+    kept = session.stored(spark.range(5).toDF("id"))
+    spark.range(3).write.option("path", session.shared_table(spark, "for_now")).saveAsTable("for_now")
+    assert kept.count() == 5 and spark.table("for_now").count() == 3 and len(list((tmp_path / "app").iterdir())) == 2
+    session.clean(spark)
+    assert list(tmp_path.iterdir()) == [] and not spark.catalog.tableExists("for_now")
+
+
+def test_a_local_session_gets_a_folder(spark):
+    class Local:
+        class sparkContext:  # noqa: N801
+            master, applicationId = "local[2]", "app-1"
+            getConf = staticmethod(dict)
+
+        conf = {}
+
+    assert session.shared_folder(Local) == session.shared_folder(Local)
+    assert session.shared_folder(Local).startswith("file:///") and session.shared_folder(Local).endswith("/app-1")
 
 
 def test_a_cluster_needs_a_shared_folder():
