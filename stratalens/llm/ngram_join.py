@@ -5,6 +5,8 @@ document frequency, so a document's prefix holds its rarest; two documents of
 Jaccard similarity 0.75 or more share a prefix shingle.  A prefix made of
 shingles that occur nowhere else rules a document out at once.  The rest are
 paired under length, positional and suffix filters and verified once per pair.
+Pairs meet by shingle and length band; the smaller set comes to each band with
+the shorter prefix that sets of that length ask of it.
 Links are found first from each document to a central neighbour; pairs already
 connected need no further look, so a group of n copies costs about n pairs.
 """
@@ -28,6 +30,8 @@ CHUNK_BYTES = 8_000_000
 BUCKET_SHINGLES = 2_000_000
 #: Classes of shingle hashes in a suffix filter.
 CLASSES = 64
+#: Length bands to a doubling of the size.
+BANDS = 8
 
 FRAGMENT = "bucket long, chunk long, hashes binary, counts binary"
 KNOWN = "chunk long, bucket long, hashes binary, rank binary"
@@ -221,49 +225,59 @@ def to_centres(postings: DataFrame) -> DataFrame:
     return best.select("a", F.col("m.b").alias("b"))
 
 
-def across(postings: DataFrame, roots: DataFrame) -> DataFrame:
-    """Every pair that may be similar and isn't connected yet.
+def band(n: Column) -> Column:
+    return F.floor(F.log2(n) * BANDS)
+
+
+def index_postings(postings: DataFrame) -> DataFrame:
+    """Each set's postings for the bands of sets as large as it or larger, where they may be a pair's first shared shingle.
+
+    With a larger set of at least ``low`` shingles, that has the least intersection of
+    the two sizes before the end of the smaller one.  Sets of one template and a fifth
+    of their own shingles have only their own in such a prefix, so they meet nowhere.
+    """
+    n = F.col("n")
+    bands = F.explode(F.sequence(band(n), band(F.floor(n * 100 / PERCENT))))
+    low = F.floor(F.pow(F.lit(2.0), F.col("band") / BANDS))
+    return postings.withColumn("band", bands).filter(n - F.col("place") >= least_common(n, F.greatest(n, low)))
+
+
+def candidates(postings: DataFrame) -> DataFrame:
+    """Every pair of sets that may be similar, the smaller first; with a ``root`` column, only those of different roots.
 
     Matches pass the length filter and a positional one: from a pair's first
     shared shingle on, either set must have room for the whole intersection.  Then,
     over all such matches of a pair, those so far and what can follow the last.
     """
-    at = postings.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = at.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
-    at = common.materialise(at.join(mixed, "token"), "open-postings")
-    x, y = at.alias("x"), at.alias("y")
+    x, y = index_postings(postings).alias("x"), postings.withColumn("band", band(F.col("n"))).alias("y")
     n_x, n_y = F.col("x.n"), F.col("y.n")
     room = F.least(n_x - F.col("x.place"), n_y - F.col("y.place"))
-    pairs = x.join(
-        y,
-        (F.col("x.token") == F.col("y.token"))
-        & (F.col("x.id") < F.col("y.id"))
-        & (F.col("x.root") != F.col("y.root"))
-        & (F.least(n_x, n_y) * 100 >= F.greatest(n_x, n_y) * PERCENT)
-        & (room >= least_common(n_x, n_y)),
-    )
-    pairs = pairs.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), n_x.alias("n_x"), n_y.alias("n_y")).agg(
+    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band"))
+    first = (n_x < n_y) | ((n_x == n_y) & (F.col("x.id") < F.col("y.id")))
+    meet = same & first & (n_x * 100 >= n_y * PERCENT) & (room >= least_common(n_x, n_y))
+    if "root" in postings.columns:
+        meet &= F.col("x.root") != F.col("y.root")
+    pairs = x.join(y, meet).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), n_x.alias("n_x"), n_y.alias("n_y")).agg(
         F.count("*").alias("c"), F.max("x.place").alias("p"), F.max("y.place").alias("q")
     )
     bound = F.col("c") + F.least(F.col("n_x") - F.col("p"), F.col("n_y") - F.col("q")) - 1
     return pairs.filter(bound >= least_common(F.col("n_x"), F.col("n_y"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs``.
+def across(postings: DataFrame, roots: DataFrame) -> DataFrame:
+    """Every pair that may be similar and isn't connected yet."""
+    at = postings.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = at.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
+    return candidates(common.materialise(at.join(mixed, "token"), "open-postings"))
 
-    Components are those of the graph that links documents of Jaccard similarity
-    0.75 or more; ``component_id`` is the smallest doc_id in reach.  A text with
-    fewer than ``width`` words is one shingle; null, empty or blank texts have none
-    and are alone.  Equal sets are one node, so copies cost no pairs; null ids
-    take part and get the component of the others.  An empty table gives an empty
-    result; a very long text is a chunk of its own; other columns aren't read.
-    """
+
+def sets_and_postings(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All documents with their sets' signatures, the different sets that may have a partner, and their prefix postings."""
     size = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     chunks = max(12, size // CHUNK_BYTES)
     buckets = max(12, size // 6 // BUCKET_SHINGLES)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks)))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
     known = frequent(count_fragments(rows, buckets, width))
     found = common.materialise(prefixed_sets(rows, known, buckets, width), "ngram-sets")
 
@@ -272,8 +286,53 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     zipped = F.explode(F.arrays_zip("tokens", "places"))
     postings = classes.select("id", "n", zipped.alias("z")).select("id", "n", F.col("z.tokens").alias("token"), F.col("z.places").alias("place"))
     twice = postings.groupBy("token").count().filter("count > 1").select("token")
-    postings = common.materialise(postings.join(twice, "token"), "ngram-postings")
+    return found, classes, common.materialise(postings.join(twice, "token"), "ngram-postings")
+
+
+def similar_sets(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, set) of every row, and (a, b) of all pairs of different sets of similarity 0.75 or more.
+
+    ``set`` is the hex signature of a row's shingles, null for a text without words;
+    equal sets have one signature, so copies aren't expanded.  Each pair comes once.
+    Unlike ``near_duplicates``, this looks at connected sets too: the work grows with
+    the links between different sets.  Null ids, null, empty and very long texts, empty
+    tables and other columns are dealt with as there.
+    """
+    found, classes, postings = sets_and_postings(docs, width)
+    pairs = verify(candidates(postings), classes)
+    names = classes.select("id", F.lower(F.hex("sig")).alias("name"))
+    pairs = pairs.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    name = F.when(F.col("n") > 0, F.lower(F.hex("sig")))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), name.alias("set")), pairs
+
+
+def count_links(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, n_shingles, n_links) of every row: how many other rows it is linked with, copies included.
+
+    Copies are counted by set, never paired.  Texts without words have no links;
+    all else as in ``similar_sets``.
+    """
+    members, pairs = similar_sets(docs, width)
+    members, pairs = common.materialise(members, "ngram-members"), common.materialise(pairs, "ngram-pairs")
+    sizes = members.filter("set is not null").groupBy("set").agg(F.count("*").alias("rows"))
+    both = pairs.union(pairs.select("b", "a"))
+    beside = both.join(sizes.toDF("b", "rows"), "b").groupBy(F.col("a").alias("set")).agg(F.sum("rows").alias("beside"))
+    links = sizes.join(beside, "set", "left").select("set", (F.col("rows") - 1 + F.coalesce("beside", F.lit(0))).alias("n_links"))
+    linked = members.filter("set is not null").join(common.materialise(links, "ngram-counts"), "set").select("doc_id", "n_shingles", "n_links")
+    return linked.unionByName(members.filter("set is null").select("doc_id", "n_shingles", F.lit(0).cast("long").alias("n_links")))
+
 
+def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs``.
+
+    Components are those of the graph that links documents of Jaccard similarity
+    0.75 or more; ``component_id`` is the smallest doc_id in reach.  A text with
+    fewer than ``width`` words is one shingle; null, empty or blank texts have none
+    and are alone.  Equal sets are one node, so copies cost no pairs; null ids
+    take part and get the component of the others.  An empty table gives an empty
+    result; a very long text is a chunk of its own; other columns aren't read.
+    """
+    found, classes, postings = sets_and_postings(docs, width)
     links = common.materialise(verify(to_centres(postings), classes), "ngram-links")
     roots = components.connected(links).withColumnRenamed("node", "id")
     more = common.materialise(verify(across(postings, roots), classes), "ngram-links")
