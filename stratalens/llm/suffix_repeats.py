@@ -326,10 +326,9 @@ def runs_of(between: np.ndarray, members: np.ndarray, need: int, reach: int) ->
         yield agreed - 1, reach, members[a : b + 1]
 
 
-def _at_edge(rows: np.ndarray, size: np.ndarray, reach: int | np.ndarray) -> np.ndarray:
-    """Whether white space or the end of the text follows the first ``reach`` bytes of each row."""
-    reach = np.broadcast_to(reach, size.shape)
-    return (reach == size) | textnum.SPACE[rows[np.arange(len(size)), np.minimum(reach, rows.shape[1] - 1)]]
+def _at_edge(rows: np.ndarray, size: np.ndarray, at: np.ndarray, reach: int | np.ndarray) -> np.ndarray:
+    """Whether white space or the end of the text follows the first ``reach`` bytes of the rows ``at``."""
+    return (size[at] == reach) | textnum.SPACE[rows[at, np.minimum(reach, rows.shape[1] - 1)]]
 
 
 def group_cover(right: np.ndarray, right_size: np.ndarray, left: np.ndarray, left_size: np.ndarray, words: int | None = None) -> np.ndarray:
@@ -337,29 +336,34 @@ def group_cover(right: np.ndarray, right_size: np.ndarray, left: np.ndarray, lef
 
     Kind 0 has ``LENGTH`` bytes; kind 1 has fewer and may hold ``words`` whole words: an
     end at which no other member has a word's end too is moved in by a byte.
+
+    Near copies nest in as many repeats as they have differing places to either side,
+    each with nearly all suffixes.  So occurrences aren't listed: a table of one cell
+    for each suffix and number of bytes to the right keeps the most bytes to the left.
     """
     before, after = np.full(len(right), -1), np.full(len(right), -1)
-    short: list[np.ndarray] = []
+    none = -2  # an end that is moved in may be at -1
+    most = np.full((len(right) if words else 0, LENGTH), none, np.int16)
     for back, ahead, members in repeats(right, right_size, left, left_size, 2 * words - 1 if words else LENGTH):
         if back + ahead >= LENGTH:
             before[members] = np.maximum(before[members], back)
             after[members] = np.maximum(after[members], ahead)
             continue
-        begins = _at_edge(left[members], left_size[members], back)
-        ends = _at_edge(right[members], right_size[members], ahead)
+        begins = _at_edge(left, left_size, members, back)
+        ends = _at_edge(right, right_size, members, ahead)
         whole = begins & ends & ((begins & ends).sum() > 1)
         begins, ends = begins & (begins.sum() > 1), ends & (ends.sum() > 1)
         for on, b, a in ((whole, 0, 0), (begins & ~whole, 0, 1), (ends & ~whole, 1, 0), (~begins & ~ends, 1, 1)):
             m = members[on]
-            short.append(np.stack([m, np.full(len(m), back - b), np.full(len(m), ahead - a), np.ones(len(m), np.int64)], axis=1))
+            most[m, ahead - a] = np.maximum(most[m, ahead - a], back - b)
     hit = np.flatnonzero(before >= 0)
     out = [np.stack([hit, before[hit], after[hit], np.zeros(len(hit), np.int64)], axis=1)]
-    if short:
-        found = np.concatenate(short)
-        found = found[np.lexsort((-found[:, 2], -found[:, 1], found[:, 0]))]
-        # of a suffix's reaches, by bytes to the left, only those that reach further right than all before
-        height = found[:, 0] * (2 * LENGTH) + found[:, 2] + LENGTH
-        out.append(found[np.append(True, height[1:] > np.maximum.accumulate(height)[:-1])])
+    if words:
+        # of a suffix's reaches, by bytes to the right, only those that reach further left than all longer ones
+        longer = np.full_like(most, none)
+        longer[:, :-1] = np.maximum.accumulate(most[:, :0:-1], axis=1)[:, ::-1]
+        m, ahead = np.nonzero(most > longer)
+        out.append(np.stack([m, most[m, ahead], ahead, np.ones(len(m), np.int64)], axis=1))
     return np.concatenate(out)
 
 
@@ -383,8 +387,8 @@ def sorted_cover(sorted_contexts: DataFrame, words: int | None = None) -> DataFr
         if words:
             may = ~long & (back + ahead >= 2 * words - 1)
             t, b, a = two[may], back[may], ahead[may]
-            b = b - ~(_at_edge(left[t], left_size[t], b) & _at_edge(left[t + 1], left_size[t + 1], b))
-            a = a - ~(_at_edge(right[t], right_size[t], ahead[may]) & _at_edge(right[t + 1], right_size[t + 1], ahead[may]))
+            b = b - ~(_at_edge(left, left_size, t, b) & _at_edge(left, left_size, t + 1, b))
+            a = a - ~(_at_edge(right, right_size, t, a) & _at_edge(right, right_size, t + 1, a))
             found += [np.stack([t + shift, b, a, np.ones(len(t), np.int64)], axis=1) for shift in (0, 1)]
         for h, n in zip(heads[size > 2], size[size > 2], strict=True):
             at = slice(h, h + n)
