@@ -155,6 +155,17 @@ def unescape(x: Column) -> Column:
     return F.when(F.contains(x, F.lit("&")), F.concat(F.get(between, F.lit(0)), F.array_join(decoded, ""))).otherwise(x)
 
 
+#: References that a plain reading of a page knows, each with its semicolon; the ampersand last, so that what comes out isn't read again.
+COMMON_REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
+def unescape_common(x: Column) -> Column:
+    """``COMMON_REFERENCES`` only: any other, and one that is cut off before its semicolon, stays as it is."""
+    for name, mark in COMMON_REFERENCES:
+        x = F.replace(x, F.lit(name), F.lit(mark))
+    return x
+
+
 def escape(x: Column) -> Column:
     for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         x = F.replace(x, F.lit(mark), F.lit(name))

@@ -2,32 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean, unescape
 
 BLOCKS = r"(?is)<(script|style|nav|footer|header|aside)\b.*?</\1\s*>"
+#: Spaces, those beyond ASCII included, that a paragraph neither begins nor ends with.
+EDGE = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 # Fixed value: what a company page's address holds at least one of.
 TOKENS = ("defence", "newsroom", "fcas", "eurofighter", "a400m", "mrtt", "space", "military", "uav", "drone")
 
 
-def title(html: Column) -> Column:
-    return clean(unescape(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
+def title(html: Column, decode: Callable[[Column], Column] = unescape) -> Column:
+    return clean(decode(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
 
 
 def paragraphs(html: Column) -> Column:
     """Texts of paragraphs; one that isn't closed ends where the next begins."""
     bare = F.regexp_replace(html, BLOCKS, "")
     parts = F.split(bare, r"(?i)<p\b[^>]*>")
-    texts = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda s: F.trim(F.regexp_replace(F.regexp_replace(F.element_at(F.split(s, "(?i)</p>"), 1), "<[^>]*>", " "), r"\s+", " ")))
+    texts = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda s: F.btrim(F.regexp_replace(F.regexp_replace(F.element_at(F.split(s, "(?i)</p>"), 1), "<[^>]*>", " "), r"\s+", " "), F.lit(EDGE)))
     return F.filter(texts, lambda t: t != "")
 
 
-def page_text(pages: DataFrame) -> DataFrame:
-    """(page_id, url, title, n_paragraphs, text) of each page; null html is an empty page."""
+def page_text(pages: DataFrame, decode: Callable[[Column], Column] = unescape) -> DataFrame:
+    """(page_id, url, title, n_paragraphs, text) of each page; null html is an empty page. ``decode`` reads the title's character references."""
     rows = pages.withColumn("html", F.coalesce("html", F.lit(""))).withColumn("_p", paragraphs(F.col("html")))
-    return rows.select("page_id", "url", title(F.col("html")).alias("title"), F.size("_p").alias("n_paragraphs"), F.array_join("_p", " ").alias("text"))
+    return rows.select("page_id", "url", title(F.col("html"), decode).alias("title"), F.size("_p").alias("n_paragraphs"), F.array_join("_p", " ").alias("text"))
 
 
 def body_or_fallback(text: Column, heading: Column, summary: Column, query: Column, least: int = 300) -> Column:
